@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerwake.operators.skew import running_labels
 
 
-def periods(df: DataFrame, entity: str, start: str, end: str, target_rows: int = 20_000) -> DataFrame:
+def periods(df: DataFrame, entity: str, start: str, end: str, target_rows: int = 100_000) -> DataFrame:
     """Join the closed intervals of each entity into continuous periods.
 
     Intervals that overlap, nest or share an end point fall into one period.
@@ -41,7 +41,7 @@ def periods(df: DataFrame, entity: str, start: str, end: str, target_rows: int =
     return out.withColumnRenamed("__entity", entity)
 
 
-def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, max_gap: int | None = None, target_rows: int = 20_000) -> DataFrame:
+def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, max_gap: int | None = None, target_rows: int = 100_000) -> DataFrame:
     """(entity, kind, from_ms, to_ms) with kind ``period`` or ``gap``; see periods.
 
     Gaps longer than ``max_gap`` are left out where it is given.

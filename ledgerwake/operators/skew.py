@@ -53,7 +53,7 @@ def running_labels(
     value: str,
     starts: Callable[[Column], Column],
     ties: Sequence[str] = (),
-    target_rows: int = 20_000,
+    target_rows: int = 100_000,
     prior: str = "prior",
     label: str = "label",
 ) -> DataFrame:
@@ -97,7 +97,7 @@ def running_labels(
     return cold.unionByName(part.select(*cold.columns))
 
 
-def order_statistics(df: DataFrame, key: str, value: str, wanted: DataFrame, bins: int = 64, target_rows: int = 20_000) -> DataFrame:
+def order_statistics(df: DataFrame, key: str, value: str, wanted: DataFrame, bins: int = 64, target_rows: int = 100_000) -> DataFrame:
     """The ``rank``-th smallest ``value`` (from 0) of each key, exactly.
 
     ``df`` holds (key, value), ``wanted`` holds distinct (key, rank, lo, hi) where lo
@@ -154,7 +154,7 @@ def key_profile(
     probs: Sequence[float] = (0.5, 0.9),
     heavy_share: float = 0.02,
     bins: int = 64,
-    target_rows: int = 20_000,
+    target_rows: int = 100_000,
     user: Callable[[Column], Column] = lambda c: c >= 0,
 ) -> DataFrame:
     """Counts, mean and exact quantiles for every key, whatever share of the rows it holds.
