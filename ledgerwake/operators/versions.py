@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerwake.operators.skew import running_labels
 
@@ -20,7 +21,7 @@ def attributes_at(
     ordinal: str,
     attributes: Sequence[str],
     keep_unmatched: bool = False,
-    target_rows: int = 20_000,
+    target_rows: int = 100_000,
 ) -> DataFrame:
     """Join each event with the attributes valid and known at its time.
 
@@ -43,22 +44,29 @@ def attributes_at(
     of records alike in entity, both times and ordinal, the one of greatest
     attributes. Repeated events stay repeated. Empty tables are allowed.
     """
-    wide = F.struct(*[F.col(c) for c in attributes])
-    records = (
-        history.where(F.col(entity).isNotNull() & F.col(valid_from).isNotNull() & F.col(known_from).isNotNull() & F.col(ordinal).isNotNull())
-        .select(F.col(entity).alias("__entity"), F.greatest(valid_from, known_from).alias("__at"), F.struct(F.col(valid_from).alias("v"), F.col(ordinal).alias("o")).alias("__rank"), wide.alias("__wide"))
+    known = [F.col(c).isNotNull() for c in (entity, valid_from, known_from, ordinal)]
+    records = history.where(known[0] & known[1] & known[2] & known[3]).select(
+        F.col(entity).alias("__entity"),
+        F.greatest(valid_from, known_from).alias("__at"),
+        F.struct(F.col(valid_from).alias("v"), F.col(ordinal).alias("o")).alias("__rank"),
+        F.struct(*[F.col(c) for c in attributes]).alias("__wide"),
     )
-    narrow = records.groupBy("__entity", "__at").agg(F.max("__rank").alias("__rank"))
-    given = events.select(F.col(entity).alias("__entity"), F.col(at).alias("__at")).where("__entity is not null and __at is not null").distinct()
-    both = narrow.withColumn("__kind", F.lit(0)).unionByName(given.select("__entity", "__at", F.lit(None).cast(narrow.schema["__rank"].dataType).alias("__rank"), F.lit(1).alias("__kind")))
+    event = F.struct(*[events[c] for c in events.columns])
+    none = F.lit(None)
+    narrow = records.select("__entity", "__at", "__rank", F.lit(0).alias("__kind"), none.cast(T.StructType(events.schema.fields)).alias("__event"))
+    asked = events.where(F.col(entity).isNotNull() & F.col(at).isNotNull())
+    asked = asked.select(F.col(entity).alias("__entity"), F.col(at).alias("__at"), none.cast(records.schema["__rank"].dataType).alias("__rank"), F.lit(1).alias("__kind"), event.alias("__event"))
     newer = lambda prior: F.col("__rank").isNotNull() & (prior.isNull() | (F.col("__rank") > prior))
-    runs = running_labels(both, "__entity", "__at", "__rank", newer, ["__kind"], target_rows, "__prior", "__version")
-    # A version is named by the record that opened it; the last record row of a
-    # version's run need not be it, so the opening row is told by its rank.
-    versions = runs.where(F.col("__rank").isNotNull() & newer(F.col("__prior"))).select("__entity", "__version", "__at", "__rank")
-    numbered = runs.where("__kind = 1 and __version > 0").select("__entity", F.col("__at").alias("__event_at"), "__version")
+    # Records that become visible together are ordered by rank and so numbered alike in every run.
+    runs = running_labels(narrow.unionByName(asked), "__entity", "__at", "__rank", newer, ["__kind", "__rank"], target_rows, "__prior", "__version")
+    opened = runs.where((F.col("__kind") == 0) & newer(F.col("__prior"))).select("__entity", "__version", "__at", "__rank")
     chosen = records.groupBy("__entity", "__at", "__rank").agg(F.max("__wide").alias("__wide"))
-    versions = versions.join(chosen, ["__entity", "__at", "__rank"]).select("__entity", "__version", "__rank", "__wide")
-    found = numbered.join(versions, ["__entity", "__version"]).select("__entity", "__event_at", "__rank", "__wide")
-    joined = events.join(found, (events[entity] == F.col("__entity")) & (events[at] == F.col("__event_at")), "left" if keep_unmatched else "inner")
-    return joined.select(*[events[c] for c in events.columns], F.col("__rank.v").alias(f"then_{valid_from}"), F.col("__rank.o").alias(f"then_{ordinal}"), *[F.col(f"__wide.{c}").alias(f"then_{c}") for c in attributes])
+    versions = opened.join(chosen, ["__entity", "__at", "__rank"]).select("__entity", "__version", "__rank", "__wide")
+    numbered = runs.where("__kind = 1").select("__entity", "__version", "__event")
+    out = numbered.join(versions, ["__entity", "__version"], "left" if keep_unmatched else "inner")
+    then = [F.col("__rank.v").alias(f"then_{valid_from}"), F.col("__rank.o").alias(f"then_{ordinal}"), *[F.col(f"__wide.{c}").alias(f"then_{c}") for c in attributes]]
+    out = out.select(*[F.col("__event")[c].alias(c) for c in events.columns], *then)
+    if keep_unmatched:
+        unasked = events.where(F.col(entity).isNull() | F.col(at).isNull())
+        out = out.unionByName(unasked.select("*", *[none.cast(out.schema[c].dataType).alias(c) for c in out.columns[len(events.columns) :]]))
+    return out
