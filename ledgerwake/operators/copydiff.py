@@ -92,8 +92,8 @@ def _peeler(per_hash: int, seed: int):
             rows = zip(own["cell"], own["n"], own["k"], own["h"], own["c"], strict=True)
             found, whole = peel({int(i): [int(x) for x in r] for i, *r in rows}, per_hash, seed)
             out += [(int(bucket), k) for k in dict.fromkeys(k for k, _ in found)] if whole else [(int(bucket), None)]
-        frame = pd.DataFrame(out, columns=["bucket", "kh"])
-        return frame.astype({"bucket": "int64", "kh": "Int64"})
+        # typed one by one: a frame made of rows with gaps would pass through doubles
+        return pd.DataFrame({"bucket": pd.array([b for b, _ in out], "int64"), "kh": pd.array([k for _, k in out], "Int64")})
 
     return run
 

@@ -51,7 +51,7 @@ def running_labels(
     key: str,
     at: str,
     value: str,
-    starts: Callable[[Column], Column],
+    starts: Callable[[Column], Column] | None,
     ties: Sequence[str] = (),
     target_rows: int = 100_000,
     prior: str = "prior",
@@ -61,12 +61,14 @@ def running_labels(
 
     Adds ``prior``, the maximum of ``value`` over the key's earlier rows (null
     where there is none), and ``label``, the running count of the rows at which
-    ``starts(prior)`` holds. ``at`` is an integer column without nulls.
+    ``starts(prior)`` holds (0 without ``starts``). ``at`` is an integer column
+    without nulls.
 
     Keys above ``target_rows`` rows are cut into chunks of ``at``; a chunk takes
     its running maximum and its count from the summaries of the chunks before
     it, so no task gets a whole hot key. Rows of null key form one plain group.
     """
+    begins = starts or (lambda _: F.lit(False))
     hot = hot_keys(df, key, at, target_rows)
     first = Window.unboundedPreceding
 
@@ -76,7 +78,7 @@ def running_labels(
     def plain(part: DataFrame) -> DataFrame:
         w = within(key)
         part = part.withColumn(prior, F.max(value).over(w.rowsBetween(first, -1)))
-        part = part.withColumn("__starts", F.coalesce(starts(F.col(prior)), F.lit(False)).cast("int"))
+        part = part.withColumn("__starts", F.coalesce(begins(F.col(prior)), F.lit(False)).cast("int"))
         return part.withColumn(label, F.sum("__starts").over(w.rowsBetween(first, 0))).drop("__starts")
 
     if not hot:
@@ -89,7 +91,7 @@ def running_labels(
     w, along = within(key, "__chunk"), Window.partitionBy(key).orderBy("__chunk").rowsBetween(first, -1)
     seen = part.groupBy(key, "__chunk").agg(F.max(value).alias("__max")).select(key, "__chunk", F.max("__max").over(along).alias("__before"))
     part = part.withColumn("__local", F.max(value).over(w.rowsBetween(first, -1))).join(F.broadcast(seen), [key, "__chunk"], "left")
-    part = part.withColumn(prior, F.greatest("__local", "__before")).withColumn("__starts", F.coalesce(starts(F.col(prior)), F.lit(False)).cast("int")).drop("__local", "__before")
+    part = part.withColumn(prior, F.greatest("__local", "__before")).withColumn("__starts", F.coalesce(begins(F.col(prior)), F.lit(False)).cast("int")).drop("__local", "__before")
     counted = part.groupBy(key, "__chunk").agg(F.sum("__starts").alias("__n")).select(key, "__chunk", F.sum("__n").over(along).alias("__count"))
     part = part.withColumn("__run", F.sum("__starts").over(w.rowsBetween(first, 0))).join(F.broadcast(counted), [key, "__chunk"], "left")
     part = part.withColumn(label, F.col("__run") + F.coalesce("__count", F.lit(0))).drop("__starts", "__run", "__count", "__chunk")
