@@ -50,8 +50,7 @@ def p4_splits(spark: SparkSession, sf: str) -> DataFrame:
     node = F.coalesce(F.concat(F.lit("u"), F.col("chooser").cast("string")), F.concat(F.lit("c"), F.col("cohort")), F.concat(F.lit("g"), F.col("gid")), F.lit("none"))
     rows = rows.withColumn("node", node)
     groups = linked(rows, "node", "cohort")
-    # the group is joined by node: salted, as one chooser may have a third of the rows
-    rows = rows.join(groups, "node")
+    rows = rows.join(groups, "node")  # one row a node; a chooser's many rows are split by AQE's skew join
     split = grouped_splits(rows, "group", [F.col("y"), F.col("fair")], SPLITS)
     return rows.join(split, "group").select("gid", "chooser", "start_ms", "t", "ord", "cohort", "split")
 
@@ -120,5 +119,6 @@ _P4 = """
 
 SQL = {
     "p2_sample": _P2,
+    "p4_found": _P4,
     "p2_rows": f"SELECT gid, chooser, start_ms, t, ord, load_no FROM decisions SEMI JOIN ({_P2}) USING (chooser)",
 }
