@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: dict[str, str] = {}
+_ROOTS: set[str] = set()
 
 
 def session(app: str = "ledgerwake", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -50,6 +52,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIR[sc.applicationId]
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A fresh path below the application's own part of the shared folder, which is removed at exit."""
+    sc = spark.sparkContext
+    root = f"{shared_dir(spark)}/ledgerwake/{sc.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        folder = sc._jvm.org.apache.hadoop.fs.Path(root)
+        files = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+        atexit.register(_remove, files, folder)
+    return f"{root}/{tag}-{uuid.uuid4().hex}"
+
+
+def _remove(files: object, folder: object) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended first
+        files.delete(folder, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -57,7 +76,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     the files once nothing reads them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerwake/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ledgerwake_path = path
