@@ -17,7 +17,7 @@ from ledgerwake.session import spread
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pt", "ru")
 #: The sample that the automata are built from: at most so many documents, and
 #: so many characters of their segments, for each language.
-SAMPLE_DOCS = 400
+SAMPLE_DOCS = 150
 SAMPLE_CHARS = 40_000
 #: Documents with longer texts are not part of the sample.
 SAMPLE_DOC_CHARS = 20_000
