@@ -45,7 +45,7 @@ SQL = {
     "stream_sliding": """SELECT (epoch_ms(ts) // 43200000 - k) * 43200000 AS start_ms, event_type, count(*) AS n FROM events, range(2) r(k) GROUP BY ALL""",
     "stream_sessions": """WITH f AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL 30 MINUTE, true) AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
       s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM f)
-      SELECT user_id, epoch_ms(min(ts)) AS start_ms, epoch_ms(max(ts)) AS last_ms, count(*) AS n FROM s GROUP BY user_id, k""",
+      SELECT user_id, epoch_us(min(ts)) // 1000 AS start_ms, epoch_us(max(ts)) // 1000 AS last_ms, count(*) AS n FROM s GROUP BY user_id, k""",
     "stream_distinct": "SELECT DISTINCT event_id, user_id, event_type FROM events",
     "stream_running_counts": "SELECT user_id, count(*) AS n, count(*) - 1 AS last FROM events GROUP BY user_id",
 }
