@@ -28,10 +28,9 @@ def ensure_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def coverage(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys of one side only, with side ``left`` or ``right``; null keys are equal."""
-    x, y = (d.select(*keys).distinct().withColumn(f"__{n}", F.lit(True)) for d, n in ((a, "a"), (b, "b")))
-    on = [x[k].eqNullSafe(y[k]) for k in keys]
-    both = x.join(y, on, "full").where("__a is null or __b is null")
-    return both.select(*[F.coalesce(x[k], y[k]).alias(k) for k in keys], F.when(F.col("__a").isNull(), "right").otherwise("left").alias("side"))
+    sides = [d.select(*keys, F.lit(i).alias("__side")) for i, d in ((1, a), (2, b))]
+    seen = sides[0].unionByName(sides[1]).groupBy(*keys).agg(F.bit_or("__side").alias("__side")).where("__side < 3")
+    return seen.select(*keys, F.when(F.col("__side") == 1, "left").otherwise("right").alias("side"))
 
 
 def checked_join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner", cardinality: str = "one_to_one") -> DataFrame:

@@ -127,10 +127,10 @@ def within_horizon(left: DataFrame, events: DataFrame, by: tuple[str, str], left
     rows meet only where their times are near.
     """
     bucket = F.floor(F.col(left_at) / horizon).cast("long")
-    l = left.withColumn("__bucket", F.explode(F.array(bucket, bucket + 1)))
-    e = events.withColumn("__there", F.floor(F.col(event_at) / horizon).cast("long"))
-    on = (l[by[0]] == e[by[1]]) & (F.col("__bucket") == F.col("__there")) & (e[event_at] > l[left_at]) & (e[event_at] <= l[left_at] + horizon)
-    return l.join(e, on if also is None else on & also).drop("__bucket", "__there")
+    l = left.withColumns({"__bucket": F.explode(F.array(bucket, bucket + 1)), "__k": F.col(by[0]), "__from": F.col(left_at)})
+    e = events.withColumns({"__there": F.floor(F.col(event_at) / horizon).cast("long"), "__e": F.col(by[1]), "__when": F.col(event_at)})
+    on = F.expr(f"__k = __e and __bucket = __there and __when > __from and __when <= __from + {horizon}")
+    return l.join(e, on if also is None else on & also).drop("__bucket", "__there", "__k", "__e", "__from", "__when")
 
 
 def first_outcome(left: DataFrame, events: DataFrame, row: Sequence[str], by: tuple[str, str], left_at: str, event_at: str, horizon: int, also: Column, order: Sequence[str], take: Sequence[str]) -> DataFrame:
@@ -145,10 +145,9 @@ def range_join(points: DataFrame, spans: DataFrame, at: str, low: str, high: str
 
     ``width`` should be near the usual span; a longer one takes several buckets.
     """
-    s = spans.where(F.col(high) > F.col(low)).withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor((F.col(high) - 1) / width))))
-    p = points.withColumn("__c", F.floor(F.col(at) / width))
-    on = (F.col("__b") == F.col("__c")) & (F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))
-    return p.join(s, on & (p[by[0]] == s[by[1]]) if by else on).drop("__b", "__c")
+    s = spans.where(F.col(high) > F.col(low)).withColumns({"__b": F.explode(F.sequence(F.floor(F.col(low) / width), F.floor((F.col(high) - 1) / width))), "__low": F.col(low), "__high": F.col(high), "__s": F.col(by[1]) if by else F.lit(0)})
+    p = points.withColumns({"__c": F.floor(F.col(at) / width), "__at": F.col(at), "__p": F.col(by[0]) if by else F.lit(0)})
+    return p.join(s, F.expr("__b = __c and __p = __s and __at >= __low and __at < __high")).drop("__b", "__c", "__low", "__high", "__at", "__s", "__p")
 
 
 def adjacency(games: DataFrame, game: str, sides: tuple[str, str], order: Sequence[str], target_rows: int = 100_000) -> DataFrame:
