@@ -10,7 +10,7 @@ from ledgerwake.llm.langid import document_languages, sample, segment_languages,
 from ledgerwake.llm.leakage import leaks, without_leaks
 from ledgerwake.llm.sampling import frozen_sample, sampled_rows
 from ledgerwake.llm.splits import grouped_splits, linked
-from ledgerwake.session import materialize, table
+from ledgerwake.session import table
 
 RATE = 0.2
 SPLITS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
@@ -84,19 +84,16 @@ def _labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_segments(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _labelled(spark, sf)
-    return segment_languages(docs, "doc_id", "text", train(sample(docs, "doc_id", "text", "code")))
+    model = train(sample(_labelled(spark, sf), "doc_id", "text", "code"))
+    return segment_languages(table(spark, sf, "documents"), "doc_id", "text", model)
 
 
 def p10_documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _labelled(spark, sf)
-    return document_languages(docs, p10_segments(spark, sf), "doc_id")
+    return document_languages(table(spark, sf, "documents"), p10_segments(spark, sf), "doc_id")
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _labelled(spark, sf)
-    found = segment_languages(docs, "doc_id", "text", train(sample(docs, "doc_id", "text", "code")))
-    labels = docs.select("doc_id", "code").distinct()
+    found, labels = p10_segments(spark, sf), _labelled(spark, sf).select("doc_id", "code").distinct()
     return found.where("lang is not null").join(labels, "doc_id").where("code is null or code != lang").select("doc_id", "seg_no", "lang").distinct()
 
 
