@@ -177,7 +177,6 @@ def key_profile(
     rows = materialize(rows.groupBy("__key", "__record").agg(F.max("__value").alias("__value")), "records")
     total = rows.agg(F.count_distinct("__record")).first()[0]
     rows = rows.where(user(F.col("__key"))).select("__key", "__value")
-    rows._ledgerwake_path = None
     stats = materialize(
         rows.groupBy("__key").agg(F.count("*").alias("n_records"), F.count("__value").alias("n_values"), F.avg("__value").alias("mean_value"), F.min("__value").alias("lo"), F.max("__value").alias("hi")),
         "profile",
@@ -195,3 +194,22 @@ def key_profile(
         columns.append((low + (high - low) * (x - F.floor(x))).alias(name))
     share = F.col("n_records") / F.lit(max(total, 1))
     return out.select(F.col("__key").alias(key), "n_records", "n_values", "mean_value", *columns, share.alias("share"), (F.col("n_records") >= F.lit(heavy_share) * F.lit(total)).alias("heavy"))
+
+
+def row_ids(df: DataFrame, order: Sequence[str], name: str = "row_no", partitions: int | None = None) -> DataFrame:
+    """Adds ``name``: 1, 2, ... over all rows in ``order`` (nulls first), without a single-task window.
+
+    Rows are laid out by range and written once, so that the ranges stay what
+    they are; each range numbers its own rows after those of the ranges before.
+    ``order`` should tell rows apart, else equal rows share a range.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = materialize(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "row-ids")
+    sizes = {r[0]: r[1] for r in laid.groupBy("__part").count().collect()}  # one row a partition
+    before, offsets = 0, []
+    for part in sorted(sizes):
+        offsets += [F.lit(part), F.lit(before)]
+        before += sizes[part]
+    no = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    shift = F.create_map(*offsets)[F.col("__part")] if offsets else F.lit(0)
+    return laid.withColumn(name, (no + shift).cast("long")).drop("__part")

@@ -202,3 +202,25 @@ def unknown_until(df: DataFrame, reached: Column, anchor: str, horizon: int, obs
 def calendar(df: DataFrame, by: Sequence[str], at: str, step: int, low: Callable[[str], Column] = F.min, high: Callable[[str], Column] = F.max) -> DataFrame:
     """(by, at) for every step between each group's first and last."""
     return df.groupBy(*by).agg(low(at).alias("__lo"), high(at).alias("__hi")).select(*by, F.explode(F.sequence("__lo", "__hi", F.lit(step))).alias(at))
+
+
+def separated_top(df: DataFrame, by: str, at: str, value: str, top: int, apart: int) -> DataFrame:
+    """(by, at, value, rank): greatest values of each group, none within ``apart`` of a greater one taken before.
+
+    Greedy, so a group's rows meet in one task: give it seeds (local maxima,
+    rows above a threshold), which are few. Ties go to the earlier time.
+    """
+    import pandas as pd
+
+    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        taken: list[int] = []
+        keep = []
+        rows = rows.sort_values([value, at], ascending=[False, True], kind="stable")
+        for i, t in enumerate(rows[at]):
+            if len(taken) < top and all(abs(t - u) >= apart for u in taken):
+                taken.append(t)
+                keep.append(i)
+        return rows.iloc[keep].assign(rank=range(1, len(keep) + 1))
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return df.select(by, at, value).na.drop().groupBy(by).applyInPandas(pick, f"{by} {kinds[by]}, {at} {kinds[at]}, {value} {kinds[value]}, rank long")

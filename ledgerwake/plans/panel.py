@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerwake.operators import temporal as op
+from ledgerwake.operators.skew import row_ids
 from ledgerwake.session import table
 
 DAY = 86_400_000
@@ -326,6 +327,62 @@ def event_study(spark, sf):
     return p.groupBy(F.floor((F.col("utc_ms") - 1_704_067_200_000) / DAY).alias("off")).agg(F.count("*").alias("n"), F.count_if("outcome_kind_draw").alias("draws"))
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS row_no FROM orders")
+def global_row_ids(spark, sf):
+    return row_ids(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]).select("o_orderkey", "row_no")
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT user_id, epoch_ms(ts) // {DAY} AS day, count(*) AS n FROM events GROUP BY 1, 2), s AS (SELECT * FROM d WHERE n >= 3),
+  r(user_id, days, last, k) AS (SELECT user_id, [first], first, 1 FROM (SELECT user_id, arg_min(day, {{'a': -n, 'b': day}}) AS first FROM s GROUP BY user_id)
+    UNION ALL SELECT q.user_id, list_append(q.days, q.pick), q.pick, q.k + 1 FROM (SELECT r.user_id, r.days, r.k, arg_min(s.day, {{'a': -s.n, 'b': s.day}}) AS pick FROM r JOIN s ON s.user_id = r.user_id AND len(list_filter(r.days, lambda x: abs(x - s.day) < 2)) = 0 WHERE r.k < 3 GROUP BY ALL) q)
+  SELECT r.user_id, r.last AS day, s.n, r.k AS rank FROM r JOIN s ON s.user_id = r.user_id AND s.day = r.last""")
+def busiest_days(spark, sf):
+    """A user's three busiest days, at least two days apart."""
+    d = table(spark, sf, "events").groupBy("user_id", F.unix_date(F.to_date("ts")).cast("long").alias("day")).agg(F.count("*").alias("n")).where("n >= 3")
+    return op.separated_top(d, "user_id", "day", "n", 3, 2)
+
+
+@query("""WITH h AS (SELECT event_type, epoch_ms(ts) // 3600000 AS hour, count(*) AS n FROM events GROUP BY 1, 2), b AS (SELECT min(hour) AS lo, max(hour) AS hi FROM h),
+  g AS (SELECT event_type, hour, coalesce(n, 0) AS n FROM (SELECT * FROM (SELECT DISTINCT event_type FROM h), (SELECT unnest(range(lo, hi + 1)) AS hour FROM b)) x LEFT JOIN h USING (event_type, hour))
+  SELECT event_type, hour, n, (sum(n) OVER (w ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))::BIGINT AS trailing, (sum(n) OVER (w ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))::BIGINT AS centred, coalesce(sum(n) OVER (w ROWS BETWEEN 8 PRECEDING AND 3 PRECEDING), 0)::BIGINT AS earlier FROM g WINDOW w AS (PARTITION BY event_type ORDER BY hour)""")
+def rolling_grid(spark, sf):
+    """Sums over a dense hourly grid: trailing, centred, and a window that ends before."""
+    h = table(spark, sf, "events").groupBy("event_type", F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 3_600_000).alias("hour")).agg(F.count("*").alias("n"))
+    ends = h.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
+    g = h.select("event_type").distinct().crossJoin(F.broadcast(ends)).select("event_type", F.explode(F.sequence("lo", "hi")).alias("hour")).join(h, ["event_type", "hour"], "left").na.fill(0, ["n"])  # one row of ends
+    w = Window.partitionBy("event_type").orderBy("hour")
+    total = lambda a, b: F.coalesce(F.sum("n").over(w.rowsBetween(a, b)), F.lit(0))
+    return g.select("event_type", "hour", "n", total(-5, 0).alias("trailing"), total(-3, 3).alias("centred"), total(-8, -3).alias("earlier"))
+
+
+@query(f"""WITH e AS (SELECT event_type, epoch_ms(ts) // {DAY} AS day, ('0x' || substr(md5(user_id::VARCHAR), 1, 8))::BIGINT % 2 AS fold, count(*) AS n FROM events GROUP BY ALL),
+  z AS (SELECT event_type, day, fold, n, n - median(n) OVER (PARTITION BY event_type, fold) AS off FROM e), s AS (SELECT * FROM z WHERE fold = 0 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY off DESC, day) <= 5)
+  SELECT s.event_type, s.day, s.off AS found_off, coalesce(z.off > 0, false) AS replicated FROM s LEFT JOIN z ON z.event_type = s.event_type AND z.day = s.day AND z.fold = 1""")
+def fold_replication(spark, sf):
+    """Busy days found in one half of the users, looked up in the other half."""
+    fold = F.conv(F.substring(F.md5(F.col("user_id").cast("string")), 1, 8), 16, 10).cast("long") % 2
+    e = table(spark, sf, "events").groupBy("event_type", F.unix_date(F.to_date("ts")).cast("long").alias("day"), fold.alias("fold")).agg(F.count("*").alias("n"))
+    mid = e.groupBy("event_type", "fold").agg(F.median("n").alias("m"))
+    z = e.join(mid, ["event_type", "fold"]).select("event_type", "day", "fold", (F.col("n") - F.col("m")).alias("off"))
+    w = Window.partitionBy("event_type").orderBy(F.desc("off"), "day")
+    seeds = z.where("fold = 0").withColumn("k", F.row_number().over(w)).where("k <= 5").select("event_type", "day", F.col("off").alias("found_off"))
+    return seeds.join(z.where("fold = 1").select("event_type", "day", "off"), ["event_type", "day"], "left").select("event_type", "day", "found_off", F.coalesce(F.col("off") > 0, F.lit(False)).alias("replicated"))
+
+
+@query(f"""WITH {_ASKED}, {_DECIDED}, h AS (SELECT a.row_id, a.anchor_ms, d.gid, d.ord FROM asked a JOIN decided d ON d.chooser = a.opponent_id AND d.t > a.anchor_ms AND d.t <= a.anchor_ms + {_HORIZON} AND d.start_ms > a.anchor_ms AND d.counterparty <> a.recipient_id AND d.fair
+    QUALIFY row_number() OVER (PARTITION BY a.row_id, a.anchor_ms, a.opponent_id, a.recipient_id ORDER BY d.t, d.ord, d.gid) = 1) SELECT gid, count(*) AS exposures FROM h GROUP BY gid HAVING count(*) > 1""")
+def reused_outcomes(spark, sf):
+    """Outcomes that serve several anchors."""
+    return first_outcome_after_anchor(spark, sf).where("gid is not null").groupBy("gid").agg(F.count("*").alias("exposures")).where("exposures > 1")
+
+
+@query("SELECT cohort, count(DISTINCT lower(trim(cohort))) AS names, count(DISTINCT load_no) AS loads FROM decisions WHERE cohort IS NOT NULL GROUP BY cohort HAVING count(DISTINCT load_no) > 1")
+def nested_labels(spark, sf):
+    """Fine labels that fall into several coarse ones."""
+    d = table(spark, sf, "decisions").where("cohort is not null")
+    return d.groupBy("cohort").agg(F.count_distinct(F.lower(F.trim("cohort"))).alias("names"), F.count_distinct("load_no").alias("loads")).where("loads > 1")
+
+
 @query()
 def rating_replayed(spark, sf):
     p = table(spark, sf, "analysis_panel").where("utc_ms is not null").select("api_speed", "utc_ms", "game_id", "chooser_user_id", "disconnected_user_id", F.when(F.col("outcome_kind_draw"), 0.5).otherwise(1.0).alias("score")).distinct()
