@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,6 +100,13 @@ def running_labels(
     return cold.unionByName(part.select(*cold.columns))
 
 
+def _bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
+    """The bin of lo <= v <= hi: 0 for lo, the last for hi; halved against overflow, one bin between infinite ends."""
+    share = F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * bins).cast("int")
+    endless = (lo == float("-inf")) | (hi == float("inf"))
+    return F.when(v == lo, 0).when(v == hi, bins - 1).when(endless, bins // 2).otherwise(F.least(share, F.lit(bins - 1)))
+
+
 def order_statistics(df: DataFrame, key: str, value: str, wanted: DataFrame, bins: int = 64, target_rows: int = 100_000) -> DataFrame:
     """The ``rank``-th smallest ``value`` (from 0) of each key, exactly.
 
@@ -119,27 +127,32 @@ def order_statistics(df: DataFrame, key: str, value: str, wanted: DataFrame, bin
     is_hot = F.col(key).isin(hot) if hot else F.lit(False)
     done: list[DataFrame] = []
     used = [state]
-    while True:
+    rows, inside = df.select(key, F.col(value).cast("double").alias("__v")), None
+    for no in count(1):
         done.append(state.where("lo = hi").select(key, "rank", F.col("lo").alias("result")))
         todo = state.where("lo < hi")
         if todo.isEmpty():
             break
         spans = todo.select(key, "lo", "hi", "below").distinct()
-        rows = df.select(key, F.col(value).cast("double").alias("__v"))
-        parts = [rows.where(~is_hot).join(spans.where(~is_hot), key)] if hot else [rows.join(spans, key)]
+        near = rows.where(~is_hot).join(spans.where(~is_hot), key) if hot else rows.join(spans, key)
         if hot:
-            parts.append(rows.where(is_hot).join(F.broadcast(spans.where(is_hot)), key))
-        counts = None
-        for part in parts:
-            part = part.where("__v >= lo and __v <= hi").withColumn("bin", F.least(F.floor((F.col("__v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int"))
-            part = part.groupBy(key, "lo", "hi", "below", "bin").agg(F.count("*").alias("n"), F.min("__v").alias("b_lo"), F.max("__v").alias("b_hi"))
-            counts = part if counts is None else counts.unionByName(part)
+            near = near.unionByName(rows.where(is_hot).join(F.broadcast(spans.where(is_hot)), key))
+        near = near.where("__v >= lo and __v <= hi")
+        if no > 1:
+            # The open intervals of a key are disjoint and lie within those of the
+            # round before: the rows inside them are all that later rounds read.
+            near = materialize(near, "inside")
+            release(inside)
+            inside, rows = near, near.select(key, "__v")
+        bins_of = near.withColumn("bin", _bin(F.col("__v"), F.col("lo"), F.col("hi"), bins))
+        counts = bins_of.groupBy(key, "lo", "hi", "below", "bin").agg(F.count("*").alias("n"), F.min("__v").alias("b_lo"), F.max("__v").alias("b_hi"))
         # at most ``bins`` rows to each (key, interval)
         w = Window.partitionBy(key, "lo", "hi", "below").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         counts = counts.withColumn("upto", F.col("below") + F.sum("n").over(w))
         state = todo.join(counts, [key, "lo", "hi", "below"]).where("rank < upto and rank >= upto - n").select(key, "rank", F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"), (F.col("upto") - F.col("n")).alias("below"))
         state = materialize(state, "ranks")
         used.append(state)
+    release(inside)
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
@@ -191,7 +204,7 @@ def key_profile(
     for p, name in at:
         x = (F.col("n_values") - 1) * F.lit(float(p))
         low, high = F.col("__at")[F.floor(x).cast("long")], F.col("__at")[F.ceil(x).cast("long")]
-        columns.append((low + (high - low) * (x - F.floor(x))).alias(name))
+        columns.append(F.when(low == high, low).otherwise(low + (high - low) * (x - F.floor(x))).alias(name))
     share = F.col("n_records") / F.lit(max(total, 1))
     return out.select(F.col("__key").alias(key), "n_records", "n_values", "mean_value", *columns, share.alias("share"), (F.col("n_records") >= F.lit(heavy_share) * F.lit(total)).alias("heavy"))
 

@@ -12,7 +12,7 @@ from ledgerwake.operators import copydiff
 from ledgerwake.operators.copydiff import Field, compare_copies
 from ledgerwake.operators.intervals import periods, periods_and_gaps
 from ledgerwake.operators.rolling import every_day, trailing_totals
-from ledgerwake.operators.skew import key_profile, running_labels
+from ledgerwake.operators.skew import key_profile, row_ids, running_labels
 from ledgerwake.operators.versions import attributes_at
 
 
@@ -92,6 +92,19 @@ def test_profile_is_exact_with_nulls_ties_and_a_hot_key(spark, target):
     assert key_profile(df.limit(0), "u", "id", "v").collect() == []
 
 
+def test_profile_with_infinite_and_extreme_values(spark):
+    inf = float("inf")
+    data = [(1, i, v) for i, v in enumerate([-inf, 1.0, 2.0, inf, inf])] + [(2, i, v) for i, v in enumerate([-1.7e308, 1.7e308, 5e-324, 0.0, -0.0])]
+    df = spark.createDataFrame(data, "u long, id long, v double")
+    assert {x.u: (x.q25, x.q50, x.q75) for x in key_profile(df, "u", "id", "v", (0.25, 0.5, 0.75)).collect()} == {1: (1.0, 2.0, inf), 2: (0.0, 0.0, 5e-324)}
+
+
+def test_row_ids(spark):
+    df = spark.createDataFrame([(i * 7 % 50,) for i in range(50)], "v long")
+    assert {x.v: x.row_no for x in row_ids(df, ["v"], partitions=5).collect()} == {v: v + 1 for v in range(50)}
+    assert row_ids(df.limit(0), ["v"]).count() == 0
+
+
 # Copies ---------------------------------------------------------------------------
 
 COPY = "k long, rev int, s string, x double, bucket int, h int"
