@@ -148,8 +148,9 @@ def first_outcome_after_anchor(spark, sf):
 @query(f"""WITH {_ASKED}, {_DECIDED} SELECT a.row_id, a.anchor_ms, {", ".join(f"count(*) FILTER (WHERE d.t <= a.anchor_ms + {k * DAY}) AS n_{k}d" for k in (7, 30, 90))}
   FROM asked a JOIN decided d ON d.chooser = a.opponent_id AND d.t > a.anchor_ms AND d.t <= a.anchor_ms + {_HORIZON} GROUP BY a.row_id, a.anchor_ms""")
 def horizon_counts(spark, sf):
-    pairs = op.within_horizon(_asked(spark, sf), _decided(spark, sf), ("opponent_id", "chooser"), "anchor_ms", "t", _HORIZON)
-    return pairs.groupBy("row_id", "anchor_ms").agg(*[F.count_if(F.col("t") <= F.col("anchor_ms") + k * DAY).alias(f"n_{k}d") for k in (7, 30, 90)])
+    asked, decided = _asked(spark, sf).withColumnRenamed("opponent_id", "chooser"), _decided(spark, sf)
+    spans = {f"n_{k}d": (1, k * DAY + 1) for k in (7, 30, 90)}
+    return op.window_counts(asked, decided, ["chooser"], ["row_id", "anchor_ms"], "anchor_ms", "t", spans).where("n_90d > 0")
 
 
 _EXPERIENCE = "CASE WHEN earlier = 0 THEN 'new' WHEN earlier < 5 THEN 'some' ELSE 'many' END"
