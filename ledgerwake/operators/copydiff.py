@@ -42,9 +42,13 @@ class Field:
         return [c.isNull(), c]
 
 
-def newest(df: DataFrame, keys: Sequence[str], revision: str | None, fields: Sequence[tuple[str, Column]]) -> DataFrame:
-    """One row per key: the highest revision; of several such rows the greatest values."""
-    named = F.struct(*([F.col(revision).alias("__rev")] if revision else []), *[c.alias(n) for n, c in fields])
+#: Up to so many differing keys are broadcast to fetch their rows; more are joined.
+MAX_BROADCAST_KEYS = 500_000
+
+
+def newest(df: DataFrame, keys: Sequence[str], revision: str | None, hashed: Column, values: Sequence[Column] = ()) -> DataFrame:
+    """One row per key: the highest revision; of several such rows the greatest row hash, then the greatest values."""
+    named = F.struct(*([F.col(revision).alias("__rev")] if revision else []), hashed.alias("__h"), *values)
     return df.select(*[F.col(k) for k in keys], named.alias("__row")).where(" and ".join(f"`{k}` is not null" for k in keys)).groupBy(*keys).agg(F.max("__row").alias("__row"))
 
 
@@ -132,8 +136,8 @@ def compare_copies(
     both values as strings (null for missing rows).
 
     Per side and key only the row of the highest ``revision`` counts (null
-    being the lowest); of several such rows the one of greatest values. Rows
-    with a null in a key are ignored. Repeated rows, empty tables and columns
+    being the lowest); of several such rows that differ, the one of greatest row
+    hash. Rows with a null in a key are ignored. Repeated rows, empty tables and columns
     not named in ``fields`` change nothing. Null differs from everything but
     null, NaN from everything but NaN, doubles if further apart than their
     field's tolerance.
@@ -148,34 +152,35 @@ def compare_copies(
     difference is lost; rounding noise can only fetch a row in vain.
     """
     spark = main.sparkSession
-    tables = [(1, main, [(f.name, f.main) for f in fields]), (-1, copy, [(f.name, f.copy) for f in fields])]
+    # of each side: sign, rows, the columns to compare, the row hash
+    tables = [(sign, df, of, F.xxhash64(*[x for f, c in zip(fields, of, strict=True) for x in f.hashed(c)])) for sign, df, of in ((1, main, [f.main for f in fields]), (-1, copy, [f.copy for f in fields]))]
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # A multiple of the shuffle's partitions: with the bucket taken from the hash
     # that Spark partitions by, each bucket lies whole in one task.
     buckets = shuffle * max(1, -(-max(main.count(), copy.count()) // (rows_per_bucket * shuffle)))
     kh = F.xxhash64(*keys)
 
-    def elements(df: DataFrame, named: list[tuple[str, Column]]) -> DataFrame:
-        hashed = [x for f in fields for x in f.hashed(F.col(f"__row.{f.name}"))]
-        return newest(df, keys, revision, named).select(F.pmod(F.hash(*keys).cast("long"), F.lit(buckets)).alias("bucket"), kh.alias("kh"), F.xxhash64(*hashed).alias("h"))
+    def elements(df: DataFrame, hashed: Column) -> DataFrame:
+        return newest(df, keys, revision, hashed).select(F.pmod(F.hash(*keys).cast("long"), F.lit(buckets)).alias("bucket"), kh.alias("kh"), F.col("__row.__h").alias("h"))
 
-    found = materialize(differing_keys([(s, elements(df, named)) for s, df, named in tables], cells, 1), "differing")
+    found = materialize(differing_keys([(s, elements(df, h)) for s, df, _, h in tables], cells, 1), "differing")
     used, wanted = [found], found.where("kh is not null").select("kh")
     whole = None
     if not (failed := found.where("kh is null").select("bucket").distinct()).isEmpty():
-        again = [(s, elements(df, named).join(failed, "bucket", "left_semi")) for s, df, named in tables]
+        again = [(s, elements(df, h).join(failed, "bucket", "left_semi")) for s, df, _, h in tables]
         second = materialize(differing_keys(again, 8 * cells, 2), "differing")
         used.append(second)
         wanted = wanted.unionByName(second.where("kh is not null").select("kh"))
         if not (rest := second.where("kh is null").select("bucket").distinct()).isEmpty():
             whole = rest
     if whole is not None:
-        every = [elements(df, named).join(whole, "bucket", "left_semi").select("kh") for _, df, named in tables]
+        every = [elements(df, h).join(whole, "bucket", "left_semi").select("kh") for _, df, _, h in tables]
         wanted = wanted.unionByName(every[0]).unionByName(every[1])
     wanted = materialize(wanted.distinct(), "wanted")
     release(*used)
     used = [wanted]
-    rows = [newest(df.withColumn("__kh", kh).join(wanted, F.col("__kh") == F.col("kh"), "left_semi"), keys, revision, named) for _, df, named in tables]
+    fetch = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_KEYS else wanted
+    rows = [newest(df.withColumn("__kh", kh).join(fetch, F.col("__kh") == F.col("kh"), "left_semi"), keys, revision, h, [c.alias(f.name) for f, c in zip(fields, of, strict=True)]) for _, df, of, h in tables]
     both = rows[0].withColumnRenamed("__row", "__a").join(rows[1].withColumnRenamed("__row", "__b"), list(keys), "full")
     one = lambda diff, a, b: F.struct(F.lit(diff).alias("diff"), a.cast("string").alias("main_value"), b.cast("string").alias("copy_value"))
     none = F.lit(None)
