@@ -186,7 +186,7 @@ def random_effects(spark, sf):
 
 @query()
 def hmm_states(spark, sf):
-    return likelihood.result_frame(spark, likelihood.hidden_states(_panel(spark, sf), "u", ["utc_ms", "game_id"], "y", 5))
+    return likelihood.result_frame(spark, likelihood.hidden_states(_panel(spark, sf), "u", ["utc_ms", "game_id"], "y"))
 
 
 @query()

@@ -173,29 +173,39 @@ def binomial_mixture(entities: DataFrame, n: str, k: str, types: int, starts: in
 
 
 def forward_backward(y: np.ndarray, start: np.ndarray, move: np.ndarray, rate: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log-likelihood, state probabilities (T x S) and expected moves (S x S) of one 0/1 sequence."""
-    t, s = len(y), len(start)
-    like = np.where(y[:, None] > 0, rate, 1 - rate)
-    a, scale = np.zeros((t, s)), np.zeros(t)
-    for i in range(t):
-        a[i] = (start if i == 0 else a[i - 1] @ move) * like[i]
-        scale[i] = a[i].sum()
-        a[i] /= scale[i]
-    b, moves = np.ones(s), np.zeros((s, s))
-    post = np.zeros((t, s))
-    post[-1] = a[-1]
-    for i in range(t - 1, 0, -1):
-        r = like[i] * b / scale[i]
-        moves += a[i - 1][:, None] * move * r
-        b = move @ r
-        post[i - 1] = a[i - 1] * b
-    return float(np.log(scale).sum()), post, moves
-
-
-def hidden_states(df: DataFrame, entity: str, order: Sequence[str], y: str, rounds: int = 30, tolerance: float = 1e-6) -> dict:
+    """Log-likelihood, state probabilities (T x 2) and expected moves (2 x 2) of one 0/1 sequence with two states.
+
+    The steps are walked on plain floats: arrays of two cost ten times as much.
+    """
+    (m00, m01), (m10, m11) = move.tolist()
+    like = np.where(y[:, None] > 0, rate, 1 - rate).tolist()
+    ahead, scale = [], []
+    p, q = start.tolist()
+    for e, f in like:
+        p, q = p * e, q * f
+        z = p + q
+        p, q = p / z, q / z
+        ahead.append((p, q))
+        scale.append(z)
+        p, q = p * m00 + q * m10, p * m01 + q * m11
+    back, ratio = [(1.0, 1.0)], []
+    p, q = 1.0, 1.0
+    for (e, f), z in zip(like[:0:-1], scale[:0:-1], strict=True):
+        u, v = e * p / z, f * q / z
+        ratio.append((u, v))
+        p, q = m00 * u + m01 * v, m10 * u + m11 * v
+        back.append((p, q))
+    a = np.array(ahead)
+    return float(np.log(scale).sum()), a * np.array(back[::-1]), move * (a[:-1].T @ np.array(ratio[::-1]).reshape(-1, 2))
+
+
+def hidden_states(df: DataFrame, entity: str, order: Sequence[str], y: str, rounds: int = 1000, tolerance: float = 1e-6) -> dict:
     """Two hidden states with their own rate of y, by Baum-Welch; expected counts are summed over entities.
 
-    A sequence is walked in one task, as each step depends on the one before.
+    Stops when a round gains no more than ``tolerance`` times the log-likelihood,
+    which is that of the numbers returned, and raises if that is not reached in
+    ``rounds`` rounds. A sequence is walked in one task, as each step depends on
+    the one before.
     """
     start, move, rate, last = np.array([0.5, 0.5]), np.array([[0.9, 0.1], [0.1, 0.9]]), np.array([0.2, 0.6]), -math.inf
     rows = Grouped(df.where(F.col(y).isNotNull()), entity, order, [y])
@@ -207,15 +217,17 @@ def hidden_states(df: DataFrame, entity: str, order: Sequence[str], y: str, roun
 
         return kernel
 
-    for _ in range(rounds):
-        r = rows.total(at(start, move, rate), 11)
-        start, move, rate = r[1:3] / r[1:3].sum(), r[3:7].reshape(2, 2), np.clip(r[9:11] / r[7:9], 1e-6, 1 - 1e-6)
-        move = move / move.sum(1, keepdims=True)
-        if r[0] - last < tolerance * abs(r[0]):
-            break
-        last = r[0]
-    rows.close()
-    return {"loglik": r[0], "start": start, "move": move, "rate": rate}
+    try:
+        for _ in range(rounds):
+            r = rows.total(at(start, move, rate), 11)
+            if r[0] - last <= tolerance * abs(r[0]):
+                return {"loglik": r[0], "start": start, "move": move, "rate": rate}
+            last = r[0]
+            start, move, rate = r[1:3] / r[1:3].sum(), r[3:7].reshape(2, 2), np.clip(r[9:11] / r[7:9], 1e-6, 1 - 1e-6)
+            move = move / move.sum(1, keepdims=True)
+    finally:
+        rows.close()
+    raise ArithmeticError(f"log-likelihood still gains more than {tolerance} of itself after {rounds} rounds")
 
 
 def effect_poisson(df: DataFrame, entity: str, count: str, x: Sequence[str], most: int = 50) -> dict:

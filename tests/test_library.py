@@ -173,6 +173,34 @@ def test_likelihoods(spark):
     assert np.allclose(fit["rate"], [0.1, 0.6], atol=0.05) and np.allclose(fit["share"], 0.5, atol=0.15)
 
 
+def test_hidden_states_converge_or_raise(spark):
+    r = random.Random(5)
+    rows = []
+    for u in range(60):
+        state = r.random() < 0.5
+        for t in range(20):
+            state = state if r.random() < 0.85 else not state
+            rows.append((u, t, float(r.random() < (0.75 if state else 0.15))))
+    df = spark.createDataFrame(rows, "u long, t long, y double")
+    fit = likelihood.hidden_states(df, "u", ["t"], "y")
+    own = [np.array([y for v, _, y in rows if v == u]) for u in range(60)]
+    now = [likelihood.forward_backward(y, fit["start"], fit["move"], fit["rate"]) for y in own]
+    assert math.isclose(sum(x[0] for x in now), fit["loglik"], rel_tol=1e-10)  # of the numbers returned
+    start, move = sum(x[1][0] for x in now), sum(x[2] for x in now)
+    rate = sum((x[1] * y[:, None]).sum(0) for x, y in zip(now, own, strict=True)) / sum(x[1].sum(0) for x in now)
+    more = sum(likelihood.forward_backward(y, start / start.sum(), move / move.sum(1, keepdims=True), rate)[0] for y in own)
+    assert 0 <= more - fit["loglik"] <= 1e-6 * abs(more)  # another round gains nothing
+    with pytest.raises(ArithmeticError):
+        likelihood.hidden_states(df, "u", ["t"], "y", 5)
+
+
+def test_hidden_states_query_is_converged(spark):
+    import __spark_entry__ as entry
+
+    got = {x.term: x.value for x in entry.queries()["hmm_states"](spark, "/root/testdata/sf0.001").collect()}
+    assert abs(got["loglik"] + 472.645) < 0.01  # -473.0 or less after five rounds
+
+
 def test_grouped_sums_cross_batches(spark):
     df = spark.range(5000).select((F.col("id") % 7).alias("g"), "id", F.lit(1.0).alias("x"))
     rows = likelihood.Grouped(df, "g", ["id"], ["x"])
