@@ -207,12 +207,12 @@ def bootstrap_draws(spark, sf):
 
 @query()
 def rematch_draws(spark, sf):
-    return scores.rematch(_panel(spark, sf), ["speed", "month"], "game_id", "fair", "y", 10)
+    return scores.rematch(_panel(spark, sf), ["speed", "month"], "game_id", "fair", "y", 100)
 
 
 @query()
 def randomization_law(spark, sf):
-    return scores.randomized(_panel(spark, sf).select("u", F.col("y").cast("boolean").alias("y"), "cp", "game_id"), "u", "y", "cp", 10)
+    return scores.randomized(_panel(spark, sf).select("u", F.col("y").cast("boolean").alias("y"), "cp", "game_id"), "u", "y", "cp", 100)
 
 
 @query(f"""WITH {_PANEL}, c AS (SELECT game_id, utc_ms, cp, greatest(cp + 3, 0)^3 AS a, greatest(cp, 0)^3 AS b, greatest(cp - 3, 0)^3 AS c FROM p)

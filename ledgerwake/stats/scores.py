@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,30 +98,89 @@ def bootstrap(df: DataFrame, cluster: str, y: str, draws: int, seed: int = 1) ->
     return w.groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.expr("nullif(sum(w * n), 0)")).alias("estimate"))
 
 
+#: Draws that one task makes of one cell's units.
+DRAWS_A_TASK = 25
+
+
 def rematch(df: DataFrame, cell: Sequence[str], unit: str, treated: str, y: str, draws: int, per_case: int = 1, seed: int = 1) -> DataFrame:
     """(draw, pairs, effect): cases matched 1:k to controls of their cell by seeded hash, again in each draw.
 
-    Cases and controls are numbered by hash within cell and draw and joined by
-    number. A cell's units meet in one task, so cells should be fine.
+    Cases and controls are put in the order of their hash and paired by number.
+    A cell's units meet in one task, so cells should be fine; they are sent once
+    for every DRAWS_A_TASK draws, not once a draw.
     """
-    r = df.where(F.col(treated).isNotNull() & F.col(y).isNotNull()).select(*cell, unit, F.col(treated).alias("t"), F.col(y).cast("double").alias("v"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    r = r.withColumn("h", F.md5(F.concat_ws("|", F.lit(seed), "draw", F.col(unit).cast("string"))))
-    no = F.row_number().over(Window.partitionBy("draw", *cell, "t").orderBy("h", unit)) - 1
-    r = r.withColumn("no", no)
-    case = r.where("t").select("draw", *cell, F.col("no").alias("slot"), F.col("v").alias("v1"))
-    control = r.where("not t").select("draw", *cell, F.floor(F.col("no") / per_case).cast("int").alias("slot"), F.col("v").alias("v0"))
-    pairs = case.join(control.groupBy("draw", *cell, "slot").agg(F.avg("v0").alias("v0")), ["draw", *cell, "slot"])
-    return pairs.groupBy("draw").agg(F.count("*").alias("pairs"), F.avg(F.col("v1") - F.col("v0")).alias("effect"))
+    r = df.where(F.col(treated).isNotNull() & F.col(y).isNotNull()).na.drop(subset=list(cell))
+    r = r.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(cell)], F.col(unit).cast("string").alias("unit"), F.col(treated).alias("t"), F.col(y).cast("double").alias("v"), F.explode(F.sequence(F.lit(1), F.lit(draws), F.lit(DRAWS_A_TASK))).alias("first"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["unit", "v"])  # equal hashes stay in this order
+        sides = [(own["v"].to_numpy(), [b"" if u is None else b"|" + u.encode() for u in own["unit"]]) for own in (pdf[pdf["t"]], pdf[~pdf["t"]])]
+        first, out = int(pdf["first"].iloc[0]), []
+        for draw in range(first, min(first + DRAWS_A_TASK, draws + 1)):
+            head = f"{seed}|{draw}".encode()
+            case, control = (v[np.argsort(np.frombuffer(b"".join(hashlib.md5(head + u).digest()[:8] for u in units), ">u8"), kind="stable")] for v, units in sides)
+            starts = np.arange(0, len(control), per_case)
+            pairs = min(len(case), len(starts))
+            if pairs:
+                means = np.add.reduceat(control, starts) / np.minimum(per_case, len(control) - starts)
+                out.append((draw, pairs, float((case[:pairs] - means[:pairs]).sum())))
+        return pd.DataFrame(out, columns=["draw", "pairs", "s"])
+
+    own = r.groupBy(*[f"__c{i}" for i in range(len(cell))], "first").applyInPandas(run, "draw int, pairs long, s double")
+    return own.groupBy("draw").agg(F.sum("pairs").alias("pairs"), (F.sum("s") / F.sum("pairs")).alias("effect"))
+
+
+def _xxhash64(number: np.ndarray | int, before: int, long: bool) -> np.ndarray:
+    """Spark's xxhash64 of an int or of longs, after a column with the hash ``before``."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    v = np.atleast_1d(np.asarray(number, np.int64)).view(np.uint64)
+    h = np.full(1, before, np.uint64) + p5 + np.uint64(8 if long else 4)
+    h = turn(h ^ (turn(v * p2, 31) * p1), 27) * p1 + p4 if long else turn(h ^ ((v & np.uint64(0xFFFFFFFF)) * p1), 23) * p2 + p3
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
 
 
 def randomized(df: DataFrame, entity: str, y: str, x: str, draws: int, seed: int = 1) -> DataFrame:
-    """(draw, statistic): sum of x over as many of each entity's rows as had y, chosen anew by hash; draw 0 is as observed."""
-    r = df.where(F.col(y).isNotNull() & F.col(x).isNotNull() & F.col(entity).isNotNull()).select(entity, F.col(y).alias("y"), F.col(x).cast("double").alias("x"), F.xxhash64(*df.columns).alias("id"))
-    own = r.groupBy(entity).agg(F.count_if("y").alias("m"))
+    """(draw, statistic): sum of x over as many of each entity's rows as had y, chosen anew by hash; draw 0 is as observed.
+
+    All rows of an entity are as likely to be chosen. They meet in one task, which
+    makes all draws; rows are sent once, not once a draw.
+    """
+    r = df.where(F.col(y).isNotNull() & F.col(x).isNotNull() & F.col(entity).isNotNull()).select(F.col(entity).alias("e"), F.col(y).alias("y"), F.col(x).cast("double").alias("x"), F.xxhash64(*df.columns).alias("id"))
     seen = r.where("y").agg(F.sum("x").alias("statistic")).select(F.lit(0).alias("draw"), "statistic")
-    many = r.join(own.where("m > 0"), entity).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    no = F.row_number().over(Window.partitionBy("draw", entity).orderBy(F.xxhash64(F.lit(seed), "draw", "id"), "id", "x"))
-    return seen.unionByName(many.withColumn("no", no).where("no <= m").groupBy("draw").agg(F.sum("x").alias("statistic")))
+
+    def chosen(own: pd.DataFrame) -> np.ndarray:
+        """The sums of whole entities' rows, for each draw."""
+        keys, x, ids = own["e"].to_numpy(), own["x"].to_numpy(), own["id"].to_numpy()
+        no = np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])])
+        most, size = np.bincount(no, own["y"].to_numpy(float)), np.bincount(no)
+        first = np.arange(len(no)) - (np.cumsum(size) - size)[no] < most[no]  # in order of hash
+        out = np.zeros(draws)
+        for d in range(draws):
+            before = int(_xxhash64(d + 1, int(_xxhash64(seed, 42, False)[0]), False)[0])
+            out[d] = x[np.lexsort((_xxhash64(ids, before, True).view(np.int64), no))[first]].sum()
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, parts = np.zeros(draws), []
+        for b in batches:
+            if not len(b):
+                continue
+            keys = b["e"].to_numpy()
+            cut = len(b) - int(np.argmax(keys[::-1] != keys[-1])) if keys[0] != keys[-1] else 0
+            if cut or parts and parts[-1]["e"].iloc[-1] != keys[0]:  # all before the last entity is whole
+                out += chosen(pd.concat([*parts, b.iloc[:cut]], ignore_index=True))
+                parts = []
+            parts.append(b.iloc[cut:])
+        if parts:
+            out += chosen(pd.concat(parts, ignore_index=True))
+        yield pd.DataFrame({"draw": np.arange(1, draws + 1, dtype=np.int32), "statistic": out})
+
+    some = seen.where("statistic is not null").select(F.lit(True).alias("any"))  # no draws if no row had y
+    sums = r.repartition("e").sortWithinPartitions("e", "id", "x").mapInPandas(run, "draw int, statistic double").groupBy("draw").agg(F.sum("statistic").alias("statistic"))
+    return seen.unionByName(sums.join(F.broadcast(some)).select("draw", "statistic"))
 
 
 def spline(x: Column, knots: Sequence[float]) -> list[Column]:

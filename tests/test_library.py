@@ -1,5 +1,6 @@
 """Temporal operators, statistics, contracts, sources and streams on small made-up data."""
 
+import hashlib
 import math
 import random
 
@@ -219,6 +220,42 @@ def test_scores(spark):
     assert sorted((x.c, x.v_filled, x.v_missing) for x in filled.where("v_filled is not null").collect()) == [("a", 1.0, False), ("a", 2.0, True), ("a", 3.0, False)]
 
 
+def test_rematch_in_order_of_hash(spark):
+    r = random.Random(7)
+    rows = [(r.choice("abc"), i, r.random() < 0.4, r.random()) for i in range(120)]
+    df = spark.createDataFrame(rows, "c string, id long, t boolean, y double")
+    for k in (1, 2):
+        got = {x.draw: (x.pairs, x.effect) for x in scores.rematch(df, ["c"], "id", "t", "y", 12, k).collect()}
+        assert sorted(got) == list(range(1, 13))
+        for draw in got:
+            gaps = []
+            for cell in "abc":
+                own = sorted((hashlib.md5(f"1|{draw}|{i}".encode()).hexdigest(), t, y) for c, i, t, y in rows if c == cell)
+                case, control = ([y for _, t, y in own if t == side] for side in (True, False))
+                gaps += [a - sum(b) / len(b) for a, b in zip(case, (control[j : j + k] for j in range(0, len(control), k)), strict=False)]
+            assert got[draw][0] == len(gaps) and math.isclose(got[draw][1], sum(gaps) / len(gaps), rel_tol=1e-9)
+
+
+def test_randomized_in_order_of_hash(spark):
+    r = random.Random(8)
+    rows = [(u, i, r.random() < 0.3, r.random()) for u in range(9) for i in range(r.choice([1, 4, 30, 300]))]
+    df = spark.createDataFrame(rows, "u long, i long, y boolean, x double").repartition(3)
+    got = {x.draw: x.statistic for x in scores.randomized(df, "u", "y", "x", 12).collect()}
+    hashes = df.select("u", "y", "x", F.xxhash64("u", "i", "y", "x").alias("id")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("h", F.xxhash64(F.lit(1), "draw", "id")).collect()
+    want = {0: sum(x for _, _, y, x in rows if y)}
+    for d in range(1, 13):
+        own = [sorted((z.h, z.x) for z in hashes if (z.draw, z.u) == (d, u))[: sum(y for v, _, y, _ in rows if v == u)] for u in range(9)]
+        want[d] = sum(x for o in own for _, x in o)
+    assert sorted(got) == sorted(want) and all(math.isclose(got[d], want[d], rel_tol=1e-9) for d in want)
+
+
+def test_resampling_queries_make_100_draws(spark):
+    import __spark_entry__ as entry
+
+    found = {q: sorted(x.draw for x in entry.queries()[q](spark, "/root/testdata/sf0.001").collect()) for q in ("rematch_draws", "randomization_law")}
+    assert found == {"rematch_draws": list(range(1, 101)), "randomization_law": list(range(101))}
+
+
 # Contracts and sources ------------------------------------------------------------
 
 
