@@ -238,16 +238,18 @@ def train(labelled: list[tuple[str, str]], most: int = SAMPLE_CHARS) -> Model:
 
 
 def sample(docs: DataFrame, doc: str, text: str, code: str, per_language: int = SAMPLE_DOCS, languages: tuple[str, ...] = LANGUAGES) -> list[tuple[str, str]]:
-    """At most ``per_language`` labelled texts of each language, those of least hash."""
-    rows = docs.where(F.col(code).isin(*languages) & (F.length(text) <= SAMPLE_DOC_CHARS)).select(F.col(code).alias("code"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    """At most ``per_language`` distinct labelled texts of each language, not blank, those of least hash."""
+    seen = F.regexp_like(F.col(text), F.lit(r"(?U)[^\s\x1c-\x1f]"))  # not blank, as in segments
+    rows = docs.where(F.col(code).isin(*languages) & (F.length(text) <= SAMPLE_DOC_CHARS) & seen).select(F.col(code).alias("code"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     w = Window.partitionBy("code").orderBy("h", "text")  # the row number is limited before the shuffle
     # Of a large language only the hashes below a threshold are ranked: three times
-    # as many as are wanted, so that no task ranks a whole language.
-    counts = {r.code: r["count"] for r in rows.groupBy("code").count().collect()}
+    # as many as are wanted, so that no task ranks a whole language. Copies of a text
+    # have one hash and count once, so only hashes are sent to count them.
+    counts = {r.code: r["count"] for r in rows.select("code", "h").distinct().groupBy("code").count().collect()}
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 3 * per_language / n)))]) if counts else None
     if share is not None:
         rows = rows.where(F.pmod("h", F.lit(1 << 31)) < share[F.col("code")] * float(1 << 31))
-    found = rows.withColumn("no", F.row_number().over(w)).where(F.col("no") <= per_language).orderBy("code", "no").collect()
+    found = rows.distinct().withColumn("no", F.row_number().over(w)).where(F.col("no") <= per_language).orderBy("code", "no").collect()
     return [(r.code, r.text) for r in found]
 
 

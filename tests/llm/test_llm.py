@@ -235,3 +235,15 @@ def test_languages_in_spite_of_wrong_labels(spark):
     assert whole[903] == ("de", 1) and whole[900] == whole[901] == whole[902] == (None, 0) and len(whole) == len(docs)
     assert langid.segment_languages(df, "doc", "text", langid.train([])).where("lang is not null").count() == 0
     assert langid.segment_languages(df.limit(0), "doc", "text", model).count() == 0
+
+
+def test_sample_takes_distinct_texts(spark):
+    own = [("en", f"text number {i}") for i in range(900)]
+    hot = own[0][1]
+    rows = own + [("en", hot)] * 5000 + [("en", "")] * 3000 + [("en", x) for x in (" \n\t", "\u00a0\u2003", "\x1c \x85")] * 50 + [("de", "ein Text")] * 400
+    df = spark.createDataFrame([(i, c, t) for i, (c, t) in enumerate(rows)], "d long, c string, t string")
+    found = langid.sample(df, "d", "t", "c")
+    assert len(found) == len(set(found)) == 151 and ("de", "ein Text") in found and all(t.strip() for _, t in found)
+    hashes = {r.t: r.h for r in df.where("c = 'en'").select("t", F.xxhash64("t").alias("h")).distinct().collect()}
+    below = [t for _, t in own if hashes[t] % (1 << 31) < 3 * 150 / 900 * (1 << 31)]
+    assert [t for c, t in found if c == "en"] == sorted(below, key=lambda t: hashes[t])[:150]
