@@ -250,24 +250,38 @@ def effect_poisson(df: DataFrame, entity: str, count: str, x: Sequence[str], mos
 def random_intercept(entities: DataFrame, n: str, k: str, nodes: int = 15) -> dict:
     """Logit-normal rate over entities' (trials, successes): mean and sd of the intercept, by quadrature on a grid.
 
-    Each likelihood value is one aggregation over the distinct (trials, successes).
+    The likelihood is summed over the distinct (trials, successes), in the driver
+    if they are few (DRIVER_CELLS), else in one aggregation for all points of a step.
     """
-    cells = entities.where(F.col(n) > 0).groupBy(F.col(n).alias("n"), F.col(k).alias("k")).agg(F.count("*").alias("c")).toPandas() if entities.select(n, k).distinct().limit(100_001).count() <= 100_000 else None
-    if cells is None:
-        raise ValueError("more than 100,000 distinct (trials, successes)")
+    cells = entities.where(F.col(n) > 0).groupBy(F.col(n).alias("n"), F.col(k).alias("k")).agg(F.count("*").alias("c")).persist()
+    here = cells.toPandas() if cells.limit(DRIVER_CELLS + 1).count() <= DRIVER_CELLS else None
     points, weights = np.polynomial.hermite.hermgauss(nodes)
 
-    def value(mean: float, sd: float) -> float:
+    def value(c: pd.DataFrame, mean: float, sd: float) -> float:
         p = 1 / (1 + np.exp(-(mean + math.sqrt(2) * sd * points)))
-        l = cells.k.to_numpy()[:, None] * np.log(p) + (cells.n - cells.k).to_numpy()[:, None] * np.log1p(-p)
+        l = c.k.to_numpy()[:, None] * np.log(p) + (c.n - c.k).to_numpy()[:, None] * np.log1p(-p)
         top = l.max(1)
-        return float((cells.c * (top + np.log((np.exp(l - top[:, None]) * weights).sum(1) / math.sqrt(math.pi)))).sum())
+        return float((c.c * (top + np.log((np.exp(l - top[:, None]) * weights).sum(1) / math.sqrt(math.pi)))).sum())
+
+    def values(tries: list[tuple[float, float]]) -> list[float]:
+        if here is not None:
+            return [value(here, *v) for v in tries]
+        names = [f"s{i}" for i in range(len(tries))]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame([[value(b, *v) for v in tries]], columns=names)
+
+        return list(cells.mapInPandas(run, ", ".join(f"{x} double" for x in names)).agg(*[F.sum(x) for x in names]).first())
 
     mean, sd, step = 0.0, 1.0, 1.0
     while step > 1e-5:  # pattern search
-        best = max(((mean + a * step, max(1e-3, sd + b * step)) for a in (-1, 0, 1) for b in (-1, 0, 1)), key=lambda v: value(*v))
+        tries = [(mean + a * step, max(1e-3, sd + b * step)) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+        best = tries[int(np.argmax(values(tries)))]
         step, mean, sd = (step / 2, mean, sd) if best == (mean, sd) else (step, *best)
-    return {"mean": mean, "sd": sd, "loglik": value(mean, sd)}
+    loglik = values([(mean, sd)])[0]
+    cells.unpersist()
+    return {"mean": mean, "sd": sd, "loglik": loglik}
 
 
 def calibrate(df: DataFrame, entity: str, offset: str, y: str, pseudo: float = 1.0, digits: int = 2) -> DataFrame:

@@ -202,6 +202,14 @@ def test_hidden_states_query_is_converged(spark):
     assert abs(got["loglik"] + 472.645) < 0.01  # -473.0 or less after five rounds
 
 
+def test_random_intercept_of_many_cells(spark, monkeypatch):
+    cells = spark.range(100_200).select((F.col("id").cast("int") / 300 + 300).cast("long").alias("n"), (F.col("id") % 300).alias("k"))
+    far = likelihood.random_intercept(cells, "n", "k", 3)
+    monkeypatch.setattr(likelihood, "DRIVER_CELLS", 1_000_000)
+    here = likelihood.random_intercept(cells, "n", "k", 3)
+    assert all(math.isclose(far[x], here[x], rel_tol=1e-6) for x in here)
+
+
 def test_grouped_sums_cross_batches(spark):
     df = spark.range(5000).select((F.col("id") % 7).alias("g"), "id", F.lit(1.0).alias("x"))
     rows = likelihood.Grouped(df, "g", ["id"], ["x"])
