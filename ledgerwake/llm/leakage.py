@@ -161,11 +161,12 @@ def without_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item:
     Runs of leaked words go, with all signs between them, and leave one space.
     Where they make up ``drop_share`` or more of a document's words, the document is
     dropped: its text becomes null and dropped true. Null and empty texts and
-    those without a leak stay as they are. Every row of ``docs`` gives one.
+    those without a leak stay as they are. Every row of ``docs`` gives one. The leaked
+    words of all blocks of items are found in the whole text and then cut at once.
     """
     rows = spread(docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")))
     kind = docs.schema[doc].dataType.simpleString()
-    out = rows.select("doc", "text", F.lit(0).cast("long").alias("leaked_words"), F.lit(False).alias("dropped"))
+    out = rows.select("doc", "text", F.lit(None).cast("array<int>").alias("at"))
 
     def over(before: DataFrame, block: list[tuple[int, str | None]]) -> DataFrame:
         sent = _sent(docs, block, n)
@@ -173,24 +174,30 @@ def without_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams = sent.value
             for batch in batches:
-                texts, leaked, dropped = (batch.column(i).to_pylist() for i in (1, 2, 3))
+                places = batch.column(2).to_pylist()
                 for first, group in _groups(batch):
-                    split, hit = [words(t) for t in group], defaultdict(set)
-                    for k, at, _ in grams.hits(split):
+                    hit = defaultdict(set)
+                    for k, at, _ in grams.hits([words(t) for t in group]):
                         hit[k].update(range(at, at + n))
                     for k, own in hit.items():
-                        leaked[first + k] += len(own)
-                        if len(own) >= drop_share * len(split[k]):
-                            texts[first + k], dropped[first + k] = None, True
-                        else:
-                            texts[first + k] = _cut(group[k], own)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(leaked, pa.int64()), pa.array(dropped, pa.bool_())], names=["doc", "text", "leaked_words", "dropped"])
+                        places[first + k] = sorted(own.union(places[first + k] or ()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.list_(pa.int32()))], names=["doc", "text", "at"])
 
-        return before.mapInArrow(run, f"doc {kind}, text string, leaked_words long, dropped boolean")
+        return before.mapInArrow(run, f"doc {kind}, text string, at array<int>")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, places = (batch.column(i).to_pylist() for i in (1, 2))
+            leaked, dropped = [len(x or ()) for x in places], [False] * len(texts)
+            for k, own in enumerate(places):
+                if own:
+                    dropped[k] = len(own) >= drop_share * len(words(texts[k]))
+                    texts[k] = None if dropped[k] else _cut(texts[k], set(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(leaked, pa.int64()), pa.array(dropped, pa.bool_())], names=["doc", "text", "leaked_words", "dropped"])
 
     for block in _blocks(items, item, item_text, block_chars):
         out = over(out, block)
-    return out.withColumnsRenamed({"doc": doc, "text": text})
+    return out.mapInArrow(cut, f"doc {kind}, text string, leaked_words long, dropped boolean").withColumnsRenamed({"doc": doc, "text": text})
 
 
 def _cut(text: str, leaked: set[int]) -> str:

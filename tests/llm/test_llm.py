@@ -177,6 +177,14 @@ def test_only_the_passage_is_cut(spark):
     assert leakage.word_spans("a_bc éd") == [(0, 1), (2, 4), (5, 8)]
 
 
+def test_passages_of_two_blocks_overlap(spark):
+    w = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    d = spark.createDataFrame([(1, " ".join(w))], "doc long, text string")
+    t = spark.createDataFrame([(1, " ".join(w[10:28])), (2, " ".join(w[20:36]))], "id long, text string")
+    for block in (10, 10_000):
+        assert leakage.without_leaks(d, "doc", "text", t, "id", "text", block_chars=block).first() == (1, " ".join(w[:10] + w[36:]), 26, False)
+
+
 # Languages ------------------------------------------------------------------------
 
 WORDS = {

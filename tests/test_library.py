@@ -319,3 +319,15 @@ def test_stream_equals_batch_in_several_triggers(spark, tmp_path):
     assert counts.count() == want.count() and counts.agg(F.sum("n")).first()[0] == 200
     before = streams.closed(streams.running_counts(stream(), "u"), "append")
     assert before.agg(F.sum("n_before")).first()[0] == 5 * sum(range(40))
+
+
+def test_stream_distinct_in_several_triggers(spark, tmp_path, monkeypatch):
+    from ledgerwake.plans import streamed
+
+    whole = streams.stream_parquet
+    monkeypatch.setattr(streams, "stream_parquet", lambda spark, folder, _: whole(spark, folder, 1))
+    for day in (1, 9, 2, 20, 1, 20, 5):  # files out of order, a repeat days apart
+        rows = [(day, 7, "a", 86_400 * day), (1000, 7, "a", 86_400 * day)]
+        spark.createDataFrame(rows, "event_id long, user_id long, event_type string, s long").select("event_id", "user_id", "event_type", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = sorted(x.event_id for x in streamed.stream_distinct(spark, str(tmp_path)).collect())
+    assert got == [1, 2, 5, 9, 20, 1000]
