@@ -2,49 +2,68 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerwake.session import materialize, release
 
-#: At most this many keys are treated as hot. The next largest key holds less
-#: than 1/10,000 of the rows, so the bound loses nothing: it takes the plain path.
-MAX_HOT = 10_000
-#: Chunks of all hot keys together, which bounds every broadcast of chunk summaries.
-MAX_CHUNKS = 100_000
+#: Key lists, chunk summaries and intervals of up to so many rows are broadcast; more are joined.
+BROADCAST_ROWS = 500_000
+#: One row of so many is counted to find the hot keys.
+SAMPLED = 16
+#: Hot keys of up to this number pass through the driver.
+LISTED = 10_000
+#: Chunks of the hot rows: so many at most, each then holding more rows than ``target_rows``.
+MOST_CHUNKS = 20_000
 
 
 @dataclass(frozen=True)
 class Hot:
-    key: object
+    """The hot keys as a table of one column, their number and about how many rows they have."""
+
+    keys: DataFrame
+    number: int
     rows: int
-    low: int
-    width: int
 
 
-def hot_keys(df: DataFrame, key: str, at: str, target_rows: int) -> list[Hot]:
-    """Keys of more than ``target_rows`` rows, and the chunk width that splits each.
+def hot_keys(df: DataFrame, key: str, target_rows: int) -> Hot | None:
+    """The keys of more than about ``target_rows`` rows; None if there are none.
 
-    One aggregation with map-side combine; at most MAX_HOT rows reach the driver.
+    Hot or not only decides how a key is computed, never what comes out. So
+    one row of ``SAMPLED`` is counted, which keeps the shuffle of the counts small.
     """
-    found = (
-        df.groupBy(F.col(key).alias("k"))
-        .agg(F.count("*").alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi"))
-        .where((F.col("n") > target_rows) & F.col("k").isNotNull())
-        .orderBy(F.desc("n"), "k")
-        .limit(MAX_HOT)
-        .collect()
-    )
-    every = sum(r.n for r in found) or 1
-    out = []
-    for r in found:
-        chunks = max(2, min(-(-4 * r.n // target_rows), MAX_CHUNKS * r.n // every))
-        out.append(Hot(r.k, r.n, int(r.lo), max(1, -(-(int(r.hi) - int(r.lo) + 1) // chunks))))
-    return out
+    share = SAMPLED if target_rows >= 64 * SAMPLED else 1
+    rows = df.select(F.col(key).alias("k"))
+    rows = rows.sample(1 / share, 1) if share > 1 else rows
+    found = rows.where("k is not null").groupBy("k").agg((F.count("*") * share).alias("n")).where(F.col("n") > target_rows)
+    listed = found.limit(LISTED + 1).collect()
+    if not listed:
+        return None
+    if len(listed) <= LISTED:
+        keys = df.sparkSession.createDataFrame([(r.k,) for r in listed], T.StructType([T.StructField(key, df.schema[key].dataType)]))
+        return Hot(F.broadcast(keys), len(listed), sum(r.n for r in listed))
+    found = materialize(found, "hot-keys")
+    number, total = found.agg(F.count("*"), F.sum("n")).first()
+    keys = found.select(F.col("k").alias(key))
+    return Hot(F.broadcast(keys) if number <= BROADCAST_ROWS else keys, number, total)
+
+
+def chunked(df: DataFrame, key: str, order: Sequence[str], rows: int, target_rows: int) -> DataFrame:
+    """``df`` laid out by (key, order) in ranges of about equal counts, written once, with ``__chunk`` and ``__seq``.
+
+    Chunks follow the order of the rows, ties are cut as well (``__seq`` tells
+    equal rows apart), so neither an outlier nor a single moment that holds
+    all rows makes a large chunk.
+    """
+    n = max(2, min(-(-3 * rows // target_rows), MOST_CHUNKS))
+    laid = df.withColumn("__seq", F.monotonically_increasing_id()).repartitionByRange(n, key, *order, "__seq")
+    return materialize(laid.withColumn("__chunk", F.spark_partition_id()), "chunks")
 
 
 def running_labels(
@@ -57,57 +76,83 @@ def running_labels(
     target_rows: int = 100_000,
     prior: str = "prior",
     label: str = "label",
+    least: bool = False,
+    second: tuple[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """Number the runs of each key in the order of (``at``, ``ties``).
 
-    Adds ``prior``, the maximum of ``value`` over the key's earlier rows (null
-    where there is none), and ``label``, the running count of the rows at which
-    ``starts(prior)`` holds (0 without ``starts``). ``at`` is an integer column
-    without nulls.
+    Adds ``prior``, the maximum (the minimum if ``least``) of ``value`` over the
+    key's earlier rows (null where there is none), and ``label``, the running
+    count of the rows at which ``starts(prior)`` holds; without ``starts`` there is
+    no label. ``second`` = (name, f) adds the same maximum of ``f(prior)`` over the
+    earlier rows. Rows with a null in key or ``at`` are left out.
 
-    Keys above ``target_rows`` rows are cut into chunks of ``at``; a chunk takes
-    its running maximum and its count from the summaries of the chunks before
-    it, so no task gets a whole hot key. Rows of null key form one plain group.
+    Keys of more than ``target_rows`` rows are cut into chunks of equal counts (see
+    ``chunked``); a chunk takes its running maximum and its count from the
+    summaries of the chunks before it, so no task gets a whole hot key. There
+    is no bound on the number of hot keys: their list and the chunk summaries
+    are broadcast while they are few (BROADCAST_ROWS) and joined otherwise.
     """
-    begins = starts or (lambda _: F.lit(False))
-    hot = hot_keys(df, key, at, target_rows)
+    pick, of = (F.min, F.least) if least else (F.max, F.greatest)
     first = Window.unboundedPreceding
+    df = df.where(F.col(key).isNotNull() & F.col(at).isNotNull())
+    hot = hot_keys(df, key, target_rows)
 
-    def within(*by: str) -> Window:
-        return Window.partitionBy(*by).orderBy(at, *ties)
+    def opened(part: DataFrame) -> DataFrame:
+        return part.withColumn("__starts", F.coalesce(starts(F.col(prior)), F.lit(False)).cast("int"))
 
     def plain(part: DataFrame) -> DataFrame:
-        w = within(key)
-        part = part.withColumn(prior, F.max(value).over(w.rowsBetween(first, -1)))
-        part = part.withColumn("__starts", F.coalesce(begins(F.col(prior)), F.lit(False)).cast("int"))
-        return part.withColumn(label, F.sum("__starts").over(w.rowsBetween(first, 0))).drop("__starts")
+        w = Window.partitionBy(key).orderBy(at, *ties)
+        part = part.withColumn(prior, pick(value).over(w.rowsBetween(first, -1)))
+        if second:
+            part = part.withColumn("__add", second[1](F.col(prior))).withColumn(second[0], pick("__add").over(w.rowsBetween(first, -1))).drop("__add")
+        if starts:
+            part = opened(part).withColumn(label, F.sum("__starts").over(w.rowsBetween(first, 0))).drop("__starts")
+        return part
 
-    if not hot:
+    if hot is None:
         return plain(df)
-    spark = df.sparkSession
-    keys = [h.key for h in hot]
-    is_hot = F.col(key).isin(keys)
-    widths = spark.createDataFrame([(h.key, h.low, h.width) for h in hot], f"{key} {df.schema[key].dataType.simpleString()}, __low long, __width long")
-    part = df.where(is_hot).join(F.broadcast(widths), key).withColumn("__chunk", F.floor((F.col(at) - F.col("__low")) / F.col("__width")).cast("long")).drop("__low", "__width")
-    w, along = within(key, "__chunk"), Window.partitionBy(key).orderBy("__chunk").rowsBetween(first, -1)
-    seen = part.groupBy(key, "__chunk").agg(F.max(value).alias("__max")).select(key, "__chunk", F.max("__max").over(along).alias("__before"))
-    part = part.withColumn("__local", F.max(value).over(w.rowsBetween(first, -1))).join(F.broadcast(seen), [key, "__chunk"], "left")
-    part = part.withColumn(prior, F.greatest("__local", "__before")).withColumn("__starts", F.coalesce(begins(F.col(prior)), F.lit(False)).cast("int")).drop("__local", "__before")
-    counted = part.groupBy(key, "__chunk").agg(F.sum("__starts").alias("__n")).select(key, "__chunk", F.sum("__n").over(along).alias("__count"))
-    part = part.withColumn("__run", F.sum("__starts").over(w.rowsBetween(first, 0))).join(F.broadcast(counted), [key, "__chunk"], "left")
-    part = part.withColumn(label, F.col("__run") + F.coalesce("__count", F.lit(0))).drop("__starts", "__run", "__count", "__chunk")
-    cold = plain(df.where(~is_hot | F.col(key).isNull()))
+    part = chunked(df.join(hot.keys, key, "left_semi"), key, [at, *ties], hot.rows, target_rows)
+    # one summary a chunk, and one more for each key that begins within a chunk
+    few = hot.number + MOST_CHUNKS <= BROADCAST_ROWS
+    near = F.broadcast if few else lambda summaries: summaries
+    w = Window.partitionBy(key, "__chunk").orderBy(at, *ties, "__seq")
+    along = Window.partitionBy(key).orderBy("__chunk").rowsBetween(first, -1)
+
+    def carried(part: DataFrame, source: str, into: str) -> DataFrame:
+        """Adds the running pick of ``source`` over all earlier rows of the key."""
+        seen = part.groupBy(key, "__chunk").agg(pick(source).alias("__one")).select(key, "__chunk", pick("__one").over(along).alias("__before"))
+        part = part.withColumn("__local", pick(source).over(w.rowsBetween(first, -1)))
+        return part.join(near(seen), [key, "__chunk"], "left").withColumn(into, of("__local", "__before")).drop("__local", "__before")
+
+    part = carried(part, value, prior)
+    if second:
+        part = carried(part.withColumn("__add", second[1](F.col(prior))), "__add", second[0]).drop("__add")
+    if starts:
+        part = opened(part)
+        counted = part.groupBy(key, "__chunk").agg(F.sum("__starts").alias("__n")).select(key, "__chunk", F.sum("__n").over(along).alias("__count"))
+        part = part.withColumn("__run", F.sum("__starts").over(w.rowsBetween(first, 0))).join(near(counted), [key, "__chunk"], "left")
+        part = part.withColumn(label, F.col("__run") + F.coalesce("__count", F.lit(0))).drop("__starts", "__run", "__count")
+    cold = plain(df.join(hot.keys, key, "left_anti"))
     return cold.unionByName(part.select(*cold.columns))
 
 
-def _bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """The bin of lo <= v <= hi: 0 for lo, the last for hi; halved against overflow, one bin between infinite ends."""
-    share = F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * bins).cast("int")
+def _bin(v: Column, lo: Column, hi: Column, bins: int, no: int) -> Column:
+    """The bin of lo <= v <= hi: 0 for lo, the last for hi; one bin between infinite ends.
+
+    Bins are of equal width (halved against overflow); after three rounds, where
+    a long tail has left them crowded, they also grow by equal factors from one end.
+    """
+    share = (v / 2 - lo / 2) / (hi / 2 - lo / 2)
+    if no > 3 and no % 3 != 0:
+        x = share if no % 3 == 1 else 1 - share
+        x = F.log1p(x * 1e15) / math.log1p(1e15)
+        share = x if no % 3 == 1 else 1 - x
     endless = (lo == float("-inf")) | (hi == float("inf"))
-    return F.when(v == lo, 0).when(v == hi, bins - 1).when(endless, bins // 2).otherwise(F.least(share, F.lit(bins - 1)))
+    return F.when(v == lo, 0).when(v == hi, bins - 1).when(endless, bins // 2).otherwise(F.greatest(F.lit(0), F.least(F.floor(share * bins).cast("int"), F.lit(bins - 1))))
 
 
-def order_statistics(df: DataFrame, key: str, value: str, wanted: DataFrame, bins: int = 64, target_rows: int = 100_000) -> DataFrame:
+def order_statistics(df: DataFrame, key: str, value: str, wanted: DataFrame, bins: int = 256, target_rows: int = 100_000) -> DataFrame:
     """The ``rank``-th smallest ``value`` (from 0) of each key, exactly.
 
     ``df`` holds (key, value), ``wanted`` holds distinct (key, rank, lo, hi) where lo
@@ -116,27 +161,36 @@ def order_statistics(df: DataFrame, key: str, value: str, wanted: DataFrame, bin
     mergeable counts, and goes on inside the bin that holds the rank, from its
     least to its greatest value, until these are equal. The ends of an interval
     always fall into different bins, so every round narrows it. No round
-    gathers the values of a key; only counts per bin are shuffled. Intervals of
-    hot keys (at most MAX_HOT keys) are broadcast, those of other keys joined.
+    gathers the values of a key; only counts per bin are shuffled. The open
+    intervals are broadcast while they are few (BROADCAST_ROWS), so the rows stay
+    where they are; more are joined, those of hot keys still by broadcast.
 
     Null keys and null or NaN values must have been left out of ``df``.
     """
-    spark = df.sparkSession
-    state = materialize(wanted.select(key, "rank", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), F.lit(0).cast("long").alias("below")), "ranks")
-    hot = [r[0] for r in df.groupBy(F.col(key).alias("k")).count().where(F.col("count") > target_rows).orderBy(F.desc("count"), "k").limit(MAX_HOT).collect()]
-    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
-    done: list[DataFrame] = []
-    used = [state]
+    start = wanted.select(key, "rank", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), F.lit(0).cast("long").alias("below"))
+    state = materialize(start, "ranks")
+    done, used = [], [state]
+    hot, counted_hot = None, False
     rows, inside = df.select(key, F.col(value).cast("double").alias("__v")), None
     for no in count(1):
         done.append(state.where("lo = hi").select(key, "rank", F.col("lo").alias("result")))
         todo = state.where("lo < hi")
-        if todo.isEmpty():
+        n_open = todo.limit(BROADCAST_ROWS + 1).count()
+        if not n_open:
             break
         spans = todo.select(key, "lo", "hi", "below").distinct()
-        near = rows.where(~is_hot).join(spans.where(~is_hot), key) if hot else rows.join(spans, key)
-        if hot:
-            near = near.unionByName(rows.where(is_hot).join(F.broadcast(spans.where(is_hot)), key))
+        if n_open <= BROADCAST_ROWS:
+            near = rows.join(F.broadcast(spans), key)
+        else:
+            if not counted_hot:
+                hot, counted_hot = hot_keys(df, key, target_rows), True
+            if hot is None:
+                near = rows.join(spans, key)
+            else:
+                # of hot keys that are few, all intervals fit a broadcast: at most one a rank
+                mine = spans.join(hot.keys, key, "left_semi")
+                near = rows.join(hot.keys, key, "left_anti").join(spans.join(hot.keys, key, "left_anti"), key)
+                near = near.unionByName(rows.join(F.broadcast(mine) if hot.number <= LISTED else mine, key))
         near = near.where("__v >= lo and __v <= hi")
         if no > 1:
             # The open intervals of a key are disjoint and lie within those of the
@@ -144,7 +198,7 @@ def order_statistics(df: DataFrame, key: str, value: str, wanted: DataFrame, bin
             near = materialize(near, "inside")
             release(inside)
             inside, rows = near, near.select(key, "__v")
-        bins_of = near.withColumn("bin", _bin(F.col("__v"), F.col("lo"), F.col("hi"), bins))
+        bins_of = near.withColumn("bin", _bin(F.col("__v"), F.col("lo"), F.col("hi"), bins, no))
         counts = bins_of.groupBy(key, "lo", "hi", "below", "bin").agg(F.count("*").alias("n"), F.min("__v").alias("b_lo"), F.max("__v").alias("b_hi"))
         # at most ``bins`` rows to each (key, interval)
         w = Window.partitionBy(key, "lo", "hi", "below").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -168,7 +222,7 @@ def key_profile(
     value: str,
     probs: Sequence[float] = (0.5, 0.9),
     heavy_share: float = 0.02,
-    bins: int = 64,
+    bins: int = 256,
     target_rows: int = 100_000,
     user: Callable[[Column], Column] = lambda c: c >= 0,
 ) -> DataFrame:

@@ -12,6 +12,7 @@ from ledgerwake.operators import copydiff
 from ledgerwake.operators.copydiff import Field, compare_copies
 from ledgerwake.operators.intervals import periods, periods_and_gaps
 from ledgerwake.operators.rolling import every_day, trailing_totals
+from ledgerwake.operators import skew
 from ledgerwake.operators.skew import key_profile, row_ids, running_labels
 from ledgerwake.operators.versions import attributes_at
 
@@ -61,6 +62,41 @@ def test_touching_nested_and_zero_length(spark):
     assert rows(periods_and_gaps(df.limit(0), "e", "a", "b")) == []
 
 
+@pytest.mark.parametrize("shape", ["outlier", "one moment", "even"])
+def test_chunks_of_hot_keys_are_even(spark, shape):
+    at = {"outlier": F.when(F.col("id") == 0, 10**15).otherwise(F.col("id") % 50), "one moment": F.lit(7), "even": F.col("id") * 3}[shape].cast("long")
+    df = spark.range(40_000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(99).alias("k"), at.alias("at"), F.col("id").alias("i"))
+    hot = skew.hot_keys(df, "k", 2_000)
+    assert [r.k for r in hot.keys.collect()] == [99] and hot.rows == 36_000
+    laid = skew.chunked(df.join(hot.keys, "k", "left_semi"), "k", ["at", "i"], hot.rows, 2_000)
+    sizes = [r["count"] for r in laid.groupBy("k", "__chunk").count().collect()]
+    assert sum(sizes) == 36_000 and max(sizes) <= 2 * 2_000 and len(sizes) > 10
+    got = running_labels(df, "k", "at", "i", lambda p: F.lit(True), ["i"], 2_000, label="no", second=("two", lambda p: p))
+    want = running_labels(df, "k", "at", "i", lambda p: F.lit(True), ["i"], 10**9, label="no", second=("two", lambda p: p))
+    assert got.exceptAll(want.select(*got.columns)).isEmpty() and want.select(*got.columns).exceptAll(got).isEmpty()
+
+
+def test_many_hot_keys_and_open_intervals_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LISTED", 2)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(skew, "MOST_CHUNKS", 40)
+    df = spark.range(3_000).select((F.col("id") % 6).alias("k"), F.col("id").alias("at"), (F.col("id") * 7919 % 1000).cast("double").alias("v"))
+    got, want = (running_labels(df, "k", "at", "v", lambda p: p.isNull() | (F.col("v") > p), [], n).orderBy("at").collect() for n in (100, 10**9))
+    assert [r.asDict() for r in got] == [r.asDict() for r in want]
+    wanted = df.groupBy("k").agg(F.lit(250).cast("long").alias("rank"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    for n in (100, 10**9):
+        own = {r.k: r.result for r in skew.order_statistics(df, "k", "v", wanted, 8, n).collect()}
+        assert own == {k: sorted(float(i * 7919 % 1000) for i in range(k, 3000, 6))[250] for k in range(6)}
+
+
+def test_order_statistics_of_a_long_tail(spark):
+    values = [float(i) for i in range(200)] + [10.0**e for e in range(3, 300, 7)] + [-(10.0**e) for e in range(3, 300, 11)]
+    df = spark.createDataFrame([(1, v) for v in values], "k int, v double")
+    wanted = df.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(values) - 1).cast("long"), F.lit(9).cast("long"))).alias("rank"), "lo", "hi")
+    got = {r["rank"]: r.result for r in skew.order_statistics(df, "k", "v", wanted, 16).collect()}
+    assert all(got[i] == sorted(values)[i] for i in got) and len(got) > 20
+
+
 def test_running_labels_equal_without_and_with_chunks(spark):
     r = random.Random(1)
     df = spark.createDataFrame([(r.choice("aab"), r.randrange(50), i, r.choice([None, r.randrange(9)])) for i in range(400)], "k string, t long, i long, v int")
