@@ -7,7 +7,9 @@ pairs are joined within buckets of time.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,11 +135,51 @@ def within_horizon(left: DataFrame, events: DataFrame, by: tuple[str, str], left
     return l.join(e, on if also is None else on & also).drop("__bucket", "__there", "__k", "__e", "__from", "__when")
 
 
-def first_outcome(left: DataFrame, events: DataFrame, row: Sequence[str], by: tuple[str, str], left_at: str, event_at: str, horizon: int, also: Column, order: Sequence[str], take: Sequence[str]) -> DataFrame:
-    """(row, take): of each left row's events within the horizon that satisfy ``also``, the first by ``order``; nulls if none."""
-    pairs = within_horizon(left, events, by, left_at, event_at, horizon, also)
-    first = pairs.groupBy(*row).agg(F.min_by(F.struct(*take), F.struct(*order)).alias("__x"))
-    return left.select(*row).distinct().join(first, list(row), "left").select(*row, "__x.*")
+def first_outcome(
+    left: DataFrame,
+    events: DataFrame,
+    row: Sequence[str],
+    by: tuple[str, str],
+    left_at: str,
+    event_at: str,
+    horizon: int,
+    order: Sequence[str],
+    take: Sequence[str],
+    other: tuple[str, str],
+    started: str | None = None,
+    target_rows: int = 100_000,
+) -> DataFrame:
+    """(row, take): each left row's first event of left_at < event_at <= left_at + horizon; nulls if there is none.
+
+    Events of the same key ``by`` count if their ``other`` differs from the left
+    row's and, where ``started`` is given, they also started after left_at. The
+    first is the least (event_at, order). ``row`` names columns that tell left rows
+    apart and include key, left_at and other; repeated ones give one row. Events
+    with a null in key, event_at, other or started never count; left rows with a null in key, time or
+    other have no event.
+
+    No pairs are formed. Events are walked from the last to the first, keeping
+    the first event so far and the first of another ``other`` than that one's:
+    whichever ``other`` a left row excludes, its answer is one of the two. Hot
+    keys are split (see running_labels).
+    """
+    value = F.struct(F.col(event_at).cast("long").alias("t"), F.struct(*order).alias("k"), F.col(other[1]).alias("o"), F.struct(*take).alias("p"))
+    begin = F.least(event_at, started) if started else F.col(event_at)
+    known = [F.col(c).isNotNull() for c in (by[1], event_at, other[1], *([started] if started else []))]
+    e = events
+    for k in known:
+        e = e.where(k)
+    e = e.select(F.col(by[1]).alias("__key"), (-begin).cast("long").alias("__at"), value.alias("__value"), F.lit(1).alias("__kind"))
+    asked = left.select(*row).distinct()
+    have = [F.col(c).isNotNull() for c in (by[0], left_at, other[0])]
+    q = asked.where(have[0] & have[1] & have[2]).select(F.col(by[0]).alias("__key"), (-F.col(left_at)).cast("long").alias("__at"), _none().cast(e.schema["__value"].dataType).alias("__value"), F.lit(0).alias("__kind"), F.struct(*row).alias("__row"))
+    rows = q.unionByName(e.withColumn("__row", _none().cast(q.schema["__row"].dataType)))
+    two = lambda prior: F.when(F.col("__value.o") != prior["o"], F.greatest("__value", prior))
+    runs = running_labels(rows, "__key", "__at", "__value", None, ["__kind"], target_rows, "__first", least=True, second=("__next", two)).where("__kind = 0")
+    best = F.when(F.col("__first.o") != F.col("__row")[other[0]], F.col("__first")).otherwise(F.col("__next"))
+    out = runs.select("__row", best.alias("__x")).select(*[F.col("__row")[c].alias(c) for c in row], F.when(F.col("__x.t") <= F.col("__row")[left_at] + horizon, F.col("__x.p")).alias("__p"))
+    none = asked.where(~(have[0] & have[1] & have[2])).withColumn("__p", _none().cast(out.schema["__p"].dataType))
+    return out.unionByName(none).select(*row, *[F.col(f"__p.{c}").alias(c) for c in take])
 
 
 def range_join(points: DataFrame, spans: DataFrame, at: str, low: str, high: str, width: int, by: tuple[str, str] | None = None) -> DataFrame:
@@ -150,48 +192,120 @@ def range_join(points: DataFrame, spans: DataFrame, at: str, low: str, high: str
     return p.join(s, F.expr("__b = __c and __p = __s and __at >= __low and __at < __high")).drop("__b", "__c", "__low", "__high", "__at", "__s", "__p")
 
 
-def adjacency(games: DataFrame, game: str, sides: tuple[str, str], order: Sequence[str], target_rows: int = 100_000) -> DataFrame:
-    """(game, status): whether the previous game of both players is the same one.
+def adjacency(games: DataFrame, game: str, sides: tuple[str, str], at: str, target_rows: int = 100_000) -> DataFrame:
+    """(game, at, status): whether the game before was the same one for both players.
 
-    ``mutual`` if it is, ``one_side_first`` or ``both_first`` where a player has
-    none before, ``different`` otherwise. Games are ordered by ``order``, whose
-    first column is an integer time, and then by game.
+    ``unmapped`` where a side has no player; ``ambiguous`` where a player
+    starts several games at this moment or at the moment before; ``left_boundary`` where
+    one has no earlier game; ``mutual`` where both come from the same game against
+    each other; else ``different``. Rows with a null time are left out; repeated rows
+    count once.
     """
-    at, *rest = order
-    played = games.select(game, *order, F.explode(F.array(*sides)).alias("__player")).where("__player is not null").where(F.col(at).isNotNull()).distinct()
-    rank = F.struct(*order, game)
-    runs = running_labels(played.withColumn("__rank", rank), "__player", at, "__rank", None, [*rest, game], target_rows, "__prior", "__n")
-    both = runs.groupBy(game, *order).agg(F.count("*").alias("n"), F.count("__prior").alias("known"), F.min("__prior").alias("a"), F.max("__prior").alias("b"))
-    status = F.when(F.col("known") == 0, "both_first").when(F.col("known") < F.col("n"), "one_side_first").when(F.col("a") == F.col("b"), "mutual").otherwise("different")
-    return both.select(game, *order, status.alias("status"))
-
-
-def rating_replay(games: DataFrame, pool: str, order: Sequence[str], players: tuple[str, str], score: str, start: float = 1500.0, k: float = 24.0) -> DataFrame:
-    """(pool, game columns of order, both ratings before each game), replayed strictly in order.
-
-    Both states are read, then both updated; a null score updates neither. As
-    games couple players, only pools run in parallel: a pool is one task by nature.
+    pairs = F.array(*[F.struct(F.col(a).alias("player"), F.col(b).alias("opponent")) for a, b in (sides, sides[::-1])])
+    played = games.where(F.col(at).isNotNull()).select(F.col(game).alias("__game"), F.col(at).cast("long").alias("__at"), F.explode(pairs).alias("x")).select("__game", "__at", "x.*").distinct()
+    moments = played.where("player is not null").groupBy("player", "__at").agg(F.count("*").alias("n"), F.min(F.struct("__game", "opponent")).alias("one"))
+    runs = running_labels(moments.withColumn("__seen", F.struct("__at", "n", "one")), "player", "__at", "__seen", None, [], target_rows, "__prior")
+    own = played.join(runs.select("player", "__at", "n", "__prior"), ["player", "__at"], "left")
+    before = F.struct("__prior.__at", "__prior.one.__game")
+    both = own.groupBy("__game", "__at").agg(
+        F.count("player").alias("players"),
+        F.max(F.greatest("n", F.coalesce("__prior.n", F.lit(1)))).alias("n"),
+        F.count("__prior").alias("known"),
+        (F.min(before) == F.max(before)).alias("same"),
+        F.bool_and(F.col("__prior.one.opponent") == F.col("opponent")).alias("facing"),
+    )
+    status = F.when(F.col("players") != 2, "unmapped").when(F.col("n") > 1, "ambiguous").when(F.col("known") < 2, "left_boundary").when(F.col("same") & F.col("facing"), "mutual").otherwise("different")
+    return both.select(F.col("__game").alias(game), F.col("__at").alias(at), status.alias("status"))
+
+
+#: Rating points of one unit of the Glicko-2 scale.
+GLICKO_SCALE = 173.7178
+
+
+@dataclass(frozen=True)
+class ReplayLaw:
+    """Settings of rating_replay: bounds of the deviation, growth of the variance per day, and the volatility's."""
+
+    periods_a_day: float = 0.21436
+    least_rd: float = 45.0
+    most_rd: float = 500.0
+    most_sigma: float = 0.1
+    tau: float = 0.75
+    start_sigma: float = 0.09
+
+
+def grown(rd: float, sigma: float, days: float, law: ReplayLaw) -> float:
+    """The deviation after ``days`` without a game."""
+    periods = max(0.0, days) * law.periods_a_day
+    return min(law.most_rd, max(law.least_rd, math.sqrt(rd * rd + (GLICKO_SCALE * sigma) ** 2 * periods)))
+
+
+def after_game(rating: float, rd: float, sigma: float, other: float, other_rd: float, score: float, law: ReplayLaw) -> tuple[float, float, float]:
+    """Rating, deviation and volatility after one game, by the Glicko-2 rules (Glickman 2012)."""
+    phi, phi_o = rd / GLICKO_SCALE, other_rd / GLICKO_SCALE
+    g = 1 / math.sqrt(1 + 3 * phi_o * phi_o / math.pi**2)
+    expected = 1 / (1 + math.exp(-g * (rating - other) / GLICKO_SCALE))
+    v = 1 / max(g * g * expected * (1 - expected), 1e-12)
+    delta = v * g * (score - expected)
+    a = math.log(sigma * sigma)
+
+    def f(x: float) -> float:
+        e = math.exp(x)
+        return e * (delta**2 - phi**2 - v - e) / (2 * (phi**2 + v + e) ** 2) - (x - a) / law.tau**2
+
+    lo, hi = a, math.log(delta**2 - phi**2 - v) if delta**2 > phi**2 + v else a - law.tau
+    while hi < a and f(hi) < 0:
+        hi -= law.tau
+    f_lo, f_hi = f(lo), f(hi)
+    while abs(hi - lo) > 1e-6:  # regula falsi with halved weights
+        mid = lo + (lo - hi) * f_lo / (f_hi - f_lo)
+        f_mid = f(mid)
+        if f_mid * f_hi <= 0:
+            lo, f_lo = hi, f_hi
+        else:
+            f_lo /= 2
+        hi, f_hi = mid, f_mid
+    s = min(law.most_sigma, math.exp(lo / 2))
+    new = 1 / math.sqrt(1 / (phi * phi + s * s) + 1 / v)
+    return rating + GLICKO_SCALE * new * new * g * (score - expected), min(law.most_rd, max(law.least_rd, GLICKO_SCALE * new)), s
+
+
+def rating_replay(games: DataFrame, pool: str, at: str, game: str, players: tuple[str, str], ratings: tuple[str, str], score: str, observed: str, law: ReplayLaw | None = None) -> DataFrame:
+    """Two-party states of each pool's games, replayed strictly in the order of (``at``, ``game``).
+
+    Ratings are those that the games bring along; deviation, volatility and
+    number of games of both players are carried. Per game the two states are
+    read (the deviation grown by the days since the player's last game) and then both
+    updated, but only where ``observed`` holds. Columns: pool, at, game, rd_a, rd_b,
+    sigma_a, sigma_b, games_a, games_b (all before the game), after_a, after_b
+    (the ratings that it gives). Rows with a null in a player, rating, score or time,
+    and games against oneself, are left out. As games couple players, only pools
+    run in parallel: a pool is one task by nature.
     """
     import pandas as pd
 
-    a, b = players
-    kept = [pool, *order, a, b, score]
+    law = law or ReplayLaw()
+    (a, b), (ra, rb) = players, ratings
+    kept = games.select(pool, at, game, F.col(a).alias("__a"), F.col(b).alias("__b"), F.col(ra).cast("double").alias("__ra"), F.col(rb).cast("double").alias("__rb"), F.col(score).cast("double").alias("__s"), F.coalesce(observed, F.lit(False)).alias("__o"))
+    kept = kept.na.drop(subset=[at, "__a", "__b", "__ra", "__rb", "__s"]).where("__a != __b")
 
     def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable")
-        state: dict[int, float] = {}
-        before = []
-        for x, y, s in zip(rows[a], rows[b], rows[score], strict=True):
-            p, q = state.get(x, start), state.get(y, start)
-            before.append((p, q))
-            if s == s and s is not None:
-                d = k * (s - 1 / (1 + 10 ** ((q - p) / 400)))
-                state[x], state[y] = p + d, q - d
-        return rows[[pool, *order]].assign(rating_a=[p for p, _ in before], rating_b=[q for _, q in before])
-
-    fields = [f for f in games.select(pool, *order).schema.fields]
-    schema = T.StructType([*fields, T.StructField("rating_a", T.DoubleType()), T.StructField("rating_b", T.DoubleType())])
-    return games.select(*kept).where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(pool).applyInPandas(replay, schema)
+        rows = rows.sort_values([at, game, "__a", "__b"], kind="stable")
+        state: dict[int, tuple[float, float, int, int]] = {}
+        out = []
+        for now, x, y, p, q, s, seen in zip(rows[at], rows["__a"], rows["__b"], rows["__ra"], rows["__rb"], rows["__s"], rows["__o"], strict=True):
+            (d1, s1, n1, l1), (d2, s2, n2, l2) = (state.get(k, (law.most_rd, law.start_sigma, 0, now)) for k in (x, y))
+            d1, d2 = grown(d1, s1, (now - l1) / 86_400_000, law), grown(d2, s2, (now - l2) / 86_400_000, law)
+            one, two = after_game(p, d1, s1, q, d2, s, law), after_game(q, d2, s2, p, d1, 1 - s, law)
+            out.append((d1, d2, s1, s2, n1, n2, one[0], two[0]))
+            if seen:
+                state[x], state[y] = (one[1], one[2], n1 + 1, now), (two[1], two[2], n2 + 1, now)
+        names = ["rd_a", "rd_b", "sigma_a", "sigma_b", "games_a", "games_b", "after_a", "after_b"]
+        return pd.concat([rows[[pool, at, game]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+
+    kinds = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
+    schema = f"{pool} {kinds[pool]}, {at} {kinds[at]}, {game} {kinds[game]}, rd_a double, rd_b double, sigma_a double, sigma_b double, games_a long, games_b long, after_a double, after_b double"
+    return kept.groupBy(pool).applyInPandas(replay, schema)
 
 
 def unknown_until(df: DataFrame, reached: Column, anchor: str, horizon: int, observed_until: int) -> Column:

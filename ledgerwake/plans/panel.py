@@ -78,10 +78,8 @@ def asof_fwd_strict(spark, sf):
   ASOF LEFT JOIN run r ON r.chooser = e.opponent_id AND e.anchor_ms > r.t""")
 def asof_tied(spark, sf):
     """Decisions of the opponent before the anchor: ties are collapsed, then looked up."""
-    tied = _decided(spark, sf).groupBy("chooser", "t").count()
-    run = tied.withColumn("upto", F.sum("count").over(Window.partitionBy("chooser").orderBy("t")))
     asked = table(spark, sf, "exposures").where("opponent_id is not null and anchor_ms is not null").select("row_id", F.col("opponent_id").alias("chooser"), "anchor_ms").distinct()
-    return op.asof_join(asked, run, ["chooser"], "anchor_ms", "t", ["upto"]).select("row_id", F.coalesce("asof_upto", F.lit(0)).alias("earlier"))
+    return op.window_counts(asked, _decided(spark, sf), ["chooser"], ["row_id", "anchor_ms"], "anchor_ms", "t", {"earlier": (-(10**13), 0)}).drop("anchor_ms")
 
 
 @query(f"""WITH {_ASKED}, {_SIDES}, lags AS (SELECT a.row_id, k.lag, a.anchor_ms - k.lag * 7 * {DAY} AS cut, a.recipient_id FROM asked a, range(4) k(lag))
@@ -141,7 +139,7 @@ def first_outcome_after_anchor(spark, sf):
     asked, decided = _asked(spark, sf).where("opponent_id is not null"), _decided(spark, sf)
     until = decided.agg(F.max("t")).first()[0] or 0
     row = ["row_id", "anchor_ms", "opponent_id", "recipient_id"]
-    out = op.first_outcome(asked, decided, row, ("opponent_id", "chooser"), "anchor_ms", "t", _HORIZON, F.expr("start_ms > anchor_ms and counterparty != recipient_id and fair"), ["t", "ord", "gid"], ["gid", "y"])
+    out = op.first_outcome(asked, decided.where("fair"), row, ("opponent_id", "chooser"), "anchor_ms", "t", _HORIZON, ["ord", "gid"], ["gid", "y"], ("recipient_id", "counterparty"), "start_ms")
     return out.select("row_id", "anchor_ms", "gid", "y", op.unknown_until(out, F.col("gid").isNotNull(), "anchor_ms", _HORIZON, until).alias("reached"))
 
 
@@ -214,11 +212,13 @@ def carry_merge(spark, sf):
     return op.merge_carry(old, s.where(F.col("utc_ms") >= _CUT), "player", "utc_ms", ["elo"])
 
 
-@query(f"""WITH {_GAMES}, p AS (SELECT game_id, utc_ms, ord, unnest([white_id, black_id]) AS player FROM games), q AS (SELECT DISTINCT * FROM p WHERE player IS NOT NULL),
-  l AS (SELECT *, lag(game_id) OVER w AS prev FROM q WINDOW w AS (PARTITION BY player ORDER BY utc_ms, ord, game_id))
-  SELECT game_id, utc_ms, ord, CASE WHEN count(prev) = 0 THEN 'both_first' WHEN count(prev) < count(*) THEN 'one_side_first' WHEN min(prev) = max(prev) THEN 'mutual' ELSE 'different' END AS status FROM l GROUP BY game_id, utc_ms, ord""")
+@query(f"""WITH {_GAMES}, p AS (SELECT DISTINCT game_id, utc_ms, white_id AS player, black_id AS foe FROM games UNION SELECT DISTINCT game_id, utc_ms, black_id, white_id FROM games),
+  m AS (SELECT player, utc_ms, count(*) AS n, min({{'g': game_id, 'f': foe}}) AS one FROM p WHERE player IS NOT NULL GROUP BY 1, 2),
+  l AS (SELECT player, utc_ms, n, lag(utc_ms) OVER w AS pt, lag(n) OVER w AS pn, lag(one) OVER w AS po FROM m WINDOW w AS (PARTITION BY player ORDER BY utc_ms)),
+  j AS (SELECT p.game_id, p.utc_ms, count(p.player) AS players, max(greatest(n, coalesce(pn, 1))) AS most, count(pt) AS known, min(pt) = max(pt) AND min(po.g) = max(po.g) AS same, bool_and(po.f = p.foe) AS facing FROM p LEFT JOIN l USING (player, utc_ms) GROUP BY ALL)
+  SELECT game_id, utc_ms, CASE WHEN players <> 2 THEN 'unmapped' WHEN most > 1 THEN 'ambiguous' WHEN known < 2 THEN 'left_boundary' WHEN same AND facing THEN 'mutual' ELSE 'different' END AS status FROM j""")
 def adjacency_census(spark, sf):
-    return op.adjacency(_games(spark, sf), "game_id", ("white_id", "black_id"), ["utc_ms", "ord"])
+    return op.adjacency(_games(spark, sf), "game_id", ("white_id", "black_id"), "utc_ms")
 
 
 @query(f"WITH {_GAMES} SELECT game_id, utc_ms = min(utc_ms) OVER (PARTITION BY least(white_id, black_id), greatest(white_id, black_id)) AS first_meeting FROM games")
@@ -386,8 +386,12 @@ def nested_labels(spark, sf):
 
 @query()
 def rating_replayed(spark, sf):
-    p = table(spark, sf, "analysis_panel").where("utc_ms is not null").select("api_speed", "utc_ms", "game_id", "chooser_user_id", "disconnected_user_id", F.when(F.col("outcome_kind_draw"), 0.5).otherwise(1.0).alias("score")).distinct()
-    return op.rating_replay(p, "api_speed", ["utc_ms", "game_id"], ("chooser_user_id", "disconnected_user_id"), "score")
+    """Both players' states before each game; records whose ratings are both missing or impossible update nothing."""
+    g = table(spark, sf, "chronology").where("utc_ms is not null").groupBy("game_id", "utc_ms", "white_id", "black_id", "result_code").agg(F.max("white_elo").alias("w"), F.max("black_elo").alias("b"))
+    possible = lambda c: F.col(c).between(400, 4000)
+    g = g.withColumn("pool", F.pmod(F.crc32(F.col("game_id").cast("binary")), F.lit(5))).withColumn("observed", possible("w") | possible("b"))
+    g = g.withColumns({c: F.when(possible(c), F.col(c)).otherwise(1500) for c in ("w", "b")}).withColumn("score", F.col("result_code") / 2)
+    return op.rating_replay(g, "pool", "utc_ms", "game_id", ("white_id", "black_id"), ("w", "b"), "score", "observed")
 
 
 @query()

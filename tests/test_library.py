@@ -69,10 +69,47 @@ def test_horizon_bounds(spark):
     assert sorted(x.t for x in temporal.within_horizon(q, e, ("k", "key"), "at", "t", 50).collect()) == [101, 150]
 
 
-def test_replay_needs_order_only(spark):
-    g = spark.createDataFrame([("p", i, i % 3, 3 + i % 2, 1.0 if i % 2 else None) for i in range(20)], "pool string, t long, a long, b long, s double")
-    one, two = (sorted(map(tuple, temporal.rating_replay(x, "pool", ["t"], ("a", "b"), "s").collect())) for x in (g, g.repartition(3)))
-    assert one == two and one[0][2:] == (1500.0, 1500.0) and len({x[2] for x in one}) > 3
+@pytest.mark.parametrize("target", [8, 100_000])
+def test_first_outcome_equals_all_pairs(spark, target):
+    r = random.Random(4)
+    none = lambda x: r.choice([x, x, x, x, None])
+    ev = [(none(r.randrange(3)), none(r.randrange(4)), none(r.randrange(80)), none(r.randrange(80)), i, r.choice([None, f"g{i}"])) for i in range(150)]
+    ev += ev[:20]
+    q = [(i, none(r.randrange(4)), none(r.randrange(4)), none(r.randrange(90))) for i in range(80)]
+    e = spark.createDataFrame(ev, "k long, o long, s long, t long, ord long, gid string")
+    left = spark.createDataFrame(q + q[:5], "id long, key long, me long, at long")
+    for started in (None, "s"):
+        got = temporal.first_outcome(left, e, ["id", "key", "me", "at"], ("key", "k"), "at", "t", 20, ["ord"], ["gid", "ord"], ("me", "o"), started, target).collect()
+        assert len(got) == len(q)
+        for x in got:
+            own = [(t, n, g) for k, o, s, t, n, g in ev if None not in (k, o, t, x.key, x.me, x.at) and k == x.key and o != x.me and x.at < t <= x.at + 20 and (started is None or s is not None and s > x.at)]
+            best = min(own, key=lambda v: v[:2], default=(None, None, None))
+            assert (x.ord, x.gid) == best[1:]
+
+
+@pytest.mark.parametrize("target", [8, 100_000])
+def test_adjacency_states(spark, target):
+    events = [("prior1", 1, 1, 2), ("focal1", 5, 1, 2), ("prior2", 1, 3, 4), ("prior3", 2, 5, 6), ("focal2", 5, 3, 5), ("focal3", 5, 7, 8), ("prior4", 1, 9, 10), ("tied1", 1, 9, 11), ("focal4", 5, 9, 10), ("prior5", 1, 12, 13), ("focal5", 5, 12, 13), ("tied2", 5, 12, 14), ("lost", 6, 15, None), ("null", None, 1, 2)]
+    df = spark.createDataFrame(events + events[:3], "g string, t long, a long, b long")
+    got = {x.g: x.status for x in temporal.adjacency(df, "g", ("a", "b"), "t", target).collect()}
+    assert [got[f"focal{i}"] for i in range(1, 6)] == ["mutual", "different", "left_boundary", "ambiguous", "ambiguous"]
+    assert got["lost"] == "unmapped" and "null" not in got and len(got) == 13
+
+
+def test_replay_of_two_party_states(spark):
+    day = 86_400_000
+    g = spark.createDataFrame([("p", i * day, f"g{i}", i % 3, 3 + i % 2, 1500 + i, 1500.0, [0.0, 0.5, 1.0][i % 3], i != 3) for i in range(20)] + [("p", None, "x", 1, 2, 1, 1.0, 1.0, True), ("p", 1, "y", 1, 1, 1, 1.0, 1.0, True)], "pool string, t long, g string, a long, b long, ra long, rb double, s double, seen boolean")
+    run = lambda d: sorted(map(tuple, temporal.rating_replay(d, "pool", "t", "g", ("a", "b"), ("ra", "rb"), "s", "seen").collect()), key=lambda x: x[1])
+    one = run(g)
+    assert one == run(g.repartition(3)) and len(one) == 20
+    assert one[0][3:9] == (500.0, 500.0, 0.09, 0.09, 0, 0)
+    assert one[5][8] == 1 and one[6][7] == 1, "the game that was not observed updates neither player"
+    assert all(45 <= x[3] <= 500 for x in one) and one[19][3] < 500
+    # the example of the Glicko-2 paper, one opponent at a time of its three: the first game
+    law = temporal.ReplayLaw(most_sigma=1.0, tau=0.5, least_rd=1.0)
+    rating, rd, sigma = temporal.after_game(1500, 200, 0.06, 1400, 30, 1.0, law)
+    assert 1560 < rating < 1567 and 174 < rd < 177 and abs(sigma - 0.06) < 1e-4
+    assert math.isclose(temporal.grown(100.0, 0.06, 10.0, law), math.sqrt(100**2 + (0.06 * 173.7178) ** 2 * 2.1436))
 
 
 # Statistics -----------------------------------------------------------------------
