@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +15,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwake.session import spread
+from ledgerwake.session import materialize, spread
 
 _DROPPED = regex.compile(r"[\p{M}\p{Cf}]+")
 _WORD = re.compile(r"[^\W_]+")
-#: Items of more characters than this in all are not broadcast at once but in blocks.
-BLOCK_CHARS = 16 << 20
+#: Items of more characters than this in all are broadcast in blocks: 16 bytes a window and their vocabulary.
+BLOCK_CHARS = 64 << 20
 
 
 def folded(text: str) -> str:
@@ -43,29 +45,32 @@ def word_spans(text: str) -> list[tuple[int, int]]:
 
 
 class ItemGrams:
-    """The n-grams of test items: a hash set of word numbers, and the grams themselves to verify hits."""
+    """The windows of n words of test items: a sorted array of hashes, and the items' word numbers to verify hits."""
 
     def __init__(self, items: list[tuple[int, str | None]], n: int) -> None:
         self.n = n
         self.number: dict[str, int] = {}
-        self.items: dict[bytes, list[int]] = defaultdict(list)
         self.factors = np.random.default_rng(7).integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
-        hashes = [np.empty(0, np.uint64)]
-        for item, text in items:
-            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(text)], np.uint32)
-            if len(ids) >= n:
-                hashes.append(self.hashed(ids))
-                for i in range(len(ids) - n + 1):
-                    own = self.items[ids[i : i + n].tobytes()]
-                    if item not in own:
-                        own.append(item)
-        self.hashes = np.unique(np.concatenate(hashes))
-        self.items = dict(self.items)
-
-    def hashed(self, ids: np.ndarray) -> np.ndarray:
-        out = np.zeros(max(0, len(ids) - self.n + 1), np.uint64)
+        texts = [np.array([*(self.number.setdefault(w, len(self.number) + 1) for w in words(text)), 0], np.uint32) for _, text in items]
+        stream = np.concatenate([np.zeros(0, np.uint32), *texts])
+        self.item_ids = [item for item, _ in items]
+        self.starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        spots = self.windows(stream)
+        hashes = self.hashed(stream, spots)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.spots, self.stream = hashes[order], spots[order].astype(np.uint32), stream.tobytes()
+
+    def windows(self, ids: np.ndarray) -> np.ndarray:
+        """Where n numbers in a row are known words."""
+        if len(ids) < self.n:
+            return np.zeros(0, np.int64)
+        unknown = np.concatenate([[0], np.cumsum(ids == 0)])
+        return np.flatnonzero(unknown[self.n :] == unknown[: -self.n])
+
+    def hashed(self, ids: np.ndarray, spots: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(spots), np.uint64)
         for j in range(self.n):
-            out += ids[j : j + len(out)].astype(np.uint64) * self.factors[j]
+            out += ids[spots + j].astype(np.uint64) * self.factors[j]
         return out
 
     def hits(self, texts: list[list[str]]) -> Iterator[tuple[int, int, list[int]]]:
@@ -73,20 +78,21 @@ class ItemGrams:
         get, sizes = self.number.get, [len(t) + 1 for t in texts]
         starts = np.concatenate([[0], np.cumsum(sizes)])
         ids = np.fromiter((x for t in texts for x in (*(get(w, 0) for w in t), 0)), np.uint32, int(starts[-1]))
-        if len(ids) < self.n or not len(self.hashes):
-            return
-        unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-        spots = np.flatnonzero(unknown[self.n :] == unknown[: -self.n])
-        if not len(spots):
+        spots = self.windows(ids)
+        if not len(spots) or not len(self.hashes):
             return
-        own = np.zeros(len(spots), np.uint64)
-        for j in range(self.n):
-            own += ids[spots + j].astype(np.uint64) * self.factors[j]
-        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
-        for s in spots[self.hashes[at] == own]:
-            if (items := self.items.get(ids[s : s + self.n].tobytes())) is not None:
-                k = int(np.searchsorted(starts, s, "right")) - 1
-                yield k, int(s - starts[k]), items
+        own = self.hashed(ids, spots)
+        first = np.searchsorted(self.hashes, own)
+        near = self.hashes[np.minimum(first, len(self.hashes) - 1)] == own
+        spots, first, last = spots[near], first[near], np.searchsorted(self.hashes, own[near], "right")
+        text_of = np.searchsorted(starts, spots, "right") - 1
+        whole, size = ids.tobytes(), 4 * self.n
+        for s, a, b, k in zip(spots.tolist(), first.tolist(), last.tolist(), text_of.tolist(), strict=True):
+            words_here = whole[4 * s : 4 * s + size]
+            same = [x for x in self.spots[a:b].tolist() if self.stream[4 * x : 4 * x + size] == words_here]
+            if same:
+                items = dict.fromkeys(self.item_ids[i] for i in (np.searchsorted(self.starts, same, "right") - 1).tolist())
+                yield k, s - int(starts[k]), list(items)
 
 
 def _blocks(items: DataFrame, item: str, text: str, block_chars: int) -> Iterator[list[tuple[int, str | None]]]:
@@ -102,8 +108,18 @@ def _blocks(items: DataFrame, item: str, text: str, block_chars: int) -> Iterato
     yield block
 
 
-def _sent(docs: DataFrame, block: list[tuple[int, str | None]], n: int):
-    return docs.sparkSession.sparkContext.broadcast(ItemGrams(block, n))
+def _scanned(docs: DataFrame, blocks: Iterator[list[tuple[int, str | None]]], n: int, over) -> DataFrame:
+    """The union of ``over(sent grams)`` of all blocks; of several, each is written before the next is sent."""
+    context, parts = docs.sparkSession.sparkContext, []
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return over(context.broadcast(ItemGrams(block, n)))
+    while block is not None:
+        sent = context.broadcast(ItemGrams(block, n))
+        parts.append(materialize(over(sent), "leaks"))
+        sent.destroy()
+        block, following = following, next(blocks, None)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _groups(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[int, list[str | None]]]:
@@ -135,9 +151,7 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
     rows = spread(docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")))
     kinds = docs.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
 
-    def over(block: list[tuple[int, str | None]]) -> DataFrame:
-        sent = _sent(docs, block, n)
-
+    def over(sent) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams = sent.value
             for batch in batches:
@@ -149,9 +163,7 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
 
         return rows.mapInArrow(run, f"doc {kinds[0]}, item {kinds[1]}")
 
-    out = None
-    for block in _blocks(items, item, item_text, block_chars):
-        out = over(block) if out is None else out.unionByName(over(block))
+    out = _scanned(docs, _blocks(items, item, item_text, block_chars), n, over)
     return out.distinct().select(F.col("doc").alias(doc), F.col("item").alias(item))
 
 
@@ -161,43 +173,62 @@ def without_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item:
     Runs of leaked words go, with all signs between them, and leave one space.
     Where they make up ``drop_share`` or more of a document's words, the document is
     dropped: its text becomes null and dropped true. Null and empty texts and
-    those without a leak stay as they are. Every row of ``docs`` gives one. The leaked
-    words of all blocks of items are found in the whole text and then cut at once.
+    those without a leak stay as they are. Every row of ``docs`` gives one.
+
+    What is cut depends on the text and the items alone: with one block of items
+    it is found and cut in one pass; with several, the places found by each
+    scan of the original texts are united by the text's digest and cut at once.
     """
     rows = spread(docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")))
-    kind = docs.schema[doc].dataType.simpleString()
-    out = rows.select("doc", "text", F.lit(None).cast("array<int>").alias("at"))
+    out = f"doc {docs.schema[doc].dataType.simpleString()}, text string, leaked_words long, dropped boolean"
+
+    def places(grams: ItemGrams, batch: pa.RecordBatch) -> dict[int, set[int]]:
+        hit = defaultdict(set)
+        for first, group in _groups(batch):
+            for k, at, _ in grams.hits([words(t) for t in group]):
+                hit[first + k].update(range(at, at + n))
+        return hit
+
+    def cut(batch: pa.RecordBatch, hit: Mapping[int, set[int]]) -> pa.RecordBatch:
+        texts = batch.column(1).to_pylist()
+        leaked, dropped = [0] * len(texts), [False] * len(texts)
+        for k, own in hit.items():
+            leaked[k], dropped[k] = len(own), len(own) >= drop_share * len(words(texts[k]))
+            texts[k] = None if dropped[k] else _cut(texts[k], own)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(leaked, pa.int64()), pa.array(dropped, pa.bool_())], names=["doc", "text", "leaked_words", "dropped"])
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.withColumnsRenamed({"doc": doc, "text": text})
+
+    blocks = _blocks(items, item, item_text, block_chars)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        sent = docs.sparkSession.sparkContext.broadcast(ItemGrams(block, n))
+
+        def in_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield cut(batch, places(sent.value, batch))
 
-    def over(before: DataFrame, block: list[tuple[int, str | None]]) -> DataFrame:
-        sent = _sent(docs, block, n)
+        return named(rows.mapInArrow(in_one, out))
 
+    def over(sent) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            grams = sent.value
             for batch in batches:
-                places = batch.column(2).to_pylist()
-                for first, group in _groups(batch):
-                    hit = defaultdict(set)
-                    for k, at, _ in grams.hits([words(t) for t in group]):
-                        hit[k].update(range(at, at + n))
-                    for k, own in hit.items():
-                        places[first + k] = sorted(own.union(places[first + k] or ()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.list_(pa.int32()))], names=["doc", "text", "at"])
+                hit = places(sent.value, batch)
+                if hit:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(list(hit))), pa.array([sorted(v) for v in hit.values()], pa.list_(pa.int32()))], names=["digest", "at"])
+
+        return rows.where("text is not null").select(F.md5("text").alias("digest"), "text").mapInArrow(run, "digest string, at array<int>").dropDuplicates(["digest"])
 
-        return before.mapInArrow(run, f"doc {kind}, text string, at array<int>")
+    found = _scanned(docs, chain([block, following], blocks), n, over)
+    found = found.groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))  # at most the text's words for each block
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, places = (batch.column(i).to_pylist() for i in (1, 2))
-            leaked, dropped = [len(x or ()) for x in places], [False] * len(texts)
-            for k, own in enumerate(places):
-                if own:
-                    dropped[k] = len(own) >= drop_share * len(words(texts[k]))
-                    texts[k] = None if dropped[k] else _cut(texts[k], set(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(leaked, pa.int64()), pa.array(dropped, pa.bool_())], names=["doc", "text", "leaked_words", "dropped"])
-
-    for block in _blocks(items, item, item_text, block_chars):
-        out = over(out, block)
-    return out.mapInArrow(cut, f"doc {kind}, text string, leaked_words long, dropped boolean").withColumnsRenamed({"doc": doc, "text": text})
+            yield cut(batch, {k: set(v) for k, v in enumerate(batch.column(2).to_pylist()) if v})
+
+    placed = rows.withColumn("digest", F.md5("text")).join(found, "digest", "left").select("doc", "text", "at")
+    return named(placed.mapInArrow(by_place, out))
 
 
 def _cut(text: str, leaked: set[int]) -> str:

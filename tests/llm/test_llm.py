@@ -111,6 +111,24 @@ def test_splits_keep_groups_and_shares(spark):
     assert splits.grouped_splits(df.limit(0), "g", [F.col("y")], want).count() == 0
 
 
+@pytest.mark.parametrize("target", [300, 100_000])
+def test_small_groups_are_dealt_one_by_one(spark, target):
+    """All but two groups are small here; a third of all rows lies in one of them, a third of the groups has equal counts."""
+    r = random.Random(9)
+    data = [(-1, i % 3 == 0) for i in range(3000)] + [(g, r.random() < 0.4) for g in range(1500) for _ in range(r.choice([1, 1, 3, 5]))] + [(5000 + i, True) for i in range(900)]
+    df = spark.createDataFrame(data, "g long, y boolean")
+    want = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
+    one, two = ({x.g: x.split for x in splits.grouped_splits(d, "g", [F.col("y")], want, target_rows=target, large_share=50).collect()} for d in (df, df.repartition(5)))
+    assert one == two and set(one) == {g for g, _ in data}
+    n = Counter(one[g] for g, _ in data)
+    assert all(abs(n[s] / len(data) - p) < 0.01 for s, p in want)
+    sizes = Counter(g for g, _ in data)
+    alike = [g for g, y in data if sizes[g] == 1 and y]
+    single = Counter(one[g] for g in alike)
+    lack = {s: p * len(data) - 3000 * (one[-1] == s) for s, p in want}
+    assert all(abs(single[s] - len(alike) * lack[s] / sum(lack.values())) <= 5 for s, _ in want), "groups of equal counts are dealt evenly"
+
+
 # Tokens ---------------------------------------------------------------------------
 
 ODD = ["", " ", "a", "\n\n\t x", "it's  I'LL", "naïve ﬁ é é", "🙂🙂👩‍👩‍👧", "<|endoftext|> x", "\x00\x1c​ 　", "1234567890" * 30, "ab" * 3000, "…" * 999, "привет мир", "\r\n\r\n", "棋" * 50]
@@ -148,6 +166,16 @@ def common(docs, items, n):
     return {(d, i) for d, t in docs for i, g in own.items() if g & grams(t)}
 
 
+def cleaned(text, items, n, drop_share):
+    """(kept words, leaked, dropped) of one text against all items."""
+    own = plain_words(text)
+    grams = {tuple(w[i : i + n]) for _, t in items for w in [plain_words(t)] for i in range(len(w) - n + 1)}
+    bad = {j for i in range(len(own) - n + 1) if tuple(own[i : i + n]) in grams for j in range(i, i + n)}
+    if bad and len(bad) >= drop_share * len(own):
+        return None, len(bad), True
+    return [w for j, w in enumerate(own) if j not in bad], len(bad), False
+
+
 @pytest.mark.parametrize("block", [40, 1 << 20])
 def test_leaks_equal_brute_force(spark, block):
     r = random.Random(4)
@@ -160,11 +188,11 @@ def test_leaks_equal_brute_force(spark, block):
     t = spark.createDataFrame([(*x, 0) for x in items + items[:3]], "id long, text string, doc int")
     got = leakage.leaks(d, "doc", "text", t, "id", "text", 4, block).collect()
     assert len(got) == len(set(got)) and {tuple(x) for x in got} == common(docs, items, 4)
-    clean = leakage.without_leaks(d, "doc", "text", t, "id", "text", 4, 0.5, block)
-    assert clean.count() == len(docs)
-    if block > 1000:
-        after = [(x.doc, x.text) for x in clean.collect()]
-        assert {(a, b) for a, b in after if a in (77, 78)} == {(77, None), (78, "")}
+    clean = leakage.without_leaks(d, "doc", "text", t, "id", "text", 4, 0.5, block).collect()
+    known = [(i, x) for i, x in items if i is not None]
+    want = Counter((i, *(lambda k, n, gone: (None if x is None or gone else tuple(k), n, gone))(*cleaned(x, known, 4, 0.5))) for i, x in docs)
+    assert Counter((x.doc, None if x.text is None else tuple(plain_words(x.text)), x.leaked_words, x.dropped) for x in clean) == want
+    assert {(x.doc, x.text) for x in clean if x.doc in (77, 78)} == {(77, None), (78, "")}
     assert leakage.leaks(d.limit(0), "doc", "text", t, "id", "text").count() == 0
     assert leakage.leaks(d, "doc", "text", t.limit(0), "id", "text").count() == 0
 
