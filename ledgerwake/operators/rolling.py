@@ -16,35 +16,46 @@ def day_number(ms: Column | str) -> Column:
     return F.floor(c / F.lit(DAY_MS)).cast("int")
 
 
-def daily_counts(df: DataFrame, entity: str, record: str, day: str) -> DataFrame:
-    """Sparse daily totals (__entity, __day, n): n distinct records of that day.
-
-    Rows with a null in any of the three columns are left out.
+def daily_totals(activity: DataFrame, entity: str, record: str, day: str, windows: Sequence[int], record_days_vary: bool = True) -> DataFrame:
+    """Sparse (__entity, __day, n, f0, f1, ...): distinct records of the day, and steps of what windows count twice.
+
+    A record seen on the days ``before`` and ``day`` counts twice in a window of W
+    days that ends before q, for day < q <= before + W: the step of W is +1 at
+    day + 1 and -1 at before + W + 1. All of it comes from one aggregation by entity
+    and record (a record's distinct days are few or as many as the calendar
+    has), summed by day with map-side combine.
     """
-    rows = df.select(F.col(entity).alias("__entity"), F.col(record).alias("__record"), F.col(day).alias("__day")).where("__entity is not null and __record is not null and __day is not null").distinct()
-    return rows.groupBy("__entity", "__day").agg(F.count("*").alias("n"))
+    rows = activity.select(F.col(entity).alias("__entity"), F.col(record).alias("__record"), F.col(day).alias("__day")).where("__entity is not null and __record is not null and __day is not null")
+    fixes = [f"f{i}" for i in range(len(windows))]
 
+    def item(at: Column, n: int, *f: Column) -> Column:
+        return F.struct(at.cast("int").alias("__day"), F.lit(n).alias("n"), *[x.cast("int").alias(name) for x, name in zip(f, fixes, strict=True)])
 
-def repeat_days(df: DataFrame, entity: str, record: str, day: str) -> DataFrame:
-    """(entity, day, before, n): n records of that day that were last seen on day ``before``.
+    if record_days_vary:
+        days = rows.groupBy("__entity", "__record").agg(F.sort_array(F.collect_set("__day")).alias("d"))
+        near = lambda a, b, w: F.when(b - a < w, 1).otherwise(0)
 
-    Only records of several days give rows. They are grouped by entity and
-    record; a record's distinct days are few or as many as the calendar has.
-    """
-    rows = df.select(F.col(entity).alias("__entity"), F.col(record).alias("__record"), F.col(day).alias("__day")).where("__entity is not null and __record is not null and __day is not null")
-    days = rows.groupBy("__entity", "__record").agg(F.sort_array(F.collect_set("__day")).alias("d")).where("size(d) > 1")
-    pairs = days.select("__entity", F.explode(F.arrays_zip(F.slice("d", 2, F.size("d") - 1).alias("day"), F.slice("d", 1, F.size("d") - 1).alias("before"))).alias("x"))
-    return pairs.groupBy("__entity", F.col("x.day").alias("__day"), F.col("x.before").alias("before")).agg(F.count("*").alias("n"))
+        def steps(a: Column, b: Column) -> Column:
+            ends = [item(a + w + 1, 0, *[-near(a, b, w) if j == i else F.lit(0) for j in range(len(windows))]) for i, w in enumerate(windows)]
+            return F.array(item(b + 1, 0, *[near(a, b, w) for w in windows]), *ends)
+
+        pairs = F.flatten(F.zip_with(F.slice("d", 1, F.size("d") - 1), F.slice("d", 2, F.size("d") - 1), steps))
+        all_items = F.concat(F.transform("d", lambda x: item(x, 1, *[F.lit(0)] * len(windows))), F.filter(pairs, lambda x: sum((F.abs(x[f]) for f in fixes), F.lit(0)) > 0))
+        flat = days.select("__entity", F.inline(all_items))
+    else:
+        flat = rows.groupBy("__entity", "__record").agg(F.min("__day").alias("__day")).select("__entity", "__day", F.lit(1).alias("n"), *[F.lit(0).alias(f) for f in fixes])
+    return flat.groupBy("__entity", "__day").agg(*[F.sum(c).alias(c) for c in ("n", *fixes)])
 
 
 def trailing_totals(
     activity: DataFrame,
-    calendar: DataFrame,
+    calendar: DataFrame | None,
     entity: str,
     record: str,
     day: str,
     windows: Sequence[int] = (7, 30),
     record_days_vary: bool = True,
+    tail: int = 30,
 ) -> DataFrame:
     """For each (entity, day) of ``calendar``, distinct records of the trailing days.
 
@@ -53,31 +64,39 @@ def trailing_totals(
     and ``mean_<W>d``, that number divided by W whatever days had activity.
 
     ``calendar`` rows stand for days with and without activity alike; repeated
-    and null ones are dropped. Activity rows with a null entity, record or day
-    are left out. Entities without activity get zeros. Sparse daily totals are
-    united with calendar rows of total 0 and summed by a range frame over the
-    day number, so a task gets at most one row per calendar day of an entity.
-    A record seen on several days counts once in a window that holds several of
-    them; ``record_days_vary=False`` says that no record has more than one day
-    and saves that step.
+    and null ones are dropped, and entities without activity get zeros. Without a
+    ``calendar`` the result has all days from an entity's first to its last
+    + ``tail``; these are made where the entity's sparse totals lie, so only
+    sparse rows are shuffled. Activity rows with a null entity, record or day
+    are left out. Sparse daily totals and calendar rows of total 0 are summed
+    by range frames over the day number, so a task gets at most one row per
+    calendar day of an entity and its sparse ones. A record seen on several days
+    counts once in a window that holds several of them; ``record_days_vary=False``
+    says that no record has more than one day and saves that step.
     """
-    totals = daily_counts(activity, entity, record, day).select("__entity", "__day", "n", F.lit(0).alias("__asked"))
-    asked = calendar.select(F.col(entity).alias("__entity"), F.col(day).alias("__day")).where("__entity is not null and __day is not null").distinct()
-    rows = totals.unionByName(asked.select("__entity", "__day", F.lit(0).cast("long").alias("n"), F.lit(1).alias("__asked"))).groupBy("__entity", "__day").agg(F.sum("n").alias("n"), F.max("__asked").alias("__asked"))
-    names = [f"__n{w}" for w in windows]
+    totals = daily_totals(activity, entity, record, day, windows, record_days_vary)
+    fixes = [f"f{i}" for i in range(len(windows))]
+    if calendar is None:
+        own = F.struct("__day", "n", *fixes, F.lit(0).alias("__asked"))
+        active = F.when(F.col("n") > 0, F.col("__day"))
+        lists = totals.groupBy("__entity").agg(F.collect_list(own).alias("own"), F.min(active).alias("lo"), F.max(active).alias("hi"))  # at most one a calendar day, and the steps
+        zero = F.lit(0).cast("long")
+        dense = F.transform(F.sequence("lo", F.col("hi") + tail), lambda x: F.struct(x.alias("__day"), zero.alias("n"), *[zero.alias(f) for f in fixes], F.lit(1).alias("__asked")))
+        rows = lists.select("__entity", F.inline(F.concat("own", dense)))
+    else:
+        asked = calendar.select(F.col(entity).alias("__entity"), F.col(day).alias("__day")).where("__entity is not null and __day is not null")
+        none = [F.lit(0).cast("long").alias(c) for c in ("n", *fixes)]
+        rows = totals.select("*", F.lit(0).alias("__asked")).unionByName(asked.select("__entity", "__day", *none, F.lit(1).alias("__asked")))
+        rows = rows.groupBy("__entity", "__day").agg(*[F.sum(c).alias(c) for c in ("n", *fixes)], F.max("__asked").alias("__asked"))
     frame = Window.partitionBy("__entity").orderBy("__day")
-    rows = rows.select("*", *[F.coalesce(F.sum("n").over(frame.rangeBetween(-w, -1)), F.lit(0)).alias(x) for w, x in zip(windows, names, strict=True)]).where("__asked = 1")
-    if record_days_vary:
-        # A pair of days (before, day) of one record counts twice in the window
-        # of the asked days q with day < q <= before + w.
-        pairs = repeat_days(activity, entity, record, day).where(F.col("__day") - F.col("before") < max(windows))
-        late = pairs.select("__entity", "__day", "before", "n", F.explode(F.sequence(F.col("__day") + 1, F.col("before") + max(windows))).alias("q"))
-        twice = late.groupBy("__entity", F.col("q").alias("__day")).agg(*[F.sum(F.when(F.col("q") <= F.col("before") + w, F.col("n")).otherwise(0)).alias(f"__twice{w}") for w in windows])
-        rows = rows.join(twice, ["__entity", "__day"], "left")
-        rows = rows.withColumns({x: F.col(x) - F.coalesce(f"__twice{w}", F.lit(0)) for w, x in zip(windows, names, strict=True)})
+    counts = []
+    for w, f in zip(windows, fixes, strict=True):
+        n = F.coalesce(F.sum("n").over(frame.rangeBetween(-w, -1)), F.lit(0))
+        counts.append((w, n - F.sum(f).over(frame.rangeBetween(Window.unboundedPreceding, 0)) if record_days_vary else n))
+    rows = rows.select("__entity", "__day", "__asked", *[n.alias(f"n_{w}d") for w, n in counts]).where("__asked = 1")
     out = [F.col("__entity").alias(entity), F.col("__day").alias(day)]
-    for w, x in zip(windows, names, strict=True):
-        out += [F.col(x).alias(f"n_{w}d"), (F.col(x) / F.lit(float(w))).alias(f"mean_{w}d")]
+    for w in windows:
+        out += [F.col(f"n_{w}d"), (F.col(f"n_{w}d") / F.lit(float(w))).alias(f"mean_{w}d")]
     return rows.select(*out)
 
 
