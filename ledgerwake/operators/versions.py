@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerwake.operators.skew import running_labels
 
@@ -33,9 +32,11 @@ def attributes_at(
 
     A record becomes visible at the later of its two times. Over narrow rows
     (entity, time, rank) a record starts a new version when it ranks above all
-    visible before it; the running count of versions numbers each event, and the
-    wide attributes are joined by entity and number only then. Entities of more
-    than ``target_rows`` rows are split (see running_labels).
+    visible before it; the running count of versions numbers each asked (entity,
+    time), the wide attributes are joined to the numbers by entity and
+    number, and the events, which move only once, take them by entity and time. Entities of more
+    than ``target_rows`` rows are split (see running_labels); events of an entity with few
+    versions or times are split by AQE's skew join.
 
     Events with null entity or time, and events before the first visible
     record, have no version: they are left out, or kept with nulls if
@@ -49,24 +50,22 @@ def attributes_at(
         F.col(entity).alias("__entity"),
         F.greatest(valid_from, known_from).alias("__at"),
         F.struct(F.col(valid_from).alias("v"), F.col(ordinal).alias("o")).alias("__rank"),
-        F.struct(*[F.col(c) for c in attributes]).alias("__wide"),
+        *([F.struct(*[F.col(c) for c in attributes]).alias("__wide")] if attributes else []),
     )
-    event = F.struct(*[events[c] for c in events.columns])
+    on = [events[entity].alias("__entity"), events[at].alias("__at")]
+    asked = events.select(*on).where("__entity is not null and __at is not null").distinct()
+    narrow = records.select("__entity", "__at", "__rank", F.lit(0).alias("__kind"))
     none = F.lit(None)
-    narrow = records.select("__entity", "__at", "__rank", F.lit(0).alias("__kind"), none.cast(T.StructType(events.schema.fields)).alias("__event"))
-    asked = events.where(F.col(entity).isNotNull() & F.col(at).isNotNull())
-    asked = asked.select(F.col(entity).alias("__entity"), F.col(at).alias("__at"), none.cast(records.schema["__rank"].dataType).alias("__rank"), F.lit(1).alias("__kind"), event.alias("__event"))
+    narrow = narrow.unionByName(asked.select("__entity", "__at", none.cast(narrow.schema["__rank"].dataType).alias("__rank"), F.lit(1).alias("__kind")))
     newer = lambda prior: F.col("__rank").isNotNull() & (prior.isNull() | (F.col("__rank") > prior))
     # Records that become visible together are ordered by rank and so numbered alike in every run.
-    runs = running_labels(narrow.unionByName(asked), "__entity", "__at", "__rank", newer, ["__kind", "__rank"], target_rows, "__prior", "__version")
-    opened = runs.where((F.col("__kind") == 0) & newer(F.col("__prior"))).select("__entity", "__version", "__at", "__rank")
-    chosen = records.groupBy("__entity", "__at", "__rank").agg(F.max("__wide").alias("__wide"))
-    versions = opened.join(chosen, ["__entity", "__at", "__rank"]).select("__entity", "__version", "__rank", "__wide")
-    numbered = runs.where("__kind = 1").select("__entity", "__version", "__event")
-    out = numbered.join(versions, ["__entity", "__version"], "left" if keep_unmatched else "inner")
+    runs = running_labels(narrow, "__entity", "__at", "__rank", newer, ["__kind", "__rank"], target_rows, "__prior", "__version")
+    versions = runs.where((F.col("__kind") == 0) & newer(F.col("__prior"))).select("__entity", "__version", "__at", "__rank")
+    if attributes:
+        chosen = records.groupBy("__entity", "__at", "__rank").agg(F.max("__wide").alias("__wide"))
+        versions = versions.join(chosen, ["__entity", "__at", "__rank"])
+    numbered = runs.where("__kind = 1").select("__entity", "__at", "__version")
     then = [F.col("__rank.v").alias(f"then_{valid_from}"), F.col("__rank.o").alias(f"then_{ordinal}"), *[F.col(f"__wide.{c}").alias(f"then_{c}") for c in attributes]]
-    out = out.select(*[F.col("__event")[c].alias(c) for c in events.columns], *then)
-    if keep_unmatched:
-        unasked = events.where(F.col(entity).isNull() | F.col(at).isNull())
-        out = out.unionByName(unasked.select("*", *[none.cast(out.schema[c].dataType).alias(c) for c in out.columns[len(events.columns) :]]))
-    return out
+    found = numbered.join(versions.drop("__at"), ["__entity", "__version"]).select("__entity", "__at", F.struct(*then).alias("__then"))
+    out = events.withColumns({"__entity": F.col(entity), "__at": F.col(at)}).join(found, ["__entity", "__at"], "left" if keep_unmatched else "inner")
+    return out.select(*[F.col(c) for c in events.columns], *[F.col("__then")[f.name].alias(f.name) for f in found.schema["__then"].dataType.fields])
