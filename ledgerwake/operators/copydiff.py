@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -90,35 +91,41 @@ def peel(cells: dict[int, list[int]], per_hash: int, seed: int) -> tuple[list[tu
 
 
 def _peeler(per_hash: int, seed: int):
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int | None]] = []
-        for bucket, own in batch.groupby("bucket"):
-            rows = zip(own["cell"], own["n"], own["k"], own["h"], own["c"], strict=True)
-            found, whole = peel({int(i): [int(x) for x in r] for i, *r in rows}, per_hash, seed)
-            out += [(int(bucket), k) for k in dict.fromkeys(k for k, _ in found)] if whole else [(int(bucket), None)]
-        # typed one by one: a frame made of rows with gaps would pass through doubles
-        return pd.DataFrame({"bucket": pd.array([b for b, _ in out], "int64"), "kh": pd.array([k for _, k in out], "Int64")})
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(own["bucket"].iloc[0])
+        rows = zip(own["cell"], own["n"], own["k"], own["h"], own["c"], strict=True)
+        found, whole = peel({int(i): [int(x) for x in r] for i, *r in rows}, per_hash, seed)
+        keys = list(dict.fromkeys(k for k, _ in found)) if whole else [None]
+        # typed: a frame made of rows with gaps would pass through doubles
+        return pd.DataFrame({"bucket": pd.array([bucket] * len(keys), "int64"), "kh": pd.array(keys, "Int64")})
 
     return run
 
 
-def differing_keys(sides: Sequence[tuple[int, DataFrame]], cells: int, seed: int, group: int = 16) -> DataFrame:
+def differing_keys(rows: DataFrame, cells: int, seed: int) -> DataFrame:
     """(bucket, kh) of the elements in which the two sides differ; kh is null for a bucket that didn't peel.
 
-    ``sides`` are (sign, frame of bucket, kh, h). Each side sums its elements
-    into ``cells`` cells a bucket; only cells are exchanged and subtracted.
+    ``rows`` are (sign, bucket, kh, rev, h), sign 1 and -1 naming the side. They
+    are shuffled once, by bucket; what follows stays where the bucket lies: the newest
+    row of each key and side, the sums of each side's elements in ``cells``
+    cells a bucket, subtracted, and the peeling.
     """
     per_hash = cells // HASHES
-    table = None
-    for sign, rows in sides:
-        x = F.xxhash64("kh", "h", F.lit(seed).cast("long"))
-        spots = [(F.lit(i * per_hash) + F.pmod(F.shiftrightunsigned(x, 21 * i).bitwiseAND(F.lit(0x1FFFFF)), F.lit(per_hash))).cast("int") for i in range(HASHES)]
-        part = rows.select("bucket", "kh", "h", F.xxhash64("kh", "h").alias("check"), F.explode(F.array(*spots)).alias("cell"))
-        part = part.groupBy("bucket", "cell").agg((F.count("*") * sign).alias("n"), F.bit_xor("kh").alias("k"), F.bit_xor("h").alias("h"), F.bit_xor("check").alias("c"))
-        table = part if table is None else table.unionByName(part)
-    left = table.groupBy("bucket", "cell").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"), F.bit_xor("c").alias("c")).where("n != 0 or k != 0 or h != 0 or c != 0")
-    # a group holds ``group`` buckets of at most ``cells`` cells
-    return left.groupBy(F.floor(F.col("bucket") / group).alias("g")).applyInPandas(_peeler(per_hash, seed), "bucket long, kh long")
+    laid = rows.repartition("bucket")
+    one = laid.groupBy("bucket", "kh", "sign").agg(F.max(F.struct("rev", "h")).alias("x")).select("bucket", "kh", F.col("x.h").alias("h"), "sign")
+    x = F.xxhash64("kh", "h", F.lit(seed).cast("long"))
+    spots = [(F.lit(i * per_hash) + F.pmod(F.shiftrightunsigned(x, 21 * i).bitwiseAND(F.lit(0x1FFFFF)), F.lit(per_hash))).cast("int") for i in range(HASHES)]
+    part = one.select("bucket", "kh", "h", "sign", F.xxhash64("kh", "h").alias("check"), F.explode(F.array(*spots)).alias("cell"))
+    left = part.groupBy("bucket", "cell").agg(F.sum("sign").alias("n"), F.bit_xor("kh").alias("k"), F.bit_xor("h").alias("h"), F.bit_xor("check").alias("c")).where("n != 0 or k != 0 or h != 0 or c != 0")
+    return left.groupBy("bucket").applyInPandas(_peeler(per_hash, seed), "bucket long, kh long")
+
+
+def _differing_share(rows: DataFrame, one_of: int) -> float:
+    """Differing elements to a key, from the keys whose hash is divisible by ``one_of``."""
+    own = rows.where(F.pmod(F.shiftright("kh", 7), F.lit(one_of)) == 0).groupBy("kh").agg(*[F.max(F.when(F.col("sign") == s, F.struct("rev", "h"))).alias(n) for s, n in ((1, "a"), (-1, "b"))])
+    apart = F.when(F.col("a.h").eqNullSafe(F.col("b.h")) & F.col("a").isNotNull() & F.col("b").isNotNull(), 0).otherwise(F.col("a").isNotNull().cast("int") + F.col("b").isNotNull().cast("int"))
+    keys, found = own.agg(F.count("*"), F.sum(apart)).first()
+    return (found or 0) / max(keys, 1)
 
 
 def compare_copies(
@@ -127,8 +134,8 @@ def compare_copies(
     keys: Sequence[str],
     fields: Sequence[Field],
     revision: str | None = None,
-    rows_per_bucket: int = 500,
-    cells: int = 240,
+    rows_per_bucket: int = 8_000,
+    cells: int | None = None,
 ) -> DataFrame:
     """Rows missing on either side and, field by field, values that differ.
 
@@ -146,46 +153,50 @@ def compare_copies(
     key hash and row hash of its rows into an invertible Bloom lookup table of
     ``cells`` cells a bucket; the tables are subtracted and peeled, which
     reveals the differing keys, and only these rows are fetched and compared.
+    The tables are as large as the differences ask for: their share is counted
+    beforehand on the keys of a 64th of the hashes (fewer on large tables).
     Buckets with too many differences to peel are tried again with eight times
     the cells; all keys of buckets that fail again are fetched. A row hash is
     equal for no two rows that differ, so but for collisions of 64-bit hashes no
-    difference is lost; rounding noise can only fetch a row in vain.
+    difference is lost; rounding noise can only fetch a row in vain. A field
+    must have the same type on both sides.
     """
-    spark = main.sparkSession
+    for f, a, b in zip(fields, main.select(*[f.main for f in fields]).schema, copy.select(*[f.copy for f in fields]).schema, strict=True):
+        if a.dataType != b.dataType:  # row hashes of different types never agree
+            raise TypeError(f"{f.name} is {a.dataType.simpleString()} on one side and {b.dataType.simpleString()} on the other: cast one")
     # of each side: sign, rows, the columns to compare, the row hash
     tables = [(sign, df, of, F.xxhash64(*[x for f, c in zip(fields, of, strict=True) for x in f.hashed(c)])) for sign, df, of in ((1, main, [f.main for f in fields]), (-1, copy, [f.copy for f in fields]))]
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # A multiple of the shuffle's partitions: with the bucket taken from the hash
-    # that Spark partitions by, each bucket lies whole in one task.
-    buckets = shuffle * max(1, -(-max(main.count(), copy.count()) // (rows_per_bucket * shuffle)))
+    size = max(main.count(), copy.count())
+    buckets = max(1, -(-size // rows_per_bucket))
     kh = F.xxhash64(*keys)
-
-    def elements(df: DataFrame, hashed: Column) -> DataFrame:
-        return newest(df, keys, revision, hashed).select(F.pmod(F.hash(*keys).cast("long"), F.lit(buckets)).alias("bucket"), kh.alias("kh"), F.col("__row.__h").alias("h"))
-
-    found = materialize(differing_keys([(s, elements(df, h)) for s, df, _, h in tables], cells, 1), "differing")
+    known = " and ".join(f"`{k}` is not null" for k in keys)
+    rev = F.col(revision) if revision else F.lit(0)
+    sides = [df.where(known).select(F.lit(s).cast("byte").alias("sign"), kh.alias("kh"), rev.alias("rev"), h.alias("h")) for s, df, _, h in tables]
+    rows = sides[0].unionByName(sides[1]).withColumn("bucket", F.pmod("kh", F.lit(buckets)))
+    if cells is None:
+        expected = _differing_share(rows, max(64, size // 1_000_000)) * rows_per_bucket
+        cells = HASHES * math.ceil((1.3 * expected + 6 * math.sqrt(expected) + 24) / HASHES)
+
+    found = materialize(differing_keys(rows, cells, 1), "differing")
     used, wanted = [found], found.where("kh is not null").select("kh")
-    whole = None
-    if not (failed := found.where("kh is null").select("bucket").distinct()).isEmpty():
-        again = [(s, elements(df, h).join(failed, "bucket", "left_semi")) for s, df, _, h in tables]
-        second = materialize(differing_keys(again, 8 * cells, 2), "differing")
+    failed = found.where("kh is null").select("bucket").distinct()
+    if n_failed := failed.count():
+        own = rows.join(F.broadcast(failed) if n_failed <= MAX_BROADCAST_KEYS else failed, "bucket", "left_semi")
+        second = materialize(differing_keys(own, 8 * cells, 2), "differing")
         used.append(second)
         wanted = wanted.unionByName(second.where("kh is not null").select("kh"))
-        if not (rest := second.where("kh is null").select("bucket").distinct()).isEmpty():
-            whole = rest
-    if whole is not None:
-        every = [elements(df, h).join(whole, "bucket", "left_semi").select("kh") for _, df, _, h in tables]
-        wanted = wanted.unionByName(every[0]).unionByName(every[1])
+        rest = second.where("kh is null").select("bucket").distinct()
+        if n_rest := rest.count():
+            wanted = wanted.unionByName(rows.join(F.broadcast(rest) if n_rest <= MAX_BROADCAST_KEYS else rest, "bucket", "left_semi").select("kh"))
     wanted = materialize(wanted.distinct(), "wanted")
     release(*used)
-    used = [wanted]
     fetch = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_KEYS else wanted
-    rows = [newest(df.withColumn("__kh", kh).join(fetch, F.col("__kh") == F.col("kh"), "left_semi"), keys, revision, h, [c.alias(f.name) for f, c in zip(fields, of, strict=True)]) for _, df, of, h in tables]
-    both = rows[0].withColumnRenamed("__row", "__a").join(rows[1].withColumnRenamed("__row", "__b"), list(keys), "full")
+    near = [newest(df.withColumn("__kh", kh).join(fetch, F.col("__kh") == F.col("kh"), "left_semi"), keys, revision, h, [c.alias(f.name) for f, c in zip(fields, of, strict=True)]) for _, df, of, h in tables]
+    both = near[0].withColumnRenamed("__row", "__a").join(near[1].withColumnRenamed("__row", "__b"), list(keys), "full")
     one = lambda diff, a, b: F.struct(F.lit(diff).alias("diff"), a.cast("string").alias("main_value"), b.cast("string").alias("copy_value"))
     none = F.lit(None)
     pairs = F.array_compact(F.array(*[F.when(f.differs(F.col(f"__a.{f.name}"), F.col(f"__b.{f.name}")), one(f.name, F.col(f"__a.{f.name}"), F.col(f"__b.{f.name}"))) for f in fields]))
     cases = F.when(F.col("__b").isNull(), F.array(one("only_main", none, none))).when(F.col("__a").isNull(), F.array(one("only_copy", none, none))).otherwise(pairs)
     out = materialize(both.select(*keys, F.explode(cases).alias("__x")).select(*keys, "__x.*"), "differences")
-    release(*used)
+    release(wanted)
     return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerwake.operators.copydiff import Field, compare_copies
 from ledgerwake.operators.intervals import periods, periods_and_gaps
-from ledgerwake.operators.rolling import day_number, every_day, trailing_totals
+from ledgerwake.operators.rolling import day_number, trailing_totals
 from ledgerwake.operators.skew import key_profile
 from ledgerwake.operators.versions import attributes_at
 from ledgerwake.session import table
@@ -53,7 +53,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def _utc_ms(c: str) -> F.Column:
     """Epoch milliseconds of a timestamp without zone, read as UTC."""
     day = F.unix_date(F.to_date(c)).cast("long") * 86_400_000
-    return day + F.hour(c) * 3_600_000 + F.minute(c) * 60_000 + F.floor(F.expr(f"extract(SECOND FROM {c})") * 1000)
+    return (day + F.hour(c) * 3_600_000 + F.minute(c) * 60_000 + F.floor(F.expr(f"extract(SECOND FROM {c})") * 1000)).cast("long")
 
 
 def score_fields() -> list[Field]:
@@ -84,12 +84,16 @@ def _sides(spark: SparkSession, sf: str) -> DataFrame:
 def p6_ratings(spark: SparkSession, sf: str) -> DataFrame:
     asked = _exposures(spark, sf).select("row_id", "recipient_id", "anchor_ms").distinct()
     rated = _sides(spark, sf).where("elo between 400 and 4000")
-    out = attributes_at(asked, rated, "recipient_id", "anchor_ms", "utc_ms", "recorded_ms", "archive_ordinal", ["elo", "side", "game_id"])
+    out = attributes_at(asked, rated, "recipient_id", "anchor_ms", "utc_ms", "recorded_ms", "archive_ordinal", ["elo", "side"])
     return out.select("row_id", "recipient_id", "anchor_ms", F.col("then_archive_ordinal").alias("archive_ordinal"), F.col("then_utc_ms").alias("rated_ms"), F.col("then_elo").alias("elo"), F.col("then_side").alias("side"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p6_ratings(spark, sf).select("row_id", "archive_ordinal").distinct()
+    """The ordinal is part of the version's rank, so no further attribute is joined."""
+    asked = _exposures(spark, sf).select("row_id", "recipient_id", "anchor_ms").distinct()
+    rated = _sides(spark, sf).where("elo between 400 and 4000")
+    out = attributes_at(asked, rated, "recipient_id", "anchor_ms", "utc_ms", "recorded_ms", "archive_ordinal", [])
+    return out.select("row_id", F.col("then_archive_ordinal").alias("archive_ordinal")).distinct()
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,7 +113,7 @@ def p7_daily(spark: SparkSession, sf: str) -> DataFrame:
     """All recipients of exposures and all their days, from the first game to 30 days after the last."""
     recipients = _exposures(spark, sf).where("recipient_id is not null").select("recipient_id").distinct()
     played = _sides(spark, sf).where("utc_ms is not null").join(recipients, "recipient_id", "left_semi").select("recipient_id", "game_id", day_number("utc_ms").alias("day"))
-    out = trailing_totals(played, every_day(played, "recipient_id", "day"), "recipient_id", "game_id", "day")
+    out = trailing_totals(played, None, "recipient_id", "game_id", "day")
     return out.withColumns({c: F.round(c, 6) for c in ("mean_7d", "mean_30d")})
 
 

@@ -187,6 +187,8 @@ def test_copies_whatever_the_table_size(spark, cells, per_bucket):
     got = compare_copies(a, b, ["k"], fields(), "rev", per_bucket, cells)
     assert rows(got.select("k", "diff")) == differences(main, copy)
     assert compare_copies(a, a, ["k"], fields(), "rev").collect() == []
+    with pytest.raises(TypeError):
+        compare_copies(a, a, ["k"], [Field("k", F.col("k"), F.col("k").cast("string"))], "rev")
     assert rows(compare_copies(a.limit(0), b, ["k"], fields(), "rev").select("diff").distinct()) == [("only_copy",)]
 
 
