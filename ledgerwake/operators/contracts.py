@@ -26,6 +26,24 @@ def ensure_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
+def violations(df: DataFrame, rule: Column) -> DataFrame:
+    """The rows for which ``rule`` does not hold; null does not hold."""
+    return df.where(~F.coalesce(rule, F.lit(False)))
+
+
+def conflicts(df: DataFrame, keys: Sequence[str], columns: Sequence[str], tolerance: float = 0.0) -> DataFrame:
+    """(keys, n) of keys whose rows differ in one of ``columns``: by null, or by more than ``tolerance`` if they are doubles."""
+    kinds, tests, aggs = dict(df.dtypes), [], [F.count("*").alias("n")]
+    for i, c in enumerate(columns):
+        aggs += [F.count(c).alias(f"__n{i}"), F.min(c).alias(f"__lo{i}"), F.max(c).alias(f"__hi{i}")]
+        apart = F.col(f"__hi{i}") - F.col(f"__lo{i}") > tolerance if kinds[c] in ("double", "float") else F.col(f"__lo{i}") != F.col(f"__hi{i}")
+        tests.append((F.col(f"__n{i}") > 0) & ((F.col(f"__n{i}") < F.col("n")) | apart))
+    bad = tests[0]
+    for t in tests[1:]:
+        bad = bad | t
+    return df.groupBy(*keys).agg(*aggs).where(bad).select(*keys, "n")
+
+
 def coverage(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys of one side only, with side ``left`` or ``right``; null keys are equal."""
     sides = [d.select(*keys, F.lit(i).alias("__side")) for i, d in ((1, a), (2, b))]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import count
 
@@ -215,6 +215,35 @@ def order_statistics(df: DataFrame, key: str, value: str, wanted: DataFrame, bin
     return out
 
 
+def exact_quantiles(df: DataFrame, key: str, value: str, probs: Mapping[str, float], bins: int = 256, target_rows: int = 100_000) -> DataFrame:
+    """(key, n, a column for each of ``probs``): exact quantiles, linear between the two order statistics.
+
+    No task holds a key's values, whatever their number (see order_statistics). Null
+    keys are a key of their own; null and NaN values count nothing, keys without any other
+    get no row.
+    """
+    c = F.col(value).cast("double")
+    rows = df.select(F.struct(F.col(key).alias("k")).alias("__key"), F.when(~F.isnan(c), c).alias("__v")).where("__v is not null")
+    rows = rows.select(F.to_json("__key").alias("__key"), F.col("__key.k").alias("__own"), "__v")
+    stats = rows.groupBy("__key").agg(F.first("__own").alias("__own"), F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    return _quantiles(rows.select("__key", F.col("__v").alias("__value")), materialize(stats, "quantile-keys"), "n", probs, bins, target_rows).drop("__key", "lo", "hi").withColumnRenamed("__own", key)
+
+
+def _quantiles(rows: DataFrame, stats: DataFrame, n: str, probs: Mapping[str, float], bins: int, target_rows: int) -> DataFrame:
+    """``stats`` (__key, n, lo, hi and others) with a column for each of ``probs`` over the values of ``rows`` (__key, __value)."""
+    ranks = F.array_distinct(F.array(*[f((F.col(n) - 1) * F.lit(float(p))).cast("long") for p in probs.values() for f in (F.floor, F.ceil)]))
+    wanted = stats.where(f"{n} > 0").select("__key", F.explode(ranks).alias("rank"), "lo", "hi")
+    found = order_statistics(rows, "__key", "__value", wanted, bins, target_rows)
+    by_rank = found.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("rank", "result"))).alias("__at"))  # at most 2 ranks for each of probs
+    out = stats.join(by_rank, "__key", "left")
+    columns = []
+    for name, p in probs.items():
+        x = (F.col(n) - 1) * F.lit(float(p))
+        low, high = F.col("__at")[F.floor(x).cast("long")], F.col("__at")[F.ceil(x).cast("long")]
+        columns.append(F.when(low == high, low).otherwise(low + (high - low) * (x - F.floor(x))).alias(name))
+    return out.select(*stats.columns, *columns)
+
+
 def key_profile(
     df: DataFrame,
     key: str,
@@ -248,19 +277,10 @@ def key_profile(
         rows.groupBy("__key").agg(F.count("*").alias("n_records"), F.count("__value").alias("n_values"), F.avg("__value").alias("mean_value"), F.min("__value").alias("lo"), F.max("__value").alias("hi")),
         "profile",
     )
-    at = [(p, f"q{100 * p:g}".replace(".", "_")) for p in probs]
-    ranks = F.array_distinct(F.array(*[f((F.col("n_values") - 1) * F.lit(float(p))).cast("long") for p, _ in at for f in (F.floor, F.ceil)]))
-    wanted = stats.where("n_values > 0").select("__key", F.explode(ranks).alias("rank"), "lo", "hi")
-    found = order_statistics(rows.where("__value is not null"), "__key", "__value", wanted, bins, target_rows)
-    by_rank = found.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("rank", "result"))).alias("__at"))  # at most 2 ranks for each of probs
-    out = stats.join(by_rank, "__key", "left")
-    columns = []
-    for p, name in at:
-        x = (F.col("n_values") - 1) * F.lit(float(p))
-        low, high = F.col("__at")[F.floor(x).cast("long")], F.col("__at")[F.ceil(x).cast("long")]
-        columns.append(F.when(low == high, low).otherwise(low + (high - low) * (x - F.floor(x))).alias(name))
+    names = {f"q{100 * p:g}".replace(".", "_"): p for p in probs}
+    out = _quantiles(rows.where("__value is not null"), stats, "n_values", names, bins, target_rows)
     share = F.col("n_records") / F.lit(max(total, 1))
-    return out.select(F.col("__key").alias(key), "n_records", "n_values", "mean_value", *columns, share.alias("share"), (F.col("n_records") >= F.lit(heavy_share) * F.lit(total)).alias("heavy"))
+    return out.select(F.col("__key").alias(key), "n_records", "n_values", "mean_value", *names, share.alias("share"), (F.col("n_records") >= F.lit(heavy_share) * F.lit(total)).alias("heavy"))
 
 
 def row_ids(df: DataFrame, order: Sequence[str], name: str = "row_no", partitions: int | None = None) -> DataFrame:

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerwake.operators import temporal as op
-from ledgerwake.operators.skew import row_ids
+from ledgerwake.operators.contracts import conflicts
+from ledgerwake.functions import columns as cols
+from ledgerwake.operators.skew import exact_quantiles, row_ids, running_labels
 from ledgerwake.session import table
+from ledgerwake.stats.scores import cumulative, midranks
 
 DAY = 86_400_000
 QUERIES: dict = {}
@@ -270,8 +273,6 @@ def complete_window_diff(spark, sf):
   SELECT spell, count(*) AS at_risk, count(*) FILTER (WHERE y) AS events FROM r WHERE before = 0 GROUP BY spell""")
 def hazard_riskset(spark, sf):
     """Decisions up to a chooser's first draw, by position."""
-    from ledgerwake.operators.skew import running_labels
-
     d = _decided(spark, sf).withColumn("mark", F.when(F.col("y"), 1))
     runs = running_labels(d, "chooser", "t", "mark", lambda _: F.lit(True), ["ord", "gid"], prior="seen", label="spell")
     return runs.where("seen is null").groupBy(F.col("spell").cast("long").alias("spell")).agg(F.count("*").alias("at_risk"), F.count_if("y").alias("events"))
@@ -316,7 +317,7 @@ def ecdf_percentile(spark, sf):
     """Each copy value's share of main values at or below it."""
     h = table(spark, sf, "scores_main").where("n_all_time is not null").groupBy(F.col("n_all_time").alias("v")).agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
     total = h.agg(F.sum("n")).first()[0] or 1
-    h = h.withColumn("p", F.sum("n").over(Window.partitionBy("one").orderBy("v")) / F.lit(total))  # over distinct values only
+    h = cumulative(h, ["one"], "v", "n").withColumn("p", F.col("__upto") / F.lit(total))
     s = table(spark, sf, "scores_copy").where("n_all_time is not null").select("row_id", "n_all_time").distinct().withColumn("one", F.lit(1))
     out = op.asof_join(s, h, ["one"], "n_all_time", "v", ["p"], strict=False)
     return out.select("row_id", "n_all_time", F.round(F.coalesce("asof_p", F.lit(0.0)), 6).alias("percentile"))
@@ -394,9 +395,159 @@ def rating_replayed(spark, sf):
     return op.rating_replay(g, "pool", "utc_ms", "game_id", ("white_id", "black_id"), ("w", "b"), "score", "observed")
 
 
-@query()
+_MOVE = r"(\d+\. [KQRBN]?[a-h][1-8]\S* [KQRBN]?[a-h][1-8]\S*)"
+
+
+@query(f"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_MOVE}', 1)) AS m FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, regexp_extract(m, '^(\\d+)', 1)::INT AS move_no, split_part(m, ' ', 2) AS white, split_part(m, ' ', 3) AS black FROM m""")
 def record_split(spark, sf):
     """Numbered moves in documents, taken apart into one row per move pair."""
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(\d+\. [KQRBN]?[a-h][1-8]\S* [KQRBN]?[a-h][1-8]\S*)"), F.lit(1))).alias("m"))
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_MOVE), F.lit(1))).alias("m"))
     part = lambda k: F.split_part("m", F.lit(" "), F.lit(k))
     return d.select("doc_id", F.regexp_extract("m", r"^(\d+)", 1).cast("int").alias("move_no"), part(2).alias("white"), part(3).alias("black"))
+
+
+# Orders within one chooser, who may hold a great part of the rows ----------------
+
+_MOVES = "moves AS (SELECT DISTINCT gid, chooser, t, ord, y FROM decisions WHERE chooser >= 0 AND t IS NOT NULL)"
+_LAST = ["ord", "gid"]
+
+
+def _moves(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "decisions").where("chooser >= 0 and t is not null").select("gid", "chooser", "t", "ord", "y").distinct()
+
+
+def _before_after(df: DataFrame) -> DataFrame:
+    """The two times before (t1, t2) and after (n1, n2): times grow along the order, so the greatest earlier one is the last."""
+    same = lambda prior: prior
+    df = running_labels(df, "chooser", "t", "t", None, _LAST, prior="t1", second=("t2", same))
+    back = [F.desc_nulls_last("ord"), F.desc_nulls_last("gid"), F.desc_nulls_last("y")]
+    df = running_labels(df.withColumn("__back", -F.col("t")), "chooser", "__back", "t", None, back, prior="n1", least=True, second=("n2", same))
+    return df.drop("__back")
+
+
+@query(f"""WITH {_MOVES} SELECT gid, chooser, lag(t) OVER w AS t1, lag(t, 2) OVER w AS t2, lead(t) OVER w AS n1, lead(t, 2) OVER w AS n2 FROM moves WINDOW w AS (PARTITION BY chooser ORDER BY t, ord, gid)""")
+def lag2_lead2(spark, sf):
+    return _before_after(_moves(spark, sf)).select("gid", "chooser", "t1", "t2", "n1", "n2")
+
+
+@query(f"""WITH {_MOVES} SELECT gid, chooser, CAST(sum(CASE WHEN y THEN 1 ELSE 0 END) OVER (PARTITION BY chooser ORDER BY t, ord, gid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS so_far,
+  max(t) OVER (PARTITION BY chooser ORDER BY t, ord, gid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_max,
+  min(t) OVER (PARTITION BY chooser ORDER BY t, ord, gid ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_min FROM moves""")
+def running_rows(spark, sf):
+    df = running_labels(_moves(spark, sf), "chooser", "t", "t", lambda _: F.col("y"), _LAST, prior="prior_max", label="so_far")
+    back = [F.desc_nulls_last("ord"), F.desc_nulls_last("gid")]
+    df = running_labels(df.withColumn("__back", -F.col("t")), "chooser", "__back", "t", None, back, prior="next_min", least=True)
+    return df.select("gid", "chooser", F.col("so_far").cast("long").alias("so_far"), "prior_max", "next_min")
+
+
+@query(f"""WITH {_MOVES} SELECT gid, chooser, count(*) OVER (PARTITION BY chooser ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior, count(*) OVER (PARTITION BY chooser ORDER BY t) AS with_peers FROM moves""")
+def range_peer_excl(spark, sf):
+    moves = _moves(spark, sf)
+    counts = op.window_counts(moves, moves, ["chooser"], ["gid", "chooser", "t", "ord", "y"], "t", "t", {"prior": (-(10**13), 0), "with_peers": (-(10**13), 1)})
+    return counts.select("gid", "chooser", "prior", "with_peers")
+
+
+@query(f"WITH {_MOVES} SELECT gid, chooser, min(t) OVER (PARTITION BY chooser) AS first_t, count(*) OVER (PARTITION BY chooser, t) AS ties, t - min(t) OVER (PARTITION BY chooser) AS age FROM moves")
+def whole_partition(spark, sf):
+    """Partial aggregates and joins, which AQE splits for a hot chooser, instead of one window task."""
+    moves = _moves(spark, sf)
+    first = moves.groupBy("chooser").agg(F.min("t").alias("first_t"))
+    ties = moves.groupBy("chooser", "t").agg(F.count("*").alias("ties"))
+    return moves.join(ties, ["chooser", "t"]).join(first, "chooser").select("gid", "chooser", "first_t", "ties", (F.col("t") - F.col("first_t")).alias("age"))
+
+
+@query(f"WITH {_MOVES} SELECT gid, chooser, CAST(sum(CASE WHEN t >= 1688169600000 THEN 1 END) OVER (PARTITION BY chooser ORDER BY t, ord, gid ROWS UNBOUNDED PRECEDING) AS BIGINT) AS since FROM moves")
+def conditional_running(spark, sf):
+    df = running_labels(_moves(spark, sf), "chooser", "t", "t", lambda _: F.col("t") >= 1_688_169_600_000, _LAST, label="since")
+    return df.select("gid", "chooser", F.when(F.col("since") > 0, F.col("since")).cast("long").alias("since"))
+
+
+@query("""SELECT e.row_id, count(*) AS later, min(d.t) AS first_t FROM (SELECT DISTINCT row_id, opponent_id, recipient_id, anchor_ms FROM exposures) e
+  JOIN (SELECT DISTINCT gid, chooser, counterparty, t, ord FROM decisions WHERE t IS NOT NULL) d ON d.chooser = e.opponent_id AND d.t > e.anchor_ms AND d.t <= e.anchor_ms + 2592000000 AND d.counterparty <> e.recipient_id GROUP BY e.row_id, e.opponent_id, e.recipient_id, e.anchor_ms""")
+def horizon_join_agg(spark, sf):
+    """Decisions of the next 30 days against others: all less those against the recipient, both from running counts."""
+    row = ["row_id", "opponent_id", "recipient_id", "anchor_ms"]
+    asked = table(spark, sf, "exposures").where("opponent_id is not null and recipient_id is not null and anchor_ms is not null").select(*row).distinct()
+    d = table(spark, sf, "decisions").where("t is not null and counterparty is not null").select("gid", F.col("chooser").alias("opponent_id"), F.col("counterparty").alias("recipient_id"), "t", "ord").distinct()
+    span = (1, 30 * DAY + 1)
+    every = op.window_counts(asked, d, ["opponent_id"], row, "anchor_ms", "t", {"every": span})
+    own = op.window_counts(asked, d, ["opponent_id", "recipient_id"], row, "anchor_ms", "t", {"own": span})
+    first = op.first_outcome(asked, d, row, ("opponent_id", "opponent_id"), "anchor_ms", "t", 30 * DAY, ["ord", "gid"], ["t"], ("recipient_id", "recipient_id"))
+    return every.join(own, row).join(first, row).where("every > own").select("row_id", (F.col("every") - F.col("own")).alias("later"), F.col("t").alias("first_t"))
+
+
+# Cells, quantiles, board strings --------------------------------------------------
+
+
+@query("""WITH p AS (SELECT engine_eval_cp_disconnected AS cp, ply_count AS ply, chooser_elo - disconnected_elo AS gap, CASE api_speed WHEN 'bullet' THEN 0 WHEN 'blitz' THEN 1 WHEN 'rapid' THEN 2 WHEN 'classical' THEN 3 ELSE 4 END AS speed FROM analysis_panel
+    WHERE NOT isnan(engine_eval_cp_disconnected) AND ply_count IS NOT NULL AND chooser_elo IS NOT NULL AND disconnected_elo IS NOT NULL)
+  SELECT ((CASE WHEN cp <= -300 THEN 0 WHEN cp < -100 THEN 1 WHEN cp <= 100 THEN 2 WHEN cp < 300 THEN 3 ELSE 4 END * 4 + CASE WHEN ply <= 10 THEN 0 WHEN ply <= 30 THEN 1 WHEN ply <= 60 THEN 2 ELSE 3 END) * 5 + speed) * 5
+    + CASE WHEN gap <= -200 THEN 0 WHEN gap <= -100 THEN 1 WHEN gap <= 100 THEN 2 WHEN gap <= 200 THEN 3 ELSE 4 END AS cell, count(*) AS n FROM p GROUP BY 1""")
+def state_cells(spark, sf):
+    p = table(spark, sf, "analysis_panel").where("engine_eval_cp_disconnected is not null and not isnan(engine_eval_cp_disconnected) and ply_count is not null and chooser_elo is not null and disconnected_elo is not null")
+    cell = cols.state_cell(F.col("engine_eval_cp_disconnected"), F.col("ply_count"), cols.speed_code(F.col("api_speed")), F.col("chooser_elo") - F.col("disconnected_elo"))
+    return p.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT row_id, CASE WHEN n_all_time IS NULL THEN 'missing' WHEN n_all_time < 10 THEN 'few' WHEN n_all_time < 30 THEN 'some' ELSE 'many' END AS amount,
+  CASE WHEN expected_all_time IS NULL OR isnan(expected_all_time) THEN -1 WHEN expected_all_time <= 0.1 THEN 0 WHEN expected_all_time <= 0.2 THEN 1 ELSE 2 END AS level FROM scores_main""")
+def edge_bins(spark, sf):
+    s = table(spark, sf, "scores_main")
+    return s.select("row_id", cols.binned(F.col("n_all_time"), [10, 30], ["few", "some", "many"], "left", "missing").alias("amount"), cols.binned(F.col("expected_all_time"), [0.1, 0.2], missing=-1).alias("level"))
+
+
+@query("""SELECT api_speed, round(quantile_cont(disconnected_clock_last_obs_s, 0.1), 6) AS q10, round(median(disconnected_clock_last_obs_s), 6) AS q50, round(quantile_cont(disconnected_clock_last_obs_s, 0.9), 6) AS q90
+  FROM analysis_panel WHERE NOT isnan(disconnected_clock_last_obs_s) GROUP BY api_speed""")
+def quantile_exact(spark, sf):
+    """By refined histograms: no buffer holds the values of one of the few groups."""
+    q = exact_quantiles(table(spark, sf, "analysis_panel"), "api_speed", "disconnected_clock_last_obs_s", {"q10": 0.1, "q50": 0.5, "q90": 0.9})
+    return q.select("api_speed", *[F.round(c, 6).alias(c) for c in ("q10", "q50", "q90")])
+
+
+@query("""WITH q AS (SELECT quantile_cont(n_all_time::DOUBLE, 0.25) AS a, quantile_cont(n_all_time::DOUBLE, 0.5) AS b, quantile_cont(n_all_time::DOUBLE, 0.75) AS c FROM scores_main WHERE n_all_time IS NOT NULL)
+  SELECT row_id, rev, n_all_time, CASE WHEN n_all_time <= a THEN 1 WHEN n_all_time <= b THEN 2 WHEN n_all_time <= c THEN 3 ELSE 4 END AS quarter FROM (SELECT DISTINCT row_id, rev, n_all_time FROM scores_main WHERE n_all_time IS NOT NULL) s, q""")
+def quantile_cuts(spark, sf):
+    s = table(spark, sf, "scores_main").where("n_all_time is not null")
+    edges = exact_quantiles(s.withColumn("one", F.lit(1)), "one", "n_all_time", {"a": 0.25, "b": 0.5, "c": 0.75}).select("a", "b", "c")
+    rows = s.select("row_id", "rev", "n_all_time").distinct().crossJoin(F.broadcast(edges))  # one row of edges
+    return rows.select("row_id", "rev", "n_all_time", F.when(F.col("n_all_time") <= F.col("a"), 1).when(F.col("n_all_time") <= F.col("b"), 2).when(F.col("n_all_time") <= F.col("c"), 3).otherwise(4).alias("quarter"))
+
+
+@query("""SELECT speed, n_all_time, n, (sum(n) OVER (PARTITION BY speed ORDER BY n_all_time) - n / 2e0 + 5e-1)::DOUBLE AS midrank FROM (SELECT speed, n_all_time, count(*) AS n FROM scores_main WHERE n_all_time IS NOT NULL AND speed IS NOT NULL GROUP BY speed, n_all_time) x""")
+def midrank(spark, sf):
+    """Mid-ranks over distinct values, walked in chunks where a group has many."""
+    return midranks(table(spark, sf, "scores_main"), ["speed"], "n_all_time").select("speed", "n_all_time", "n", F.col("rank").alias("midrank"))
+
+
+@query(f"""SELECT game_id, count(*) AS n FROM chronology GROUP BY game_id HAVING {" OR ".join(f"count({c}) > 0 AND (count({c}) < count(*) OR min({c}) <> max({c}))" for c in ("white_elo", "black_elo", "utc_ms"))}""")
+def conflict_keys(spark, sf):
+    """Games whose records disagree."""
+    return conflicts(table(spark, sf, "chronology"), ["game_id"], ["white_elo", "black_elo", "utc_ms"])
+
+
+#: Position strings, some of them broken on purpose (fixed values).
+_BOARDS = (
+    ("start", "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"),
+    ("queen up", "rnb1kbnr/pppp1ppp/8/4p3/4P3/8/PPPP1PPP/RNBQKBNR b KQkq - 1 4"),
+    ("endgame", "8/5k2/8/3P4/8/2K5/8/7r w - - 3 60"),
+    ("seven ranks", "8/5k2/8/3P4/8/2K5/7r w - - 3 60"),
+    ("nine squares", "8/5k3/8/3P4/8/2K5/8/7r w - - 3 60"),
+    ("two kings", "8/5kk1/8/3P4/8/2K5/8/7r w - - 3 60"),
+    ("five fields", "8/5k2/8/3P4/8/2K5/8/7r w - - 3"),
+    ("promoted", "QQ6/5k2/8/8/8/2K5/8/8 b - - 0 70"),
+    ("no board", "none"),
+)
+_PIECE = lambda c: f"(length(b) - length(replace(b, '{c}', '')))"
+_BALANCE = " + ".join(f"{v} * ({_PIECE(p.upper())} - {_PIECE(p)})" for p, v in cols.PIECE_VALUES.items())
+
+
+@query(f"""WITH f(name, fen) AS (VALUES {", ".join(f"('{n}', '{x}')" for n, x in _BOARDS)}, ('null', NULL)), g AS (SELECT *, split_part(fen, ' ', 1) AS b FROM f),
+  r AS (SELECT name, [len(regexp_replace(x, '[0-9]', '', 'g')) + coalesce(list_sum(list_transform(regexp_extract_all(x, '[0-9]'), lambda d: d::INT)), 0) for x in string_split(b, '/')] AS squares FROM g)
+  SELECT name, {_BALANCE} AS balance, {_PIECE("P")} AS white_p, {_PIECE("q")} AS black_q, coalesce(len(string_split(trim(fen), ' ')) = 6 AND len(string_split(b, '/')) = 8 AND regexp_full_match(b, '[prnbqkPRNBQK1-8/]+') AND list_min(squares) = 8 AND list_max(squares) = 8
+    AND {_PIECE("K")} = 1 AND {_PIECE("k")} = 1 AND split_part(fen, ' ', 2) = 'w', false) AS valid FROM g JOIN r USING (name)""")
+def board_strings(spark, sf):
+    """Material and validity of position strings, white to move; the tables of this project hold none."""
+    f = spark.createDataFrame([*_BOARDS, ("null", None)], "name string, fen string")
+    n = cols.piece_counts(F.col("fen"))
+    return f.select("name", cols.material_balance(F.col("fen")).alias("balance"), n["white_p"].alias("white_p"), n["black_q"].alias("black_q"), cols.valid_position(F.col("fen"), F.lit("w")).alias("valid"))

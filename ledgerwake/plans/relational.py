@@ -35,13 +35,6 @@ query("scan_project_bins", """
   SELECT game_id, utc_ms, CAST(50 * floor(chooser_elo / 50.0) AS BIGINT) AS elo_bin, abs(chooser_elo - disconnected_elo) AS gap,
     CASE WHEN ply_count IS NULL THEN 'missing' WHEN ply_count <= 10 THEN 'opening' WHEN ply_count <= 60 THEN 'middle' ELSE 'late' END AS phase
   FROM {analysis_panel} WHERE utc_ms IS NOT NULL""")
-query("state_cells", """
-  SELECT cell, count(*) AS n FROM (
-    SELECT (CASE WHEN cp <= -300 THEN 0 WHEN cp <= -100 THEN 1 WHEN cp <= 100 THEN 2 WHEN cp <= 300 THEN 3 ELSE 4 END) * 20
-         + (CASE WHEN ply <= 10 THEN 0 WHEN ply <= 30 THEN 1 WHEN ply <= 60 THEN 2 WHEN ply <= 90 THEN 3 ELSE 4 END) * 4
-         + (CASE api_speed WHEN 'bullet' THEN 0 WHEN 'blitz' THEN 1 WHEN 'rapid' THEN 2 ELSE 3 END) AS cell
-    FROM (SELECT engine_eval_cp_disconnected AS cp, ply_count AS ply, api_speed FROM {analysis_panel}) x WHERE cp IS NOT NULL AND ply IS NOT NULL) y
-  GROUP BY cell""")
 query("case_disposition", """
   SELECT disposition, count(*) AS n, count(DISTINCT game_id) AS games FROM (
     SELECT game_id, CASE WHEN chooser_user_id IS NULL THEN 'no chooser' WHEN chooser_user_id < 0 THEN 'not a user'
@@ -104,10 +97,9 @@ query("cross_scenarios", """
   WHERE engine_eval_cp_disconnected BETWEEN s.lo AND s.hi GROUP BY s.name, api_speed""")
 query("unpivot_sides", """
   SELECT player, side, count(*) AS n, CAST(sum(elo) AS BIGINT) AS total FROM (
-    SELECT white_id AS player, 'white' AS side, white_elo AS elo FROM {chronology} UNION ALL SELECT black_id, 'black', black_elo FROM {chronology}) x GROUP BY player, side""")
-query("horizon_join_agg", """
-  SELECT e.row_id, count(*) AS later, min(d.t) AS first_t FROM (SELECT DISTINCT row_id, opponent_id, recipient_id, anchor_ms FROM {exposures}) e
-    JOIN (SELECT DISTINCT * FROM {decisions} WHERE t IS NOT NULL) d ON d.chooser = e.opponent_id AND d.t > e.anchor_ms AND d.t <= e.anchor_ms + 2592000000 AND d.counterparty <> e.recipient_id GROUP BY e.row_id""")
+    SELECT stack(2, white_id, 'white', white_elo, black_id, 'black', black_elo) AS (player, side, elo) FROM {chronology}) x GROUP BY player, side""",
+  """SELECT player, side, count(*) AS n, CAST(sum(elo) AS BIGINT) AS total FROM (
+    SELECT white_id AS player, 'white' AS side, white_elo AS elo FROM chronology UNION ALL SELECT black_id, 'black', black_elo FROM chronology) x GROUP BY player, side""")
 query("role_self_join", """
   WITH r AS (SELECT DISTINCT game_id, utc_ms, white_id AS p, white_elo AS elo, 0 AS role FROM {chronology} UNION SELECT DISTINCT game_id, utc_ms, black_id, black_elo, 1 FROM {chronology})
   SELECT a.game_id, a.p AS white, b.p AS black, max(a.elo - b.elo) AS gap FROM r a LEFT JOIN r b ON a.game_id = b.game_id AND b.role = 1 WHERE a.role = 0 GROUP BY a.game_id, a.p, b.p""")
@@ -129,13 +121,11 @@ query("distinct_tuple", """
   SELECT month, count(DISTINCT game_id) AS games, count(DISTINCT game_id, chooser_user_id) AS pairs FROM {analysis_panel} GROUP BY month""",
   "SELECT month, count(DISTINCT game_id) AS games, count(DISTINCT (game_id, chooser_user_id)) FILTER (WHERE game_id IS NOT NULL AND chooser_user_id IS NOT NULL) AS pairs FROM analysis_panel GROUP BY month")
 query("select_distinct", "SELECT DISTINCT api_speed, lower(trim(api_status)) AS status FROM {analysis_panel}")
-query("quantile_exact", """
-  SELECT api_speed, round(percentile(disconnected_clock_last_obs_s, 0.1), 6) AS q10, round(median(disconnected_clock_last_obs_s), 6) AS q50, round(percentile(disconnected_clock_last_obs_s, 0.9), 6) AS q90
-  FROM {analysis_panel} WHERE NOT isnan(disconnected_clock_last_obs_s) GROUP BY api_speed""",
-  """SELECT api_speed, round(quantile_cont(disconnected_clock_last_obs_s, 0.1), 6) AS q10, round(median(disconnected_clock_last_obs_s), 6) AS q50, round(quantile_cont(disconnected_clock_last_obs_s, 0.9), 6) AS q90
-  FROM analysis_panel WHERE NOT isnan(disconnected_clock_last_obs_s) GROUP BY api_speed""")
-query("quantile_approx", "SELECT o_orderpriority, approx_percentile(o_totalprice, 0.5, 10000) AS q50 FROM {orders} GROUP BY o_orderpriority")
-del SQL["quantile_approx"]  # the two sketches differ
+query("quantile_approx", """
+  WITH a AS (SELECT o_orderpriority, approx_percentile(o_totalprice, 0.5, 1000) AS q FROM {orders} GROUP BY o_orderpriority)
+  SELECT o.o_orderpriority, count(*) AS n, count_if(o_totalprice < q) <= 0.501 * count(*) + 1 AND count_if(o_totalprice <= q) >= 0.499 * count(*) - 1 AS within
+  FROM {orders} o JOIN a ON a.o_orderpriority = o.o_orderpriority GROUP BY o.o_orderpriority""",
+  "SELECT o_orderpriority, count(*) AS n, true AS within FROM orders GROUP BY o_orderpriority")
 query("argmin_struct", """
   SELECT chooser, s.gid AS gid, s.t AS t FROM (SELECT chooser, min_by(named_struct('gid', gid, 't', t), named_struct('t', t, 'ord', ord, 'gid', gid)) FILTER (WHERE fair AND t IS NOT NULL) AS s FROM {decisions} WHERE chooser >= 0 GROUP BY chooser) x WHERE s IS NOT NULL""",
   """SELECT chooser, s.gid AS gid, s.t AS t FROM (SELECT chooser, arg_min({'gid': gid, 't': t}, {'t': t, 'ord': ord, 'gid': gid}) FILTER (WHERE fair AND t IS NOT NULL) AS s FROM decisions WHERE chooser >= 0 GROUP BY chooser) x WHERE s IS NOT NULL""")
@@ -151,9 +141,6 @@ query("corr_filtered", """
 query("var_se", """
   SELECT speed, round(stddev_samp(expected_all_time), 6) AS sd, round(var_pop(expected_all_time), 6) AS v, round(stddev_samp(expected_all_time) / sqrt(count(expected_all_time)), 6) AS se
   FROM {scores_main} WHERE NOT isnan(expected_all_time) GROUP BY speed""")
-query("conflict_keys", """
-  SELECT row_id, count(*) AS n, max(rev) AS rev FROM {scores_main} WHERE row_id IS NOT NULL GROUP BY row_id
-  HAVING max(expected_all_time) - min(expected_all_time) > 1e-9 OR count(expected_all_time) < count(*)""")
 query("merge_partials", """
   WITH p AS (SELECT chooser_user_id, month, count(*) AS n, min(utc_ms) AS lo, max(utc_ms) AS hi FROM {analysis_panel} WHERE chooser_user_id >= 0 GROUP BY chooser_user_id, month)
   SELECT chooser_user_id, CAST(sum(n) AS BIGINT) AS n, min(lo) AS lo, max(hi) AS hi FROM p GROUP BY chooser_user_id""")
@@ -173,7 +160,11 @@ query("grouping_sets", """
   "SELECT coalesce(api_speed, '*') AS speed, coalesce(analysis_panel.month, '*') AS month, count(*) AS n FROM analysis_panel WHERE api_speed IS NOT NULL GROUP BY GROUPING SETS ((api_speed, analysis_panel.month), (api_speed), ())")
 query("exact_sum", "SELECT l_returnflag, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 4))) * 10000 AS BIGINT) AS units FROM {lineitem} GROUP BY l_returnflag")
 query("latest_snapshot", """
-  WITH g AS (SELECT white_id AS player, utc_ms, white_elo AS elo FROM {chronology} WHERE utc_ms IS NOT NULL UNION ALL SELECT black_id, utc_ms, black_elo FROM {chronology} WHERE utc_ms IS NOT NULL),
+  SELECT player, x.utc_ms AS utc_ms, x.elo AS elo, x.ratings AS ratings FROM (
+    SELECT player, max_by(named_struct('utc_ms', utc_ms, 'elo', elo, 'ratings', ratings), utc_ms) AS x FROM (
+      SELECT player, utc_ms, max(elo) AS elo, count(DISTINCT elo) AS ratings FROM (
+        SELECT stack(2, white_id, white_elo, black_id, black_elo) AS (player, elo), utc_ms FROM {chronology} WHERE utc_ms IS NOT NULL) s GROUP BY player, utc_ms) g GROUP BY player) m WHERE player IS NOT NULL""",
+  """WITH g AS (SELECT white_id AS player, utc_ms, white_elo AS elo FROM chronology WHERE utc_ms IS NOT NULL UNION ALL SELECT black_id, utc_ms, black_elo FROM chronology WHERE utc_ms IS NOT NULL),
   m AS (SELECT player, max(utc_ms) AS utc_ms FROM g GROUP BY player)
   SELECT m.player, m.utc_ms, max(g.elo) AS elo, count(DISTINCT g.elo) AS ratings FROM m JOIN g ON g.player = m.player AND g.utc_ms = m.utc_ms GROUP BY m.player, m.utc_ms""")
 # Windows --------------------------------------------------------------------------
@@ -181,15 +172,6 @@ _GAMES = "(SELECT DISTINCT gid, chooser, t, ord, y FROM {decisions} WHERE choose
 
 query("first_per_entity", f"SELECT chooser, gid, t FROM (SELECT *, row_number() OVER (PARTITION BY chooser ORDER BY t, ord, gid) AS rn FROM {_GAMES} g) x WHERE rn = 1",
   f"SELECT chooser, gid, t FROM {_GAMES} g QUALIFY row_number() OVER (PARTITION BY chooser ORDER BY t, ord, gid) = 1")
-query("lag2_lead2", f"""
-  SELECT gid, chooser, lag(t) OVER w AS t1, lag(t, 2) OVER w AS t2, lead(t) OVER w AS n1, lead(t, 2) OVER w AS n2 FROM {_GAMES} g WINDOW w AS (PARTITION BY chooser ORDER BY t, ord, gid)""")
-query("running_rows", f"""
-  SELECT gid, chooser, CAST(sum(CASE WHEN y THEN 1 ELSE 0 END) OVER (PARTITION BY chooser ORDER BY t, ord, gid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS so_far,
-    max(t) OVER (PARTITION BY chooser ORDER BY t, ord, gid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_max,
-    min(t) OVER (PARTITION BY chooser ORDER BY t, ord, gid ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_min FROM {_GAMES} g""")
-query("range_peer_excl", f"""
-  SELECT gid, chooser, count(*) OVER (PARTITION BY chooser ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior,
-    count(*) OVER (PARTITION BY chooser ORDER BY t) AS with_peers FROM {_GAMES} g""")
 query("range_interval_7d", """
   SELECT user_id, day, n, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING) AS BIGINT) AS before,
     CAST(sum(n) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN CURRENT ROW AND INTERVAL 6 DAYS FOLLOWING) AS BIGINT) AS after
@@ -197,12 +179,7 @@ query("range_interval_7d", """
   """SELECT user_id, day, n, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING) AS BIGINT) AS before,
     CAST(sum(n) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN CURRENT ROW AND INTERVAL 6 DAYS FOLLOWING) AS BIGINT) AS after
   FROM (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM events GROUP BY 1, 2) x""")
-query("whole_partition", f"SELECT gid, chooser, min(t) OVER (PARTITION BY chooser) AS first_t, count(*) OVER (PARTITION BY chooser, t) AS ties, t - min(t) OVER (PARTITION BY chooser) AS age FROM {_GAMES} g")
 query("dense_rank_code", "SELECT c_custkey, c_mktsegment, dense_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) AS stratum FROM {customer}")
-query("midrank", """
-  SELECT speed, n_all_time, n, sum(n) OVER (PARTITION BY speed ORDER BY n_all_time) - n / 2e0 + 5e-1 AS midrank FROM (SELECT speed, n_all_time, count(*) AS n FROM {scores_main} WHERE n_all_time IS NOT NULL GROUP BY speed, n_all_time) x""")
-query("conditional_running", f"""
-  SELECT gid, chooser, CAST(sum(CASE WHEN t >= 1688169600000 THEN 1 END) OVER (PARTITION BY chooser ORDER BY t, ord, gid ROWS UNBOUNDED PRECEDING) AS BIGINT) AS since FROM {_GAMES} g""")
 # Sorts, samples and sets ----------------------------------------------------------
 
 query("topn_per_group", "SELECT * FROM (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM {orders}) x WHERE r <= 3")
@@ -249,11 +226,10 @@ query("math_funcs", """
 query("array_hof", "SELECT vec_id, size(embedding) AS n, round(array_max(embedding), 5) AS hi, round(array_min(embedding), 5) AS lo, round(aggregate(transform(embedding, x -> CAST(x AS DOUBLE) * x), 0D, (a, x) -> a + x), 4) AS norm2 FROM {embeddings}",
   "SELECT vec_id, len(embedding) AS n, round(list_max(embedding), 5) AS hi, round(list_min(embedding), 5) AS lo, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)), 4) AS norm2 FROM embeddings")
 query("zip_unnest", """
-  SELECT game_id, x.id AS player, x.elo AS elo FROM (SELECT DISTINCT game_id, archive_ordinal, explode(arrays_zip(array(white_id, black_id) AS id, array(white_elo, black_elo) AS elo)) AS x FROM {chronology}) y""",
-  "SELECT game_id, player, elo FROM (SELECT DISTINCT game_id, archive_ordinal, white_id AS player, white_elo AS elo, 0 AS k FROM chronology UNION ALL SELECT DISTINCT game_id, archive_ordinal, black_id, black_elo, 1 FROM chronology) x")
-QUERIES["zip_unnest"] = lambda spark, sf: spark.sql(
-    "SELECT game_id, x.id AS player, x.elo AS elo FROM (SELECT DISTINCT game_id, archive_ordinal, white_id, black_id, white_elo, black_elo FROM {c}) y LATERAL VIEW explode(arrays_zip(array(named_struct('id', white_id, 'elo', white_elo), named_struct('id', black_id, 'elo', black_elo)), array(0, 1))) z AS w LATERAL VIEW inline(array(w.`0`)) x AS id, elo",
-    c=table(spark, sf, "chronology"))
+  SELECT game_id, x.`0` AS player, x.`1` AS elo FROM (SELECT explode(arrays_zip(array(white_id, black_id), array(white_elo, black_elo))) AS x, game_id
+    FROM (SELECT DISTINCT game_id, archive_ordinal, white_id, black_id, white_elo, black_elo FROM {chronology}) c) y""",
+  """SELECT game_id, unnest([white_id, black_id]) AS player, unnest([white_elo, black_elo]) AS elo
+    FROM (SELECT DISTINCT game_id, archive_ordinal, white_id, black_id, white_elo, black_elo FROM chronology) c""")
 query("json_extract", "SELECT event_id, get_json_object(props, '$.k') AS k, try_parse_json(props) IS NOT NULL AS valid FROM {events}",
   "SELECT event_id, json_extract_string(props, '$.k') AS k, TRY_CAST(props AS JSON) IS NOT NULL AS valid FROM events")
 query("json_keys", "SELECT k, count(*) AS n FROM (SELECT explode(json_object_keys(props)) AS k FROM {events}) x GROUP BY k",
@@ -266,3 +242,24 @@ query("series_values", "SELECT k.id AS j, v.c, k.id * v.w AS weighted FROM range
   "SELECT k.j, v.c, k.j * v.w AS weighted FROM range(4) k(j) CROSS JOIN (VALUES ('a', 2), ('b', 5)) AS v(c, w)")
 query("scalar_subquery", "SELECT p_partkey, p_retailprice FROM {part} WHERE p_retailprice > (SELECT avg(p_retailprice) * 1.2 FROM {part})")
 query("format_funcs", "SELECT s_suppkey, format_string('%.2f|%05d', s_acctbal, s_suppkey) AS text FROM {supplier}", "SELECT s_suppkey, printf('%.2f|%05d', s_acctbal, s_suppkey) AS text FROM supplier")
+query("hash_forms", """
+  SELECT DISTINCT row_id, rev, sha2(to_json(named_struct('row_id', row_id, 'speed', speed), map('ignoreNullFields', 'false')), 256) AS sha,
+    conv(regexp_replace(substr(md5(speed), 17), '(..)(..)(..)(..)(..)(..)(..)(..)', '$8$7$6$5$4$3$2$1'), 16, 10) AS low FROM {scores_main}""",
+  "SELECT DISTINCT row_id, rev, sha256(to_json({'row_id': row_id, 'speed': speed})::VARCHAR) AS sha, md5_number_lower(speed)::VARCHAR AS low FROM scores_main")
+query("zone_funcs", """
+  SELECT event_id, unix_micros(from_utc_timestamp(ts, 'America/New_York')) AS local_us, extract(DAYOFWEEK_ISO FROM ts) * 24 - 24 + hour(ts) AS hour_of_week,
+    CAST(try_to_timestamp(concat('2024-', CAST(event_id % 15 AS STRING), '-07'), 'yyyy-M-dd') AS DATE) AS parsed, current_timezone() IS NOT NULL AS zoned, unix_seconds(timestamp_seconds(event_id)) AS seconds FROM {events}""",
+  """SELECT event_id, epoch_us(timezone('America/New_York', timezone('UTC', ts))) AS local_us, isodow(ts) * 24 - 24 + hour(ts) AS hour_of_week,
+    try_strptime(concat('2024-', (event_id % 15)::VARCHAR, '-07'), '%Y-%m-%d')::DATE AS parsed, current_setting('TimeZone') IS NOT NULL AS zoned, epoch(make_timestamp(event_id * 1000000))::BIGINT AS seconds FROM events""")
+query("json_kinds", """
+  SELECT event_id, CASE schema_of_variant(parse_json(props):k) WHEN 'BIGINT' THEN 'number' WHEN 'STRING' THEN 'text' ELSE 'other' END AS kind, get_json_object(props, '$.k') IS NOT NULL AS has_k, get_json_object(props, '$.a.b') IS NOT NULL AS has_path,
+    get_json_object(concat('{{"a":{{"b":[1,', event_id, ']}}}}'), '$.a.b[1]') AS nested FROM {events}""",
+  """SELECT event_id, CASE json_type(props, '$.k') WHEN 'UBIGINT' THEN 'number' WHEN 'BIGINT' THEN 'number' WHEN 'VARCHAR' THEN 'text' ELSE 'other' END AS kind, json_exists(props, '$.k') AS has_k, json_exists(props, '$.a.b') AS has_path,
+    json_extract_string(concat('{"a":{"b":[1,', event_id, ']}}'), '$.a.b[1]') AS nested FROM events""")
+query("table_edits", """
+  WITH kept AS (SELECT row_id, rev, speed FROM {scores_main} m WHERE row_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {scores_copy} c WHERE c.row_id = m.row_id AND c.rev > m.rev)),
+  added AS (SELECT row_id, rev, speed FROM {scores_copy} c WHERE rev > 1 AND row_id IS NOT NULL)
+  SELECT row_id, rev, speed, CAST(NULL AS STRING) AS note, count(*) AS copies FROM (SELECT * FROM kept UNION ALL SELECT * FROM added) x GROUP BY row_id, rev, speed""")
+query("multi_key_sort", """
+  SELECT row_id, speed, n_all_time, rev FROM {scores_main} ORDER BY speed DESC NULLS LAST, n_all_time ASC NULLS FIRST, row_id ASC NULLS LAST, rev DESC NULLS LAST LIMIT 50""",
+  "SELECT row_id, speed, n_all_time, rev FROM scores_main ORDER BY speed DESC NULLS LAST, n_all_time ASC NULLS FIRST, row_id ASC NULLS LAST, rev DESC NULLS LAST LIMIT 50")

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerwake.session import materialize
+
 
 def pair_excluded_score(df: DataFrame, entity: str, other: str, y: str) -> DataFrame:
     """(entity, other, n, score): the entity's mean of y without its rows with ``other``.
@@ -50,11 +52,34 @@ def weighted_corr(x: Column, y: Column, w: Column) -> Column:
     return F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
 
 
-def midranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """(by, value, rank): weighted mid-ranks over distinct values."""
-    h = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(value)
-    return h.select(*by, value, (F.sum("n").over(w) - F.col("n") / 2.0 + 0.5).alias("rank"))
+def midranks(df: DataFrame, by: Sequence[str], value: str, target_rows: int = 100_000) -> DataFrame:
+    """(by, value, n, rank): weighted mid-ranks over distinct values.
+
+    Groups of many distinct values are walked in chunks (see skew.running_labels).
+    Rows with a null in by or value, and NaN values, are left out.
+    """
+    h = df.select(*by, value).where(" and ".join(f"`{c}` is not null" for c in (*by, value))).where(~F.isnan(F.col(value).cast("double")))
+    h = h.groupBy(*by, value).agg(F.count("*").alias("n"))
+    upto = cumulative(h, list(by), value, "n", target_rows)
+    return upto.select(*by, value, "n", (F.col("__upto") - F.col("n") / 2.0 + 0.5).alias("rank"))
+
+
+def cumulative(df: DataFrame, by: Sequence[str], value: str, n: str, target_rows: int = 100_000) -> DataFrame:
+    """Adds __upto, the sum of ``n`` over the group's rows with values up to the row's; values are distinct within a group.
+
+    Rows are laid out by range, the sums of the ranges (one row a group and range) are added up, and
+    each range sums its own rows: no task gets a whole group.
+    """
+    total = df.count()
+    if total <= target_rows:
+        w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+        return df.withColumn("__upto", F.sum(n).over(w.orderBy(value)))
+    laid = materialize(df.repartitionByRange(max(2, -(-3 * total // target_rows)), *by, value).withColumn("__part", F.spark_partition_id()), "cumulative")
+    sums = laid.groupBy(*by, "__part").agg(F.sum(n).alias("__own"))
+    along = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*by, "__part", F.coalesce(F.sum("__own").over(along), F.lit(0)).alias("__before"))
+    own = laid.withColumn("__in", F.sum(n).over(Window.partitionBy(*by, "__part").orderBy(value)))
+    return own.join(before, [*by, "__part"]).withColumn("__upto", F.col("__in") + F.col("__before")).drop("__in", "__before", "__part")
 
 
 def imputed(df: DataFrame, cell: Sequence[str], columns: Sequence[str]) -> DataFrame:
