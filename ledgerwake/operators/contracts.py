@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,3 +125,18 @@ def aliased(df: DataFrame, spellings: Mapping[str, Sequence[str]], optional: Map
         else:
             raise ContractError(f"{name} is missing")
     return df.select(*out)
+
+
+def conserved(df: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> DataFrame:
+    """Write ``df`` with ``write`` and read it back; raises if a row was lost, added or changed."""
+    write(df, path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    if not same_rows(df, back):
+        raise ContractError(f"{path} does not hold the rows that were written")
+    return back
+
+
+def nested(df: DataFrame, fine: str, coarse: str) -> DataFrame:
+    """(fine, coarse_labels) of the fine labels that lie in more than one coarse label; null is a label."""
+    pairs = df.select(fine, coarse).distinct()
+    return pairs.groupBy(fine).agg(F.count("*").alias("coarse_labels")).where("coarse_labels > 1")

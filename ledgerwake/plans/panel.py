@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerwake.operators import temporal as op
-from ledgerwake.operators.contracts import conflicts
+from ledgerwake.operators.contracts import conflicts, nested
 from ledgerwake.functions import columns as cols
 from ledgerwake.operators.skew import exact_quantiles, row_ids, running_labels
 from ledgerwake.session import table
@@ -378,11 +378,11 @@ def reused_outcomes(spark, sf):
     return first_outcome_after_anchor(spark, sf).where("gid is not null").groupBy("gid").agg(F.count("*").alias("exposures")).where("exposures > 1")
 
 
-@query("SELECT cohort, count(DISTINCT lower(trim(cohort))) AS names, count(DISTINCT load_no) AS loads FROM decisions WHERE cohort IS NOT NULL GROUP BY cohort HAVING count(DISTINCT load_no) > 1")
+@query("SELECT lower(trim(cohort)) AS cohort, count(DISTINCT coalesce(load_no, -1)) AS coarse_labels FROM decisions GROUP BY 1 HAVING count(DISTINCT coalesce(load_no, -1)) > 1")
 def nested_labels(spark, sf):
-    """Fine labels that fall into several coarse ones."""
-    d = table(spark, sf, "decisions").where("cohort is not null")
-    return d.groupBy("cohort").agg(F.count_distinct(F.lower(F.trim("cohort"))).alias("names"), F.count_distinct("load_no").alias("loads")).where("loads > 1")
+    """Cohorts that came in several loads."""
+    d = table(spark, sf, "decisions").select(F.lower(F.trim("cohort")).alias("cohort"), "load_no")
+    return nested(d, "cohort", "load_no")
 
 
 @query()

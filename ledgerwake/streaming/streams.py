@@ -44,19 +44,38 @@ def without_repeats(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(list(keys))
 
 
-def running_counts(df: DataFrame, by: str, rows: str = "n_before long") -> DataFrame:
-    """Adds to each arriving row the number of the entity's rows before it, carried in state."""
-    kept = [f for f in df.schema.fields if f.name != "event_time"]
+def session_positions(df: DataFrame, by: str, at: str, no: str, gap_ms: int) -> DataFrame:
+    """(by, at, no, n_before): of each event the number of the entity's earlier events in its session.
+
+    A session ends where an entity is idle for ``gap_ms`` or more. Events count
+    in the order of (``at``, ``no``), whatever the order of their arrival: they
+    wait in the state until the watermark of ``event_time`` has passed them, and come out then.
+    The state of an entity that has been idle for the gap is dropped. ``at`` (milliseconds) and
+    ``no`` are longs. Events that come later than the watermark are dropped by it.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
+        n, last, waiting = state.get if state.exists else (0, None, [])
+        todo = [tuple(map(int, x.split("|"))) for x in waiting]
         for b in batches:
-            yield b[[f.name for f in kept]].assign(n_before=range(n, n + len(b)))
-            n += len(b)
-        state.update((n,))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", " + rows
-    return df.groupBy(by).applyInPandasWithState(step, schema, "n long", "append", GroupStateTimeout.NoTimeout)
+            todo += zip(b[at].tolist(), b[no].tolist(), strict=True)
+        now = state.getCurrentWatermarkMs()
+        ready, todo = sorted(x for x in todo if x[0] <= now), sorted(x for x in todo if x[0] > now)
+        out = []
+        for t, i in ready:
+            n = 0 if last is None or t - last >= gap_ms else n
+            out.append((key[0], t, i, n))
+            n, last = n + 1, t
+        if not todo and (last is None or now - last >= gap_ms):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((n, last, [f"{t}|{i}" for t, i in todo]))
+            state.setTimeoutTimestamp(max(now + 1, todo[0][0] if todo else last + gap_ms))
+        yield pd.DataFrame(out, columns=[by, at, no, "n_before"])
+
+    kind = df.schema[by].dataType.simpleString()
+    return df.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, {at} long, {no} long, n_before long", "n long, last long, waiting array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def closed(df: DataFrame, mode: str) -> DataFrame:

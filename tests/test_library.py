@@ -331,8 +331,18 @@ def test_sources(spark, tmp_path):
     tables.append([f"{tmp_path}/p"], spark, f"{tmp_path}/all")
     tables.append([f"{tmp_path}/p"], spark, f"{tmp_path}/all")
     assert spark.read.parquet(f"{tmp_path}/all").count() == 6
-    files = [str(p) for p in (tmp_path / "p").glob("*.parquet")]
-    assert sum(x["rows"] for x in tables.footers(files)) == 3
+    feet = tables.footers(spark, f"{tmp_path}/p").where("column = 'k'").collect()
+    assert sum(x.rows for x in feet) == 3 and min(int(x.low) for x in feet if x.low) == df.agg(F.min("k")).first()[0]
+    plan = tables.read_parquet(spark, f"{tmp_path}/p").where("k = 1").select("s")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(k), EqualTo(k,1)]" in plan and "ReadSchema: struct<k:bigint,s:string>" in plan
+    made = tables.write_archives(df.coalesce(1), f"{tmp_path}/z", "npz").collect()
+    with np.load(f"{tmp_path}/z/{made[0].file}") as z:
+        assert sorted(z["k"].tolist()) == sorted(x.k for x in df.collect())
+    assert [x.rows for x in tables.write_archives(df.coalesce(1), f"{tmp_path}/z", "zip").collect()] == [3]
+    tables.compact(spark, f"{tmp_path}/p", f"{tmp_path}/small")
+    assert contracts.same_rows(spark.read.parquet(f"{tmp_path}/small"), df) and len(tables.data_files(spark, f"{tmp_path}/small")) == 1
+    with pytest.raises(contracts.ContractError):
+        contracts.conserved(df, f"{tmp_path}/lost", lambda d, to: d.limit(1).write.parquet(to))
     tables.write_csv(df, f"{tmp_path}/c")
     assert tables.read_csv(spark, f"{tmp_path}/c", "k long, s string").count() == 3
     (tmp_path / "n.json").write_text('{"k": 1}\nnot json\n')
@@ -340,10 +350,22 @@ def test_sources(spark, tmp_path):
     (tmp_path / "g.txt").write_text('[Event "a"]\n[White "x"]\n\n1. e4\n\n[Event "b"]\n1. d4\n')
     got = tables.read_records(spark, f"{tmp_path}/g.txt", "[Event", {"event": r'\[Event "(.*?)"', "white": r'\[White "(.*?)"'}).select("event", "white").collect()
     assert sorted(map(tuple, got)) == [("a", "x"), ("b", None)]
+    for begin, text in (("[Event ", '[Event "a"]\n[White "x"]\n\n1. e4\n\n[Event "b"]\n1. d4\n'), ("\n[Event ", '[Event "a"]\n[White "x"]\n\n1. e4\n\n[Event "b"]\n1. d4\n')):
+        (tmp_path / "h.txt").write_text(text)
+        got = tables.read_records(spark, f"{tmp_path}/h.txt", begin, {"event": r'^\[Event "(.*?)"', "white": r'\[White "(.*?)"'}).select("event", "white").collect()
+        assert sorted(map(tuple, got)) == [("a", "x"), ("b", None)]
     stages, made = tables.Stages(spark, f"{tmp_path}/s"), []
-    for key in ("v1", "v1", "v2"):
-        stages.run("one", key, lambda: made.append(1) or df)
+
+    def make():
+        made.append(1)
+        return df
+
+    for settings in ({"v": 1}, {"v": 1}, {"v": 2}):
+        stages.run("one", make, [f"{tmp_path}/p"], settings)
     assert len(made) == 2
+    tables.append([f"{tmp_path}/q"], spark, f"{tmp_path}/p")
+    stages.run("one", make, [f"{tmp_path}/p"], {"v": 2})
+    assert len(made) == 3, "the input changed"
     assert tables.scored_by_process(df, "k long, s string", lambda: lambda b: b).count() == 3
 
 
@@ -354,8 +376,24 @@ def test_stream_equals_batch_in_several_triggers(spark, tmp_path):
     counts = streams.closed(streams.window_counts(stream(), ["u"], "1 hour"), "complete")
     want = spark.read.parquet(f"{tmp_path}/e").groupBy("u", F.window(F.timestamp_millis("ms"), "1 hour")).count()
     assert counts.count() == want.count() and counts.agg(F.sum("n")).first()[0] == 200
-    before = streams.closed(streams.running_counts(stream(), "u"), "append")
-    assert before.agg(F.sum("n_before")).first()[0] == 5 * sum(range(40))
+
+
+def test_stream_orders_late_events_and_drops_idle_state(spark, tmp_path):
+    r = random.Random(6)
+    rows = [(i, i % 3, 1_700_000_000_000 + r.randrange(60) * 60_000 + (i // 40) * 7_200_000) for i in range(160)]
+    arrive = sorted(rows, key=lambda x: x[2] + r.randrange(1_800_000))
+    for k in range(0, 160, 20):
+        spark.createDataFrame(arrive[k : k + 20], "id long, u long, ms long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/e")
+    spark.createDataFrame([(-1, -1, 3_000_000_000_000)], "id long, u long, ms long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/e")
+    stream = streams.timed(streams.stream_parquet(spark, f"{tmp_path}/e"), "ms", "40 minutes")
+    got = {x.id: x.n_before for x in streams.closed(streams.session_positions(stream, "u", "ms", "id", 3_600_000), "append").collect() if x.u >= 0}
+    want = {}
+    for u in range(3):
+        n, last = 0, None
+        for i, _, t in sorted((x for x in rows if x[1] == u), key=lambda x: (x[2], x[0])):
+            n = 0 if last is None or t - last >= 3_600_000 else n
+            want[i], n, last = n, n + 1, t
+    assert got == want
 
 
 def test_stream_distinct_in_several_triggers(spark, tmp_path, monkeypatch):
