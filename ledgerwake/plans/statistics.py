@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,9 +86,17 @@ def iv_moments(spark, sf):
     return _rounded(spark, [("first", fit["first"]), ("reduced", fit["reduced"])])
 
 
-@query()
+@query(f"""WITH {_PANEL}, m AS (SELECT avg(gap) AS mz, avg(cp) AS md, avg(y) AS my FROM p), r AS (SELECT u, gap - mz AS z, cp - md AS d, y - my AS y FROM p, m),
+  s AS (SELECT sum(z * z) AS zz, sum(z * d) AS zd, sum(z * y) AS zy FROM r), g AS (SELECT u, sum(z * (y - zy / zz * z)) AS a, sum(z * (d - zd / zz * z)) AS b FROM r, s GROUP BY u),
+  v AS (SELECT sum(a * a) AS v00, sum(a * b) AS v01, sum(b * b) AS v11 FROM g), q AS (SELECT *, zy / zd AS iv, zd * zd - 3.841458820694124 * v11 AS qa, 2 * (3.841458820694124 * v01 - zy * zd) AS qb, zy * zy - 3.841458820694124 * v00 AS qc FROM s, v)
+  SELECT unnest(['first', 'first_se', 'reduced', 'reduced_se', 'iv', 'iv_se', 'pieces', 'low', 'high']) AS term, unnest([round(zd / zz, 5), round(sqrt(v11) / zz, 5), round(zy / zz, 5), round(sqrt(v00) / zz, 5), round(iv, 5), round(sqrt(v00 - 2 * iv * v01 + iv * iv * v11) / abs(zd), 5),
+    CASE WHEN qb * qb < 4 * qa * qc THEN CASE WHEN qa > 0 THEN 0 ELSE 1 END WHEN qa > 0 THEN 1 ELSE 2 END, round(least((-qb - sqrt(qb * qb - 4 * qa * qc)) / (2 * qa), (-qb + sqrt(qb * qb - 4 * qa * qc)) / (2 * qa)), 5), round(greatest((-qb - sqrt(qb * qb - 4 * qa * qc)) / (2 * qa), (-qb + sqrt(qb * qb - 4 * qa * qc)) / (2 * qa)), 5)]) AS value FROM q""")
 def iv_weak_set(spark, sf):
-    return likelihood.result_frame(spark, moments.iv(_panel(spark, sf), "y", "cp", "gap"))
+    """Clustered standard errors and the Anderson-Rubin set: its number of pieces and finite ends."""
+    fit = moments.iv(_panel(spark, sf), "y", "cp", "gap", cluster="u")
+    ends = [x for piece in fit["set"] for x in piece if abs(x) != float("inf")]
+    terms = [(t, fit[t]) for t in ("first", "first_se", "reduced", "reduced_se", "iv", "iv_se")]
+    return _rounded(spark, [*terms, ("pieces", len(fit["set"])), ("low", min(ends, default=float("nan"))), ("high", max(ends, default=float("nan")))])
 
 
 @query(f"""WITH {_PANEL} SELECT u, v, (sum(count(*)) OVER (PARTITION BY u) - count(*))::BIGINT AS n, round((sum(sum(y)) OVER (PARTITION BY u) - sum(y)) / nullif(sum(count(*)) OVER (PARTITION BY u) - count(*), 0), 6) AS score FROM p GROUP BY u, v""")
@@ -101,10 +111,12 @@ def expanding_reference(spark, sf):
     return scores.expanding_reference(_panel(spark, sf), ["speed"], "month", "y").withColumn("reference", F.round("reference", 6))
 
 
-@query(f"""WITH {_PANEL}, c AS (SELECT fair, speed, month, count(*) AS n, avg(y) AS m FROM p GROUP BY ALL), k AS (SELECT speed, month, sum(n) AS w FROM c GROUP BY 1, 2 HAVING min(n) >= 5 AND count(*) = 2)
-  SELECT fair, sum(n)::BIGINT AS n, round(sum(m * w) / sum(w), 6) AS rate FROM c JOIN k USING (speed, month) GROUP BY fair""")
+@query(f"""WITH {_PANEL}, c AS (SELECT fair, speed, month, count(*) AS n, avg(y) AS m FROM p GROUP BY ALL), k AS (SELECT speed, month, sum(n) AS w FROM c GROUP BY 1, 2 HAVING min(n) >= 5 AND count(*) = 2),
+  j AS (SELECT c.*, k.w FROM c JOIN k USING (speed, month)), r AS (SELECT fair, sum(n)::BIGINT AS n, sum(m * w) / sum(w) AS rate, sum(w) AS total FROM j GROUP BY fair),
+  i AS (SELECT p.u, p.fair, sum(j.w / j.n * (p.y - j.m)) AS i FROM p JOIN j USING (fair, speed, month) GROUP BY 1, 2), v AS (SELECT fair, sum(i * i) AS v FROM i GROUP BY 1)
+  SELECT fair, r.n, round(rate, 6) AS rate, round(sqrt(v) / total, 6) AS se FROM r JOIN v USING (fair)""")
 def standardize_support(spark, sf):
-    return scores.standardize(_panel(spark, sf), "fair", ["speed", "month"], "y").withColumn("rate", F.round("rate", 6))
+    return scores.standardize(_panel(spark, sf), "fair", ["speed", "month"], "y", "u").withColumns({c: F.round(c, 6) for c in ("rate", "se")})
 
 
 @query(f"""WITH {_PANEL}, m AS (SELECT speed, count(*) AS n, sum(w) AS w, sum(w * gap) AS x, sum(w * cp) AS y, sum(w * gap * cp) AS xy, sum(w * gap * gap) AS xx, sum(w * cp * cp) AS yy FROM (SELECT *, 1 + y AS w FROM p) t GROUP BY speed)
@@ -128,10 +140,11 @@ def median_impute(spark, sf):
     return scores.imputed(p, ["api_speed"], ["ply_count"]).select("game_id", "utc_ms", F.round("ply_count_filled", 6).alias("ply_count_filled"), "ply_count_missing")
 
 
-@query(f"""WITH {_PANEL}, c AS (SELECT speed, month, count(*) FILTER (WHERE fair) AS n1, count(*) FILTER (WHERE NOT fair) AS n0, avg(y) FILTER (WHERE fair) AS m1, avg(y) FILTER (WHERE NOT fair) AS m0 FROM p GROUP BY 1, 2)
-  SELECT sum(n1)::BIGINT AS n_treated, sum(n0)::BIGINT AS n_control, round(sum((m1 - m0) * n1) / sum(n1), 6) AS effect, count(*) AS strata FROM c WHERE n1 > 0 AND n0 > 0""")
+@query(f"""WITH {_PANEL}, c AS (SELECT speed, month, count(*) FILTER (WHERE fair) AS n1, count(*) FILTER (WHERE NOT fair) AS n0, avg(y) FILTER (WHERE fair) AS m1, avg(y) FILTER (WHERE NOT fair) AS m0 FROM p GROUP BY 1, 2 HAVING n1 > 0 AND n0 > 0),
+  i AS (SELECT u, sum(CASE WHEN fair THEN y - m1 ELSE -n1 / n0 * (y - m0) END) AS i FROM p JOIN c USING (speed, month) GROUP BY 1), v AS (SELECT sum(i * i) AS v FROM i)
+  SELECT sum(n1)::BIGINT AS n_treated, sum(n0)::BIGINT AS n_control, round(sum((m1 - m0) * n1) / sum(n1), 6) AS effect, round(sqrt(any_value(v)) / sum(n1), 6) AS se, count(*) AS strata FROM c, v""")
 def cem_effect(spark, sf):
-    return scores.matched_effect(_panel(spark, sf), "fair", ["speed", "month"], "y").withColumn("effect", F.round("effect", 6))
+    return scores.matched_effect(_panel(spark, sf), "fair", ["speed", "month"], "y", "u").withColumns({c: F.round(c, 6) for c in ("effect", "se")})
 
 
 @query(f"""WITH {_PANEL}, l AS (SELECT fair, 'gap' AS covariate, gap AS v FROM p UNION ALL SELECT fair, 'cp', cp FROM p), m AS (SELECT covariate, avg(v) FILTER (WHERE fair) AS a, avg(v) FILTER (WHERE NOT fair) AS b, sqrt((var_samp(v) FILTER (WHERE fair) + var_samp(v) FILTER (WHERE NOT fair)) / 2) AS sd FROM l GROUP BY 1)
@@ -153,17 +166,31 @@ def holm_adjust(spark, sf):
     return spark.createDataFrame([(r.month, round(a, 6)) for r, a in zip(rows, moments.holm([r.p for r in rows]), strict=True)], "month string, adjusted double")
 
 
-@query()
+_GROW = "(1 / (1 + exp(-(b0 + b1 * cp + b2 * gap))))"
+
+
+@query(f"""WITH RECURSIVE {_PANEL}, c AS (SELECT round(cp) AS cp, round(gap) AS gap, count(*) AS n, sum(y) AS k FROM p GROUP BY 1, 2),
+  it(i, b0, b1, b2, e0, e1, e2) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE UNION ALL
+    SELECT i + 1, b0 + (c00 * g0 + c01 * g1 + c02 * g2) / det, b1 + (c01 * g0 + c11 * g1 + c12 * g2) / det, b2 + (c02 * g0 + c12 * g1 + c22 * g2) / det, sqrt(c00 / det), sqrt(c11 / det), sqrt(c22 / det) FROM (
+      SELECT *, h00 * c00 + h01 * c01 + h02 * c02 AS det FROM (
+        SELECT *, h11 * h22 - h12 * h12 AS c00, h02 * h12 - h01 * h22 AS c01, h01 * h12 - h02 * h11 AS c02, h00 * h22 - h02 * h02 AS c11, h01 * h02 - h00 * h12 AS c12, h00 * h11 - h01 * h01 AS c22 FROM (
+          SELECT any_value(i) AS i, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, sum(k - n * q) AS g0, sum(cp * (k - n * q)) AS g1, sum(gap * (k - n * q)) AS g2,
+            sum(n * q * (1 - q)) AS h00, sum(n * q * (1 - q) * cp) AS h01, sum(n * q * (1 - q) * gap) AS h02, sum(n * q * (1 - q) * cp * cp) AS h11, sum(n * q * (1 - q) * cp * gap) AS h12, sum(n * q * (1 - q) * gap * gap) AS h22
+          FROM (SELECT *, {_GROW} AS q FROM it, c WHERE i < 30) x) y) z) w WHERE i IS NOT NULL)
+  SELECT unnest(['coef_0', 'coef_1', 'coef_2', 'se_0', 'se_1', 'se_2']) AS term, unnest([round(b0, 5), round(b1, 5), round(b2, 5), round(e0, 5), round(e1, 5), round(e2, 5)]) AS value FROM it WHERE i = 30""")
 def logit_cells(spark, sf):
     c = _panel(spark, sf).groupBy(F.round("cp").alias("cp"), F.round("gap").alias("gap")).agg(F.count("*").alias("n"), F.sum("y").alias("k"))
-    return likelihood.result_frame(spark, likelihood.logit(c, "n", "k", ["cp", "gap"]))
+    fit = likelihood.logit(c, "n", "k", ["cp", "gap"])
+    return _rounded(spark, [(f"{t}_{i}", x) for t in ("coef", "se") for i, x in enumerate(fit[t])])
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PANEL}, a(i, u, month, y, x) AS (SELECT 0, u, month, y, fair::INT::DOUBLE FROM p UNION ALL
+    SELECT i + 1, u, month, y - avg(y) OVER (PARTITION BY month), x - avg(x) OVER (PARTITION BY month) FROM (SELECT i, u, month, y - avg(y) OVER (PARTITION BY u) AS y, x - avg(x) OVER (PARTITION BY u) AS x FROM a WHERE i < 40) z)
+  SELECT 'coef' AS term, round(sum(x * y) / sum(x * x), 5) AS value FROM a WHERE i = 40""")
 def fixed_effects(spark, sf):
     """Outcome on the evaluation with chooser and month effects."""
     p = _panel(spark, sf).withColumn("fair", F.col("fair").cast("double"))
-    return likelihood.result_frame(spark, effects.effects_ols(p, "y", ["fair"], ["u", "month"]))
+    return _rounded(spark, [("coef", effects.effects_ols(p, "y", ["fair"], ["u", "month"])["coef"][0])])
 
 
 @query()
@@ -172,10 +199,30 @@ def cond_logit(spark, sf):
     return likelihood.result_frame(spark, likelihood.conditional_logit(p, "stratum", "y", ["cp"]))
 
 
-@query()
+_TYPE = lambda t: f"(ln(greatest(s{t}, 1e-300)) + k * ln(r{t}) + (n - k) * ln(1 - r{t}))"
+
+
+@query(f"""WITH RECURSIVE {_PANEL}, c AS (SELECT n, k, count(*) AS c FROM (SELECT u, count(*) AS n, sum(y) AS k FROM p GROUP BY u) e GROUP BY 1, 2), total AS (SELECT sum(c) AS t FROM c),
+  it(s, i, s0, s1, r0, r1, l, stop) AS (SELECT s, 0, 0.5::DOUBLE, 0.5::DOUBLE, greatest(0.02, (0.5 + 0.3 * (s - 1) / 3) / 2)::DOUBLE, ((1.5 + 0.3 * (s - 1) / 3) / 2)::DOUBLE, -1e300::DOUBLE, false FROM (VALUES (0), (1), (2)) v(s) UNION ALL
+    SELECT s, i + 1, w0 / t, w1 / t, least(greatest(k0 / n0, 1e-6), 1 - 1e-6), least(greatest(k1 / n1, 1e-6), 1 - 1e-6), ll, ll - l < 1e-8 * abs(ll) FROM (
+      SELECT s, any_value(i) AS i, any_value(l) AS l, sum(c * (ln(e0 + e1) + top)) AS ll, sum(c * e0 / (e0 + e1)) AS w0, sum(c * e1 / (e0 + e1)) AS w1, sum(c * e0 / (e0 + e1) * k) AS k0, sum(c * e1 / (e0 + e1) * k) AS k1, sum(c * e0 / (e0 + e1) * n) AS n0, sum(c * e1 / (e0 + e1) * n) AS n1 FROM (
+        SELECT *, exp(l0 - top) AS e0, exp(l1 - top) AS e1 FROM (SELECT *, greatest(l0, l1) AS top FROM (SELECT it.*, c.*, {_TYPE(0)} AS l0, {_TYPE(1)} AS l1 FROM it, c WHERE NOT stop AND i < 2000) a) b) d GROUP BY s) f, total),
+  best AS (SELECT * FROM it WHERE stop ORDER BY l DESC, s LIMIT 1)
+  SELECT unnest(['loglik', 'share_0', 'share_1', 'rate_0', 'rate_1', 'bic']) AS term,
+    unnest([round(l, 2), round(CASE WHEN r0 <= r1 THEN s0 ELSE s1 END, 3), round(CASE WHEN r0 <= r1 THEN s1 ELSE s0 END, 3), round(least(r0, r1), 3), round(greatest(r0, r1), 3), round(-2 * l + 3 * ln(t), 2)]) AS value FROM best, total""")
 def mixture_em(spark, sf):
     e = _panel(spark, sf).groupBy("u").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("k"))
-    return likelihood.result_frame(spark, likelihood.binomial_mixture(e, "n", "k", 2))
+    fit = likelihood.binomial_mixture(e, "n", "k", 2)
+    rows = [("loglik", fit["loglik"], 2), *((f"{t}_{i}", x, 3) for t in ("share", "rate") for i, x in enumerate(fit[t])), ("bic", fit["bic"], 2)]
+    return spark.createDataFrame([(t, round(float(x), d)) for t, x, d in rows], "term string, value double")
+
+
+@query()
+def mixture_bootstrap(spark, sf):
+    """Ten hashed bootstrap draws of the mixture, their types in the order of the whole fit's, with bic and icl."""
+    e = _panel(spark, sf).groupBy("u").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("k"))
+    fits = likelihood.bootstrap_mixture(e, "n", "k", "u", 2, 10)
+    return spark.createDataFrame([(d, *map(float, (*f["share"], *f["rate"], f["bic"], f["icl"]))) for d, f in enumerate(fits, 1)], "draw int, share_0 double, share_1 double, rate_0 double, rate_1 double, bic double, icl double")
 
 
 @query()
@@ -189,30 +236,106 @@ def hmm_states(spark, sf):
     return likelihood.result_frame(spark, likelihood.hidden_states(_panel(spark, sf), "u", ["utc_ms", "game_id"], "y"))
 
 
-@query()
+_HASH = lambda x: f"((((a * {x} + b) % 2147483647 * {x} + c) % 2147483647 * {x} + d) % 2147483647)"
+_NUMBER = lambda x: f"(('0x' || substr(md5({x}::VARCHAR), 1, 15))::BIGINT % 2147483647)"
+_LAW = "law AS (SELECT draw::INT AS draw, " + ", ".join(f"('0x' || substr(md5('1|' || draw || '|{j}'), 1, 15))::BIGINT % 2147483647 AS {c}" for j, c in enumerate("abcd")) + " FROM range(1, 101) r(draw))"
+
+
+@query(f"""WITH RECURSIVE {_PANEL}, c AS (SELECT u, month, sum(y) AS k, avg(gap) AS gap FROM p GROUP BY 1, 2), it(i, b, se) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE UNION ALL
+    SELECT i + 1, b + g / h, 1 / sqrt(h) FROM (SELECT any_value(i) AS i, any_value(b) AS b, sum(bb - y * a / w) AS g, sum(y * (hh / w - a * a / w / w)) AS h FROM (
+      SELECT u, any_value(i) AS i, any_value(b) AS b, sum(k) AS y, sum(exp(b * gap)) AS w, sum(exp(b * gap) * gap) AS a, sum(k * gap) AS bb, sum(exp(b * gap) * gap * gap) AS hh FROM it, c WHERE i < 25 GROUP BY u HAVING sum(k) > 0) o) z WHERE i IS NOT NULL)
+  SELECT unnest(['coef', 'se']) AS term, unnest([round(b, 5), round(se, 5)]) AS value FROM it WHERE i = 25""")
 def poisson_effects(spark, sf):
     c = _panel(spark, sf).groupBy("u", "month").agg(F.sum("y").alias("k"), F.avg("gap").alias("gap"))
-    return likelihood.result_frame(spark, likelihood.effect_poisson(c, "u", "k", ["gap"]))
+    fit = likelihood.effect_poisson(c, "u", "k", ["gap"])
+    return _rounded(spark, [("coef", fit["coef"][0]), ("se", fit["se"][0])])
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PANEL}, it(i, u, a) AS (SELECT DISTINCT 0, u, 0::DOUBLE FROM p UNION ALL
+    SELECT i + 1, u, a + greatest(-2, least(2, (s + 1 - g - 2 * q) / (h + 2 * q * (1 - q)))) FROM (SELECT any_value(i) AS i, it.u AS u, any_value(a) AS a, any_value(1 / (1 + exp(-a))) AS q, sum(y) AS s, sum(1 / (1 + exp(-(gap + a)))) AS g, sum(1 / (1 + exp(-(gap + a))) * (1 - 1 / (1 + exp(-(gap + a))))) AS h FROM it JOIN p ON p.u = it.u WHERE i < 30 GROUP BY it.u) z)
+  SELECT u, count(*) AS n, round(any_value(a), 6) AS intercept FROM it JOIN p USING (u) WHERE i = 30 GROUP BY u""")
 def calibrated(spark, sf):
-    return likelihood.calibrate(_panel(spark, sf), "u", "gap", "y")
+    return likelihood.calibrate(_panel(spark, sf), "u", "gap", "y").withColumn("intercept", F.round("intercept", 6))
 
 
-@query()
+@query(f"""WITH {_PANEL}, {_LAW}, own AS (SELECT u, count(*) AS n, sum(y) AS s, {_NUMBER("u")} AS x FROM p GROUP BY u), w AS (SELECT draw, n, s, ({_HASH("x")} + 0.5::DOUBLE) / 2147483647 AS q FROM own, law),
+  v AS (SELECT draw, n, s, {" + ".join(f"(q > {sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))!r})::INT" for k in range(9))} AS w FROM w)
+  SELECT draw, round(sum(w * s) / nullif(sum(w * n), 0), 6) AS estimate FROM v GROUP BY draw""")
 def bootstrap_draws(spark, sf):
-    return scores.bootstrap(_panel(spark, sf), "u", "y", 100)
+    return scores.bootstrap(_panel(spark, sf), "u", "y", 100).withColumn("estimate", F.round("estimate", 6))
 
 
-@query()
+@query(f"""WITH {_PANEL}, {_LAW}, x AS (SELECT speed, month, fair, game_id, y, {_NUMBER("game_id")} AS x FROM p), h AS (SELECT draw, speed, month, fair, game_id, y, {_HASH("x")} AS h FROM x, law),
+  o AS (SELECT draw, speed, month, fair, y, row_number() OVER (PARTITION BY draw, speed, month, fair ORDER BY h, game_id, y) AS k FROM h), n AS (SELECT speed, month, least(count(*) FILTER (WHERE fair), count(*) FILTER (WHERE NOT fair)) AS pairs FROM p GROUP BY 1, 2)
+  SELECT draw, count(*) FILTER (WHERE fair) AS pairs, round(sum(CASE WHEN fair THEN y ELSE -y END) / count(*) FILTER (WHERE fair), 6) AS effect FROM o JOIN n USING (speed, month) WHERE k <= pairs GROUP BY draw""")
 def rematch_draws(spark, sf):
-    return scores.rematch(_panel(spark, sf), ["speed", "month"], "game_id", "fair", "y", 100)
+    return scores.rematch(_panel(spark, sf), ["speed", "month"], "game_id", "fair", "y", 100).withColumn("effect", F.round("effect", 6))
 
 
-@query()
+@query(f"""WITH {_PANEL}, {_LAW}, x AS (SELECT u, game_id, y, cp, sum(y) OVER (PARTITION BY u) AS most, {_NUMBER("game_id")} AS x FROM p), o AS (SELECT draw, cp, most, row_number() OVER (PARTITION BY draw, u ORDER BY {_HASH("x")}, game_id, cp) AS k FROM x, law)
+  SELECT 0 AS draw, round(sum(cp) FILTER (WHERE y = 1), 4) AS statistic FROM p UNION ALL SELECT draw, round(sum(cp) FILTER (WHERE k <= most), 4) FROM o GROUP BY draw""")
 def randomization_law(spark, sf):
-    return scores.randomized(_panel(spark, sf).select("u", F.col("y").cast("boolean").alias("y"), "cp", "game_id"), "u", "y", "cp", 100)
+    return scores.randomized(_panel(spark, sf), "u", "y", "cp", "game_id", 100).withColumn("statistic", F.round("statistic", 4))
+
+
+@query(f"""WITH {_PANEL}, d AS (SELECT u, y - avg(y) OVER g AS y, cp - avg(cp) OVER g AS a, gap - avg(gap) OVER g AS b FROM p WINDOW g AS (PARTITION BY u)),
+  m AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS yb, count(*) AS n, count(DISTINCT u) AS g FROM d), c AS (SELECT *, (bb * ay - ab * yb) / (aa * bb - ab * ab) AS p1, (aa * yb - ab * ay) / (aa * bb - ab * ab) AS p2 FROM m),
+  s AS (SELECT u, sum(a * (y - p1 * a - p2 * b)) AS s1, sum(b * (y - p1 * a - p2 * b)) AS s2 FROM d, c GROUP BY u), v AS (SELECT sum(s1 * s1) AS v11, sum(s1 * s2) AS v12, sum(s2 * s2) AS v22 FROM s),
+  w AS (SELECT g / (g - 1) * (n - 1) / (n - 2) AS k, p1 * aa + p2 * ab AS t1, p1 * ab + p2 * bb AS t2, * FROM c, v), z AS (SELECT (t1 * (v22 * t1 - v12 * t2) + t2 * (v11 * t2 - v12 * t1)) / (v11 * v22 - v12 * v12) / k AS stat FROM w)
+  SELECT unnest(['statistic', 'rank', 'p']) AS term, unnest([round(stat, 3), 2, round(exp(-stat / 2), 5)]) AS value FROM z""")
+def joint_wald(spark, sf):
+    """Both slopes of a regression with chooser effects tested at once."""
+    fit = moments.within_ols(_panel(spark, sf), "y", ["cp", "gap"], "u")
+    stat, rank, p = moments.wald(fit["coef"], fit["cov"])
+    return spark.createDataFrame([("statistic", round(stat, 3)), ("rank", float(rank)), ("p", round(p, 5))], "term string, value double")
+
+
+@query(f"""WITH {_PANEL}, d AS (SELECT u, y - avg(y) OVER g AS y, cp - avg(cp) OVER g AS x FROM p WINDOW g AS (PARTITION BY u)), b AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS xx, count(DISTINCT u) AS g FROM d),
+  s AS (SELECT u, sum(x * (y - b * x)) AS s FROM d, b GROUP BY u), e AS (SELECT any_value(b) AS b, sqrt(sum(s * s) * any_value(g) / (any_value(g) - 1)) / any_value(xx) AS se FROM s, b)
+  SELECT abs(b) + 1.6448536269514722 * se < 0.02 AS equivalent, round(2.801585218112969 * se, 6) AS mde FROM e""")
+def equivalence_test(spark, sf):
+    """Two one-sided tests of the slope within +-0.02, and the least effect found with power 0.8."""
+    fit = moments.within_ols(_panel(spark, sf), "y", ["cp"], "u")
+    out = moments.equivalence(float(fit["coef"][0]), float(fit["se"][0]), 0.02)
+    return spark.createDataFrame([(bool(out["equivalent"]), round(float(out["mde"]), 6))], "equivalent boolean, mde double")
+
+
+_READINGS = "SELECT DISTINCT m.row_id, m.rev, m.adjusted_all_time AS a, c.adjusted_all_time AS b FROM scores_main m JOIN scores_copy c ON c.row_id = m.row_id AND c.rev = m.rev WHERE NOT isnan(m.adjusted_all_time) AND NOT isnan(c.adjusted_all_time)"
+
+
+@query(f"WITH r AS ({_READINGS}) SELECT round(2 * covar_samp(a, b) / (var_samp(a) + var_samp(b)), 6) AS reliability FROM r")
+def eiv_reliability(spark, sf):
+    m, c = (table(spark, sf, t).select("row_id", "rev", F.col("adjusted_all_time").alias(n)).where(f"{n} is not null and not isnan({n})") for t, n in (("scores_main", "a"), ("scores_copy", "b")))
+    return spark.createDataFrame([(round(moments.reliability(m.join(c, ["row_id", "rev"]).distinct(), "a", "b"), 6),)], "reliability double")
+
+
+@query(f"""WITH {_SCORED}, f AS (SELECT *, s * (month < '2024-01')::INT AS early, s * (month >= '2024-01')::INT AS late FROM s), a AS (SELECT u, sum(early) AS x FROM f WHERE month < '2024-01' GROUP BY u), b AS (SELECT u, sum(late) AS x FROM f WHERE month >= '2024-01' GROUP BY u)
+  SELECT round(sum(a.x * b.x), 5) AS covariance, count(*) AS shared FROM a JOIN b USING (u)""")
+def cross_model_covariance(spark, sf):
+    """Covariance of two periods' score sums over the users that both have."""
+    s = _scored(spark, sf)
+    early, late = s.where("month < '2024-01'"), s.where("month >= '2024-01'")
+    shared = early.select("u").distinct().join(late.select("u").distinct(), "u").count()
+    return spark.createDataFrame([(round(float(moments.joint_meat(early, late, "u", ["s"], ["s"])[0, 0]), 5), shared)], "covariance double, shared long")
+
+
+@query(f"""WITH {_PANEL}, m AS (SELECT avg(gap) AS mid FROM p), c AS (SELECT speed, fair, count(*) AS n, regr_slope(y, gap) AS slope, regr_intercept(y, gap) AS base FROM p GROUP BY 1, 2)
+  SELECT speed, fair, n, round(base, 5) AS base, round(slope, 5) AS slope, round(base + slope * mid, 5) AS standardized FROM c, m""")
+def surface_standardized(spark, sf):
+    """Each cell's line over the rating gap, read at the mean gap of all rows."""
+    fits = scores.surface_fits(_panel(spark, sf), ["speed", "fair"], ["gap"], "y")
+    return fits.select("speed", "fair", "n", F.round(F.col("coefficients")[0], 5).alias("base"), F.round(F.col("coefficients")[1], 5).alias("slope"), F.round("standardized", 5).alias("standardized"))
+
+
+@query(f"""WITH {_PANEL}, c AS (SELECT speed, regr_slope(y, gap) AS b, regr_intercept(y, gap) - 0.23 AS a FROM p GROUP BY 1)
+  SELECT speed, CASE WHEN -a / b BETWEEN -20 AND 20 THEN round(-a / b, 3) END AS root, CASE WHEN -a / b BETWEEN -20 AND 20 THEN 'one root' ELSE 'no root' END AS status FROM c""")
+def indifference_roots(spark, sf):
+    """The rating gap at which a speed's line reaches a rate of 0.23, within +-20."""
+    out = []
+    for r in scores.surface_fits(_panel(spark, sf), ["speed"], ["gap"], "y").where("coefficients is not null").collect():  # one row a speed
+        found, status = scores.roots([r.coefficients[0] - 0.23, r.coefficients[1]], -20, 20)
+        out.append((r.speed, round(found[0], 3) if found else None, status))
+    return spark.createDataFrame(out, "speed string, root double, status string")
 
 
 @query(f"""WITH {_PANEL}, c AS (SELECT game_id, utc_ms, cp, greatest(cp + 3, 0)^3 AS a, greatest(cp, 0)^3 AS b, greatest(cp - 3, 0)^3 AS c FROM p)

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from itertools import permutations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerwake.session import materialize, release
 from ledgerwake.stats.moments import _pairs, _square
+from ledgerwake.stats.scores import draw_coefficients, draw_number, poisson_weight, unit_number
 
 
 def logit(cells: DataFrame, n: str, successes: str, x: Sequence[str], ridge: float = 0.0, most: int = 50) -> dict:
-    """Logistic regression on cells (x, trials, successes) by Newton's method: coef (first the constant), se."""
+    """Logistic regression on cells (x, trials, successes) by Newton's method: coef (first the constant), se.
+
+    Raises ArithmeticError if ``most`` steps do not reach the optimum (as with separated data).
+    """
     k = len(x) + 1
     design = [F.lit(1.0), *[F.col(c).cast("double") for c in x]]
     beta = np.zeros(k)
@@ -27,9 +33,9 @@ def logit(cells: DataFrame, n: str, successes: str, x: Sequence[str], ridge: flo
         hessian = _square(k, row[k:]) + penalty
         step = np.linalg.pinv(hessian) @ (np.array(row[:k], float) - penalty @ beta)
         beta = beta + step
-        if np.abs(step).max() < 1e-10:
-            break
-    return {"coef": beta, "se": np.sqrt(np.diag(np.linalg.pinv(hessian)))}
+        if np.abs(step).max() < 1e-9:
+            return {"coef": beta, "se": np.sqrt(np.diag(np.linalg.pinv(hessian)))}
+    raise ArithmeticError(f"logit: the last of {most} steps is still {np.abs(step).max()}")
 
 
 class Grouped:
@@ -97,7 +103,10 @@ def conditional_kernel(x: np.ndarray, y: np.ndarray, beta: np.ndarray) -> tuple[
 
 
 def conditional_logit(df: DataFrame, group: str, y: str, x: Sequence[str], most: int = 30) -> dict:
-    """Exact conditional logit by Newton's method; a group's rows meet in one task, so groups must be bounded strata."""
+    """Exact conditional logit by Newton's method; a group's rows meet in one task, so groups must be bounded strata.
+
+    Raises ArithmeticError if ``most`` steps do not reach the optimum.
+    """
     k = len(x)
     beta = np.zeros(k)
     rows = Grouped(df, group, [], [y, *x])
@@ -109,15 +118,17 @@ def conditional_logit(df: DataFrame, group: str, y: str, x: Sequence[str], most:
 
         return kernel
 
-    for _ in range(most):
-        row = rows.total(at(beta), 1 + k + len(_pairs(k)))
-        info = _square(k, row[k + 1 :])
-        step = np.linalg.pinv(info) @ row[1 : k + 1]
-        beta = beta + step
-        if np.abs(step).max() < 1e-9:
-            break
-    rows.close()
-    return {"coef": beta, "se": np.sqrt(np.diag(np.linalg.pinv(info))), "loglik": row[0]}
+    try:
+        for _ in range(most):
+            row = rows.total(at(beta), 1 + k + len(_pairs(k)))
+            info = _square(k, row[k + 1 :])
+            step = np.linalg.pinv(info) @ row[1 : k + 1]
+            beta = beta + step
+            if np.abs(step).max() < 1e-9:
+                return {"coef": beta, "se": np.sqrt(np.diag(np.linalg.pinv(info))), "loglik": row[0]}
+    finally:
+        rows.close()
+    raise ArithmeticError(f"conditional logit: the last of {most} steps is still {np.abs(step).max()}")
 
 
 #: Up to so many distinct (trials, successes) are iterated over in the driver.
@@ -143,12 +154,13 @@ def _expected_here(c: pd.DataFrame, share: np.ndarray, rate: np.ndarray) -> list
     return [float((c.c * (np.log(z) + top)).sum()), *w.sum(0), *(w * c.k.to_numpy()[:, None]).sum(0), *(w * c.n.to_numpy()[:, None]).sum(0)]
 
 
-def binomial_mixture(entities: DataFrame, n: str, k: str, types: int, starts: int = 3, rounds: int = 200, tolerance: float = 1e-8) -> dict:
+def binomial_mixture(entities: DataFrame, n: str, k: str, types: int, starts: int = 3, rounds: int = 2000, tolerance: float = 1e-8) -> dict:
     """EM for a mixture of binomials over entities' (trials, successes); types come out in the order of their rates.
 
     Entities are counted by distinct (trials, successes) first; a round is one
     aggregation over these, in the driver if they are few (DRIVER_CELLS). The
-    best of several starts is kept; bic uses the number of entities.
+    best of several starts is kept; bic uses the number of entities, icl adds the
+    entropy of the types. A start that does not converge in ``rounds`` rounds raises ArithmeticError.
     """
     cells = entities.where(F.col(n) > 0).groupBy(F.col(n).alias("n"), F.col(k).alias("k")).agg(F.count("*").alias("c")).persist()
     few = cells.limit(DRIVER_CELLS + 1).count() <= DRIVER_CELLS
@@ -165,13 +177,47 @@ def binomial_mixture(entities: DataFrame, n: str, k: str, types: int, starts: in
             if row[0] - last < tolerance * abs(row[0]):
                 break
             last = row[0]
+        else:
+            raise ArithmeticError(f"mixture: start {s} still gains after {rounds} rounds")
         if row[0] > best["loglik"]:
             order = np.argsort(rate)
             best = {"loglik": row[0], "share": share[order], "rate": rate[order], "bic": -2 * row[0] + (2 * types - 1) * math.log(total)}
+    if total:
+        best["icl"] = best["bic"] + 2 * _type_entropy(cells, best["share"], best["rate"])
     cells.unpersist()
     return best
 
 
+def _type_entropy(cells: DataFrame, share: np.ndarray, rate: np.ndarray) -> float:
+    """The entropy of the entities' type probabilities, summed over entities in one aggregation."""
+    n, k = F.col("n"), F.col("k")
+    logs = [F.lit(math.log(max(s, 1e-300))) + k * math.log(r) + (n - k) * math.log(1 - r) for s, r in zip(share, rate, strict=True)]
+    d = cells.withColumn("top", F.greatest(*logs) if len(logs) > 1 else logs[0])
+    z = sum((F.exp(x - F.col("top")) for x in logs), F.lit(0.0))
+    w = [F.exp(x - F.col("top")) / z for x in logs]
+    return float(d.agg(F.sum(F.col("c") * sum((F.when(x > 0, -x * F.log(x)).otherwise(0.0) for x in w), F.lit(0.0)))).first()[0] or 0.0)
+
+
+def aligned(one: dict, two: dict) -> list[int]:
+    """For each type of ``one`` the type of ``two`` that it matches: the matching of least squared distance in share and rate."""
+    types = range(len(one["rate"]))
+    cost = lambda o: sum((one["rate"][i] - two["rate"][j]) ** 2 + (one["share"][i] - two["share"][j]) ** 2 for i, j in zip(types, o, strict=True))
+    return list(min(permutations(types), key=cost))
+
+
+def bootstrap_mixture(entities: DataFrame, n: str, k: str, unit: str, types: int, draws: int, seed: int = 1) -> list[dict]:
+    """Mixtures fitted to entities under hashed Poisson(1) weights, their types put in the order of the whole fit's."""
+    whole = binomial_mixture(entities, n, k, types)
+    out = []
+    for d in range(1, draws + 1):
+        a, b, c, e = draw_coefficients(seed, d)
+        w = poisson_weight(draw_number(unit_number(F.col(unit)), F.lit(a), F.lit(b), F.lit(c), F.lit(e)))
+        fit = binomial_mixture(entities.withColumn("__w", w).where("__w > 0").select(n, k, F.explode(F.sequence(F.lit(1), "__w"))), n, k, types)
+        order = aligned(whole, fit)
+        out.append({**fit, "share": fit["share"][order], "rate": fit["rate"][order]})
+    return out
+
+
 def forward_backward(y: np.ndarray, start: np.ndarray, move: np.ndarray, rate: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Log-likelihood, state probabilities (T x 2) and expected moves (2 x 2) of one 0/1 sequence with two states.
 
@@ -231,7 +277,10 @@ def hidden_states(df: DataFrame, entity: str, order: Sequence[str], y: str, roun
 
 
 def effect_poisson(df: DataFrame, entity: str, count: str, x: Sequence[str], most: int = 50) -> dict:
-    """Poisson regression with entity effects profiled out (conditional on entity totals)."""
+    """Poisson regression with entity effects profiled out (conditional on entity totals).
+
+    Raises ArithmeticError if ``most`` steps do not reach the optimum.
+    """
     k = len(x)
     c = [F.col(v).cast("double") for v in x]
     beta = np.zeros(k)
@@ -242,9 +291,9 @@ def effect_poisson(df: DataFrame, entity: str, count: str, x: Sequence[str], mos
         info = _square(k, row[k:])
         step = np.linalg.pinv(info) @ np.array([v or 0.0 for v in row[:k]])
         beta = beta + step
-        if np.abs(step).max() < 1e-10:
-            break
-    return {"coef": beta, "se": np.sqrt(np.diag(np.linalg.pinv(info)))}
+        if np.abs(step).max() < 1e-9:
+            return {"coef": beta, "se": np.sqrt(np.diag(np.linalg.pinv(info)))}
+    raise ArithmeticError(f"Poisson: the last of {most} steps is still {np.abs(step).max()}")
 
 
 def random_intercept(entities: DataFrame, n: str, k: str, nodes: int = 15) -> dict:
@@ -284,33 +333,28 @@ def random_intercept(entities: DataFrame, n: str, k: str, nodes: int = 15) -> di
     return {"mean": mean, "sd": sd, "loglik": loglik}
 
 
-def calibrate(df: DataFrame, entity: str, offset: str, y: str, pseudo: float = 1.0, digits: int = 2) -> DataFrame:
+def calibrate(df: DataFrame, entity: str, offset: str, y: str, pseudo: float = 1.0, most: int = 50) -> DataFrame:
     """(entity, n, intercept): each entity's shift of the logit, with ``pseudo`` successes and as many failures at offset 0.
 
-    Offsets are rounded to ``digits`` and counted, so an entity comes as a short
-    histogram, whatever its number of rows; Newton's method runs on batches of those.
+    Newton's method for all entities at once: rows are counted by (entity, offset) first, and
+    each round is one join and one aggregation over these counts, which AQE splits for an entity of very
+    many offsets. Steps are at most 2. Raises ArithmeticError if ``most`` rounds do not reach the optimum.
     """
-    rows = df.where(F.col(entity).isNotNull() & F.col(offset).isNotNull() & F.col(y).isNotNull()).select(F.col(entity).alias("e"), F.round(offset, digits).alias("r"), F.col(y).cast("double").alias("y"))
-    bins = rows.groupBy("e", "r").agg(F.count("*").cast("double").alias("c"), F.sum("y").alias("s"))
-    own = bins.groupBy("e").agg(F.sum("c").alias("n"), F.sum("s").alias("k"), F.collect_list(F.struct("r", "c")).alias("h"))
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for k, h in zip(b["k"], b["h"], strict=True):
-                r, c = np.array([x["r"] for x in h] + [0.0]), np.array([x["c"] for x in h] + [2 * pseudo])
-                a = 0.0
-                for _ in range(50):
-                    p = 1 / (1 + np.exp(-(r + a)))
-                    step = np.clip((k + pseudo - (c * p).sum()) / (c * p * (1 - p)).sum(), -2, 2)
-                    a += step
-                    if abs(step) < 1e-10:
-                        break
-                out.append(a)
-            yield pd.DataFrame({"e": b["e"], "n": b["n"].astype("int64"), "intercept": out})
-
-    kind = rows.schema["e"].dataType.simpleString()
-    return own.mapInPandas(run, f"e {kind}, n long, intercept double").withColumnRenamed("e", entity)
+    rows = df.where(F.col(entity).isNotNull() & F.col(offset).isNotNull() & F.col(y).isNotNull()).select(F.col(entity).alias("e"), F.col(offset).cast("double").alias("r"), F.col(y).cast("double").alias("y"))
+    bins = materialize(rows.groupBy("e", "r").agg(F.count("*").alias("c"), F.sum("y").alias("s")), "calibration-cells")
+    state = materialize(bins.groupBy("e").agg(F.sum("c").alias("n"), F.sum("s").alias("k"), F.lit(0.0).alias("a")), "calibration")
+    for _ in range(most):
+        p = 1 / (1 + F.exp(-(F.col("r") + F.col("a"))))
+        sums = bins.join(state.select("e", "a"), "e").groupBy("e").agg(F.sum(F.col("c") * p).alias("g"), F.sum(F.col("c") * p * (1 - p)).alias("h"))
+        own = 1 / (1 + F.exp(-F.col("a")))
+        step = (F.col("k") + pseudo - F.col("g") - 2 * pseudo * own) / (F.col("h") + 2 * pseudo * own * (1 - own))
+        new = materialize(state.join(sums, "e").withColumn("step", F.greatest(F.lit(-2.0), F.least(F.lit(2.0), step))).select("e", "n", "k", (F.col("a") + F.col("step")).alias("a"), F.abs("step").alias("moved")), "calibration")
+        release(state)
+        state, far = new, new.agg(F.max("moved")).first()[0] or 0.0
+        if far < 1e-9:
+            release(bins)
+            return state.select(F.col("e").alias(entity), "n", F.col("a").alias("intercept"))
+    raise ArithmeticError(f"calibration: the last of {most} steps is still {far}")
 
 
 def result_frame(spark: SparkSession, fit: dict) -> DataFrame:

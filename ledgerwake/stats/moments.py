@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerwake.session import materialize, release
+
 
 def _pairs(k: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(k) for j in range(i, k)]
@@ -49,13 +51,13 @@ def within_ols(df: DataFrame, y: str, x: Sequence[str], group: str) -> dict:
     """OLS with one fixed effect, clustered by it (CR1): coef, se, n, groups.
 
     The demeaned cross products and each group's score follow from the group's
-    own moments, so the rows are read once and never joined.
+    own moments, so the rows are read twice (means, moments) and never joined.
     """
     columns = [*x, y]
     k = len(x)
-    _, sums, _ = gram(df := complete(df, columns), columns)
-    n = max(1, df.count())
-    df = df.withColumns({c: F.col(c).cast("double") - float(s / n) for c, s in zip(columns, sums, strict=True)})  # against cancellation
+    df = complete(df, columns)
+    n, sums, _ = gram(df, columns)
+    df = df.withColumns({c: F.col(c).cast("double") - float(s / max(n, 1.0)) for c, s in zip(columns, sums, strict=True)})  # against cancellation
     groups = group_moments(df, group, columns).persist()
     row = groups.agg(F.sum("n"), F.count("*"), *[F.sum(f"g{i}_{j}") for i, j in _pairs(k + 1)]).first()
     total, g = row[0] or 0, row[1]
@@ -86,51 +88,80 @@ def dyadic_meat(scores: DataFrame, score: str, a: str, b: str, date: str | None
     """Sum of score products over all pairs of rows that share an account or the date.
 
     Rows that share a sum are added by account, less those counted twice as the
-    pair, then by date, less those that share both: five aggregations, no pairs.
+    pair, then by date, less those that share both: no pairs are formed. The rows are
+    summed by pair and date first; all other sums are taken of that, written once.
     """
-    s = scores.where(F.col(score).isNotNull())
-    sides = s.select(F.explode(F.array_distinct(F.array(a, b))).alias("p"), *([date] if date else []), score)
-    pair = s.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("__u"), F.greatest(a, b).alias("__v"), *([date] if date else []), score)
+    s = scores.where(F.col(score).isNotNull()).select(F.least(a, b).alias("__u"), F.greatest(a, b).alias("__v"), *([F.col(date).alias("__d")] if date else []), F.col(score).alias("__s"))
+    base = materialize(s.groupBy("__u", "__v", *(["__d"] if date else [])).agg(F.sum("__s").alias("__s")), "dyads")
+    sides = base.select(F.explode(F.array_distinct(F.array("__u", "__v"))).alias("__p"), *(["__d"] if date else []), "__s")
+    pair = base.where("__u != __v")
 
     def of(df: DataFrame, *by: str) -> float:
-        return df.groupBy(*by).agg(F.sum(score).alias("s")).agg(F.sum(F.col("s") ** 2)).first()[0] or 0.0
+        return df.groupBy(*by).agg(F.sum("__s").alias("s")).agg(F.sum(F.col("s") ** 2)).first()[0] or 0.0
 
-    out = of(sides, "p") - of(pair, "__u", "__v")
+    out = of(sides, "__p") - of(pair, "__u", "__v")
     if date:
-        out += of(s, date) - of(sides, "p", date) + of(pair, "__u", "__v", date)
+        out += of(base, "__d") - of(sides, "__p", "__d") + (pair.agg(F.sum(F.col("__s") ** 2)).first()[0] or 0.0)
+    release(base)
     return out
 
 
-def iv(df: DataFrame, y: str, d: str, z: str, controls: Sequence[str] = ()) -> dict:
-    """Just-identified IV: first stage, reduced form, estimate and the Anderson-Rubin set (95 %)."""
+def iv(df: DataFrame, y: str, d: str, z: str, controls: Sequence[str] = (), cluster: str | None = None) -> dict:
+    """Just-identified IV: first stage, reduced form and estimate with standard errors, and the Anderson-Rubin set (95 %).
+
+    ``cluster`` names the groups whose scores are summed; without it every row is its own. The set holds
+    all b for which the scores of z and y - b d are no further from 0 than their own covariance allows.
+    """
     columns = ["__one", *controls, z, d, y]
-    n, _, m = gram(complete(df.withColumn("__one", F.lit(1.0)), columns), columns)
+    rows = complete(df.withColumn("__one", F.lit(1.0)), columns)
+    n, _, m = gram(rows, columns)
     c = len(controls) + 1
-    left = np.linalg.pinv(m[:c, :c])
-    r = m[c:, c:] - m[c:, :c] @ left @ m[:c, c:]  # z, d, y less the controls
-    zz, zd, zy, dd, dy, yy = r[0, 0], r[0, 1], r[0, 2], r[1, 1], r[1, 2], r[2, 2]
-    first, reduced = (zd / zz, zy / zz) if zz > 0 else (math.nan, math.nan)
-    free = n - c - 1
-    # n - c - 1 times (z'e)^2 / zz <= q (e'e - (z'e)^2 / zz), e = y - b d
-    q = 3.841458820694124 / max(free, 1)
-    part = lambda u, v, uv: (1 + q) * u * v / zz - q * uv if zz > 0 else math.nan
-    return {"n": n, "first": first, "reduced": reduced, "iv": reduced / first if first else math.nan, "set": quadratic_set(part(zd, zd, dd), -2 * part(zd, zy, dy), part(zy, zy, yy))}
-
-
-def quadratic_set(a: float, b: float, c: float) -> list[tuple[float, float]]:
-    """Where a x^2 + b x + c <= 0: intervals, which may be empty, unbounded, two rays or the line."""
-    inf = math.inf
-    if not all(map(math.isfinite, (a, b, c))):
+    out = np.linalg.pinv(m[:c, :c]) @ m[:c, c:]  # what the controls explain of z, d, y
+    r = m[c:, c:] - m[c:, :c] @ out
+    zz, zd, zy = r[0]
+    if not zz > 0:
+        return {"n": n, "first": math.nan, "reduced": math.nan, "iv": math.nan, "set": []}
+    first, reduced = zd / zz, zy / zz
+    left = [F.col(v).cast("double") - sum((F.col(w).cast("double") * float(out[i, j]) for i, w in enumerate(columns[:c])), F.lit(0.0)) for j, v in enumerate((z, d, y))]
+    score = rows.select(*([F.col(cluster).alias("__g")] if cluster else []), (left[0] * (left[2] - left[0] * float(reduced))).alias("__y"), (left[0] * (left[1] - left[0] * float(first))).alias("__d"))
+    if cluster:
+        score = score.where("__g is not null").groupBy("__g").agg(F.sum("__y").alias("__y"), F.sum("__d").alias("__d"))
+    v = gram(score, ["__y", "__d"])[2]
+    estimate = zy / zd if zd else math.nan
+    q = 3.841458820694124  # 95 % of chi-squared with one degree
+    region = quadratic_set(zd * zd - q * v[1, 1], 2 * (q * v[0, 1] - zy * zd), zy * zy - q * v[0, 0])
+    spread = v[0, 0] - 2 * estimate * v[0, 1] + estimate**2 * v[1, 1]
+    return {
+        "n": n,
+        "first": first,
+        "first_se": math.sqrt(v[1, 1]) / zz,
+        "reduced": reduced,
+        "reduced_se": math.sqrt(v[0, 0]) / zz,
+        "iv": estimate,
+        "iv_se": math.sqrt(max(spread, 0.0)) / abs(zd) if zd else math.nan,
+        "set": region,
+    }
+
+
+def quadratic_set(a: float, b: float, c: float, tiny: float = 1e-12) -> list[tuple[float, float]]:
+    """Where a x^2 + b x + c <= 0: intervals, which may be empty, unbounded, two rays or the line.
+
+    Coefficients below ``tiny`` of the largest count as 0. Roots are taken without cancellation.
+    """
+    inf, size = math.inf, max(map(abs, (a, b, c)))
+    if not math.isfinite(size):
         return []
-    if abs(a) < 1e-300:
-        if abs(b) < 1e-300:
-            return [(-inf, inf)] if c <= 0 else []
-        return [(-inf, -c / b)] if b > 0 else [(-c / b, inf)]
-    disc = b * b - 4 * a * c
-    if disc < 0:
+    a, b, c = (x if abs(x) > tiny * size else 0.0 for x in (a, b, c))
+    if a:
+        disc = b * b - 4 * a * c
+        if disc >= 0:
+            far = -(b + math.copysign(math.sqrt(disc), b)) / 2
+            ends = sorted((far / a, c / far if far else 0.0))
+            return [tuple(ends)] if a > 0 else [(-inf, ends[0]), (ends[1], inf)]
         return [] if a > 0 else [(-inf, inf)]
-    lo, hi = sorted(((-b - math.sqrt(disc)) / (2 * a), (-b + math.sqrt(disc)) / (2 * a)))
-    return [(lo, hi)] if a > 0 else [(-inf, lo), (hi, inf)]
+    if b:
+        return [(-inf, -c / b) if b > 0 else (-c / b, inf)]
+    return [(-inf, inf)] if c <= 0 else []
 
 
 def chi2_sf(x: float, k: int) -> float:

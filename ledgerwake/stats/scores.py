@@ -37,12 +37,21 @@ def expanding_reference(df: DataFrame, cell: Sequence[str], at: str, y: str, str
     return own.join(prior, at).select(*cell, at, ((F.col("s") + strength * F.col("p")) / (F.col("n") + strength)).alias("reference"))
 
 
-def standardize(df: DataFrame, group: str, strata: Sequence[str], y: str, least: int = 5) -> DataFrame:
-    """(group, n, rate): rates on the strata that every group has at least ``least`` rows in, weighted alike."""
-    cell = df.where(F.col(group).isNotNull() & F.col(y).isNotNull()).groupBy(group, *strata).agg(F.count("*").alias("n"), F.avg(F.col(y).cast("double")).alias("m"))
+def standardize(df: DataFrame, group: str, strata: Sequence[str], y: str, cluster: str, least: int = 5) -> DataFrame:
+    """(group, n, rate, se): rates on the strata that every group has at least ``least`` rows in, weighted alike.
+
+    se is that of the rows' influences, summed by ``cluster``, with the strata's weights taken as given.
+    Rows with a null in group, strata, y or cluster are left out.
+    """
+    own = df.na.drop(subset=[group, *strata, y, cluster]).groupBy(cluster, group, *strata).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("s"))
+    cell = own.groupBy(group, *strata).agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("m"))
     groups = cell.agg(F.count_distinct(group)).first()[0]
     shared = cell.groupBy(*strata).agg(F.min("n").alias("lo"), F.count("*").alias("g"), F.sum("n").alias("w")).where((F.col("lo") >= least) & (F.col("g") == groups)).select(*strata, "w")
-    return cell.join(shared, list(strata)).groupBy(group).agg(F.sum("n").alias("n"), (F.sum(F.col("m") * F.col("w")) / F.sum("w")).alias("rate"))
+    kept = cell.join(shared, list(strata))
+    rates = kept.groupBy(group).agg(F.sum("n").alias("n"), (F.sum(F.col("m") * F.col("w")) / F.sum("w")).alias("rate"), F.sum("w").alias("__all"))
+    part = own.join(kept.select(group, *strata, "m", "w", F.col("n").alias("__cell")), [group, *strata])
+    part = part.groupBy(cluster, group).agg(F.sum(F.col("w") / F.col("__cell") * (F.col("s") - F.col("n") * F.col("m"))).alias("i"))
+    return rates.join(part.groupBy(group).agg(F.sum(F.col("i") ** 2).alias("v")), group).select(group, "n", "rate", (F.sqrt("v") / F.col("__all")).alias("se"))
 
 
 def weighted_corr(x: Column, y: Column, w: Column) -> Column:
@@ -91,11 +100,18 @@ def imputed(df: DataFrame, cell: Sequence[str], columns: Sequence[str]) -> DataF
     return out.select(*df.columns, *[F.coalesce(value[c], F.col(f"__m_{c}")).alias(f"{c}_filled") for c in columns], *[value[c].isNull().alias(f"{c}_missing") for c in columns])
 
 
-def matched_effect(df: DataFrame, treated: str, strata: Sequence[str], y: str) -> DataFrame:
-    """One row of coarsened exact matching: n_treated, n_control, effect on the treated, strata."""
-    t = F.col(treated)
-    cell = df.where(t.isNotNull() & F.col(y).isNotNull()).groupBy(*strata).agg(F.count_if(t).alias("n1"), F.count_if(~t).alias("n0"), F.avg(F.when(t, F.col(y).cast("double"))).alias("m1"), F.avg(F.when(~t, F.col(y).cast("double"))).alias("m0")).where("n1 > 0 and n0 > 0")
-    return cell.agg(F.sum("n1").alias("n_treated"), F.sum("n0").alias("n_control"), (F.sum((F.col("m1") - F.col("m0")) * F.col("n1")) / F.sum("n1")).alias("effect"), F.count("*").alias("strata"))
+def matched_effect(df: DataFrame, treated: str, strata: Sequence[str], y: str, cluster: str) -> DataFrame:
+    """One row of coarsened exact matching: n_treated, n_control, effect on the treated, its se, strata.
+
+    se is that of the rows' influences summed by ``cluster``, with the strata's weights taken as given. Rows
+    with a null in treated, strata, y or cluster are left out.
+    """
+    own = df.na.drop(subset=[treated, *strata, y, cluster]).groupBy(cluster, *strata).agg(*[f.alias(a) for t, k in ((F.col(treated), 1), (~F.col(treated), 0)) for f, a in ((F.count_if(t), f"n{k}"), (F.sum(F.when(t, F.col(y).cast("double")).otherwise(0.0)), f"s{k}"))])
+    cell = own.groupBy(*strata).agg(*[F.sum(c).alias(f"t{c}") for c in ("n1", "n0", "s1", "s0")]).where("tn1 > 0 and tn0 > 0").withColumns({"m1": F.col("ts1") / F.col("tn1"), "m0": F.col("ts0") / F.col("tn0")})
+    out = cell.agg(F.sum("tn1").alias("n_treated"), F.sum("tn0").alias("n_control"), (F.sum((F.col("m1") - F.col("m0")) * F.col("tn1")) / F.sum("tn1")).alias("effect"), F.count("*").alias("strata"))
+    influence = F.col("s1") - F.col("n1") * F.col("m1") - F.col("tn1") / F.col("tn0") * (F.col("s0") - F.col("n0") * F.col("m0"))
+    v = own.join(cell, list(strata)).groupBy(cluster).agg(F.sum(influence).alias("i")).agg(F.sum(F.col("i") ** 2).alias("v"))
+    return out.join(F.broadcast(v)).select("n_treated", "n_control", "effect", (F.sqrt("v") / F.col("n_treated")).alias("se"), "strata")  # one row each
 
 
 def balance(df: DataFrame, treated: str, columns: Sequence[str]) -> DataFrame:
@@ -107,19 +123,42 @@ def balance(df: DataFrame, treated: str, columns: Sequence[str]) -> DataFrame:
     return s.select("covariate", "mean_1", "mean_0", ((F.col("mean_1") - F.col("mean_0")) / F.expr("nullif(sd, 0)")).alias("smd"))
 
 
+#: A prime; draws are polynomials of degree 3 over its field, so any four units are drawn independently.
+PRIME = (1 << 31) - 1
+
+
+def unit_number(unit: Column) -> Column:
+    """A number below PRIME of a unit: the first 15 hex digits of md5, so that any system gives the same."""
+    return F.conv(F.substring(F.md5(unit.cast("string").cast("binary")), 1, 15), 16, 10).cast("long") % PRIME
+
+
+def draw_coefficients(seed: int, draw: int) -> tuple[int, int, int, int]:
+    return tuple(int(hashlib.md5(f"{seed}|{draw}|{j}".encode()).hexdigest()[:15], 16) % PRIME for j in range(4))
+
+
+def draw_number(x: Column | np.ndarray, a: object, b: object, c: object, d: object) -> Column | np.ndarray:
+    """The unit's number in a draw: a x^3 + b x^2 + c x + d."""
+    return (((a * x + b) % PRIME * x + c) % PRIME * x + d) % PRIME
+
+
+def poisson_weight(number: Column) -> Column:
+    """A Poisson(1) weight of a draw's number (cut at 9)."""
+    u, cut, p, steps = (number + 0.5) / float(PRIME), 0.0, math.exp(-1), F.lit(0)
+    for k in range(9):
+        cut += p / math.factorial(k)
+        steps = steps + (u > cut).cast("int")
+    return steps
+
+
 def bootstrap(df: DataFrame, cluster: str, y: str, draws: int, seed: int = 1) -> DataFrame:
     """(draw, estimate): means under Poisson(1) weights of clusters, hashed from seed, draw and cluster.
 
     Clusters are summed first; the draws multiply clusters, not rows, and any run gives
     the same weights.
     """
-    own = df.where(F.col(cluster).isNotNull() & F.col(y).isNotNull()).groupBy(cluster).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("s"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", cluster), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    cut, p, steps = 0.0, math.exp(-1), F.lit(0)
-    for k in range(9):
-        cut += p / math.factorial(k)
-        steps = steps + (F.col("u") > cut).cast("int")
-    w = own.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("u", u).withColumn("w", steps)
+    own = df.where(F.col(cluster).isNotNull() & F.col(y).isNotNull()).groupBy(cluster).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("s")).withColumn("x", unit_number(F.col(cluster)))
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("draw"), *[F.lit(v).cast("long").alias(c) for v, c in zip(draw_coefficients(seed, d), "abcd", strict=True)]) for d in range(1, draws + 1)])).alias("z")
+    w = own.select("n", "s", "x", each).select("n", "s", "z.draw", poisson_weight(draw_number(F.col("x"), F.col("z.a"), F.col("z.b"), F.col("z.c"), F.col("z.d"))).alias("w"))
     return w.groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.expr("nullif(sum(w * n), 0)")).alias("estimate"))
 
 
@@ -130,20 +169,21 @@ DRAWS_A_TASK = 25
 def rematch(df: DataFrame, cell: Sequence[str], unit: str, treated: str, y: str, draws: int, per_case: int = 1, seed: int = 1) -> DataFrame:
     """(draw, pairs, effect): cases matched 1:k to controls of their cell by seeded hash, again in each draw.
 
-    Cases and controls are put in the order of their hash and paired by number.
-    A cell's units meet in one task, so cells should be fine; they are sent once
+    Cases and controls are put in the order of their draw number (then unit and y) and paired by
+    position. A cell's units meet in one task, so cells should be fine; they are sent once
     for every DRAWS_A_TASK draws, not once a draw.
     """
     r = df.where(F.col(treated).isNotNull() & F.col(y).isNotNull()).na.drop(subset=list(cell))
-    r = r.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(cell)], F.col(unit).cast("string").alias("unit"), F.col(treated).alias("t"), F.col(y).cast("double").alias("v"), F.explode(F.sequence(F.lit(1), F.lit(draws), F.lit(DRAWS_A_TASK))).alias("first"))
+    r = r.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(cell)], F.coalesce(F.col(unit).cast("string"), F.lit("")).alias("unit"), F.col(treated).alias("t"), F.col(y).cast("double").alias("v"), F.explode(F.sequence(F.lit(1), F.lit(draws), F.lit(DRAWS_A_TASK))).alias("first"))
+    r = r.withColumn("x", unit_number(F.col("unit")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["unit", "v"])  # equal hashes stay in this order
-        sides = [(own["v"].to_numpy(), [b"" if u is None else b"|" + u.encode() for u in own["unit"]]) for own in (pdf[pdf["t"]], pdf[~pdf["t"]])]
+        pdf = pdf.sort_values(["unit", "v"])  # equal numbers stay in this order
+        sides = [(own["v"].to_numpy(), own["x"].to_numpy()) for own in (pdf[pdf["t"]], pdf[~pdf["t"]])]
         first, out = int(pdf["first"].iloc[0]), []
         for draw in range(first, min(first + DRAWS_A_TASK, draws + 1)):
-            head = f"{seed}|{draw}".encode()
-            case, control = (v[np.argsort(np.frombuffer(b"".join(hashlib.md5(head + u).digest()[:8] for u in units), ">u8"), kind="stable")] for v, units in sides)
+            law = draw_coefficients(seed, draw)
+            case, control = (v[np.argsort(draw_number(x, *law), kind="stable")] for v, x in sides)
             starts = np.arange(0, len(control), per_case)
             pairs = min(len(case), len(starts))
             if pairs:
@@ -155,25 +195,14 @@ def rematch(df: DataFrame, cell: Sequence[str], unit: str, treated: str, y: str,
     return own.groupBy("draw").agg(F.sum("pairs").alias("pairs"), (F.sum("s") / F.sum("pairs")).alias("effect"))
 
 
-def _xxhash64(number: np.ndarray | int, before: int, long: bool) -> np.ndarray:
-    """Spark's xxhash64 of an int or of longs, after a column with the hash ``before``."""
-    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
-    v = np.atleast_1d(np.asarray(number, np.int64)).view(np.uint64)
-    h = np.full(1, before, np.uint64) + p5 + np.uint64(8 if long else 4)
-    h = turn(h ^ (turn(v * p2, 31) * p1), 27) * p1 + p4 if long else turn(h ^ ((v & np.uint64(0xFFFFFFFF)) * p1), 23) * p2 + p3
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return h ^ (h >> np.uint64(32))
-
-
-def randomized(df: DataFrame, entity: str, y: str, x: str, draws: int, seed: int = 1) -> DataFrame:
+def randomized(df: DataFrame, entity: str, y: str, x: str, unit: str, draws: int, seed: int = 1) -> DataFrame:
     """(draw, statistic): sum of x over as many of each entity's rows as had y, chosen anew by hash; draw 0 is as observed.
 
-    All rows of an entity are as likely to be chosen. They meet in one task, which
-    makes all draws; rows are sent once, not once a draw.
+    All rows of an entity are as likely to be chosen: those of least draw number (then unit and x). They
+    meet in one task, which makes all draws; rows are sent once, not once a draw.
     """
-    r = df.where(F.col(y).isNotNull() & F.col(x).isNotNull() & F.col(entity).isNotNull()).select(F.col(entity).alias("e"), F.col(y).alias("y"), F.col(x).cast("double").alias("x"), F.xxhash64(*df.columns).alias("id"))
+    r = df.where(F.col(y).isNotNull() & F.col(x).isNotNull() & F.col(entity).isNotNull()).select(F.col(entity).alias("e"), F.col(y).cast("boolean").alias("y"), F.col(x).cast("double").alias("x"), F.coalesce(F.col(unit).cast("string"), F.lit("")).alias("unit"))
+    r = r.withColumn("id", unit_number(F.col("unit")))
     seen = r.where("y").agg(F.sum("x").alias("statistic")).select(F.lit(0).alias("draw"), "statistic")
 
     def chosen(own: pd.DataFrame) -> np.ndarray:
@@ -181,12 +210,8 @@ def randomized(df: DataFrame, entity: str, y: str, x: str, draws: int, seed: int
         keys, x, ids = own["e"].to_numpy(), own["x"].to_numpy(), own["id"].to_numpy()
         no = np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])])
         most, size = np.bincount(no, own["y"].to_numpy(float)), np.bincount(no)
-        first = np.arange(len(no)) - (np.cumsum(size) - size)[no] < most[no]  # in order of hash
-        out = np.zeros(draws)
-        for d in range(draws):
-            before = int(_xxhash64(d + 1, int(_xxhash64(seed, 42, False)[0]), False)[0])
-            out[d] = x[np.lexsort((_xxhash64(ids, before, True).view(np.int64), no))[first]].sum()
-        return out
+        first = np.arange(len(no)) - (np.cumsum(size) - size)[no] < most[no]  # in order of the draw
+        return np.array([x[np.argsort(no * PRIME + draw_number(ids, *draw_coefficients(seed, d + 1)), kind="stable")][first].sum() for d in range(draws)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, parts = np.zeros(draws), []
@@ -204,7 +229,8 @@ def randomized(df: DataFrame, entity: str, y: str, x: str, draws: int, seed: int
         yield pd.DataFrame({"draw": np.arange(1, draws + 1, dtype=np.int32), "statistic": out})
 
     some = seen.where("statistic is not null").select(F.lit(True).alias("any"))  # no draws if no row had y
-    sums = r.repartition("e").sortWithinPartitions("e", "id", "x").mapInPandas(run, "draw int, statistic double").groupBy("draw").agg(F.sum("statistic").alias("statistic"))
+    laid = r.repartition("e").sortWithinPartitions("e", "unit", "x").select("e", "y", "x", "id")
+    sums = laid.mapInPandas(run, "draw int, statistic double").groupBy("draw").agg(F.sum("statistic").alias("statistic"))
     return seen.unionByName(sums.join(F.broadcast(some)).select("draw", "statistic"))
 
 
@@ -223,6 +249,35 @@ def surface(df: DataFrame, cell: Sequence[str], z: Sequence[str], y: str) -> Dat
     return df.groupBy(*cell).agg(F.count("*").alias("n"), *[F.sum(v).alias(f"s_{a}") for v, a in zip(c, names, strict=True)], *[F.sum(c[i] * c[j]).alias(f"s_{names[i]}_{names[j]}") for i in range(len(c)) for j in range(i, len(c))])
 
 
+def surface_fits(df: DataFrame, cell: Sequence[str], z: Sequence[str], y: str) -> DataFrame:
+    """(cell, n, coefficients, standardized): each cell's OLS of y on z, and its value at the means of z over all rows.
+
+    coefficients has the constant first. Cells whose z vary too little for a solution have nulls. The cells' moments are
+    solved in batches where they lie; only the k global means reach the driver.
+    """
+    k = len(z)
+    m = surface(df, cell, z, y)
+    whole = m.agg(F.sum("n"), *[F.sum(f"s_{a}") for a in z]).first()
+    at = np.array([1.0, *[(v or 0.0) / max(whole[0] or 0, 1) for v in whole[1:]]])
+    names = ["one", *z]
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cell)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                v = r._asdict() if all(c.isidentifier() for c in b.columns) else dict(zip(b.columns, r, strict=True))
+                of = lambda p, q: v["n"] if p == q == "one" else v[f"s_{q}"] if p == "one" else v[f"s_{p}_{q}"]  # noqa: E731, B023
+                a = np.array([[of(*((p, q) if i <= j else (q, p))) for j, q in enumerate(names)] for i, p in enumerate(names)], float)
+                right = np.array([of("one", "y"), *[v[f"s_{p}_y"] for p in z]], float)
+                good = np.isfinite(a).all() and np.linalg.matrix_rank(a) == k + 1
+                beta = np.linalg.solve(a, right) if good else None
+                out.append((*[v[c] for c in cell], v["n"], None if beta is None else beta.tolist(), None if beta is None else float(beta @ at)))
+            yield pd.DataFrame(out, columns=[*cell, "n", "coefficients", "standardized"])
+
+    return m.mapInPandas(run, f"{kinds}, n long, coefficients array<double>, standardized double")
+
+
 def roots(coef: Sequence[float], low: float, high: float) -> tuple[list[float], str]:
     """Real roots of a polynomial (constant first) within [low, high] and a status."""
     found = np.roots(list(coef)[::-1]) if any(coef[1:]) else np.array([])
