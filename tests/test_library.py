@@ -247,6 +247,47 @@ def test_random_intercept_of_many_cells(spark, monkeypatch):
     assert all(math.isclose(far[x], here[x], rel_tol=1e-6) for x in here)
 
 
+def test_fits_converge_or_raise(spark):
+    apart = spark.createDataFrame([(x, 10, 10 if x > 0 else 0) for x in (-2.0, -1.0, 1.0, 2.0)], "x double, n long, k long")
+    with pytest.raises(ArithmeticError):
+        likelihood.logit(apart, "n", "k", ["x"], most=8)
+    one = spark.createDataFrame([(1, 2.0, 0.5), (1, 3.0, 1.5), (2, 1.0, 0.2), (2, 9.0, 1.1)], "u long, k double, x double")
+    with pytest.raises(ArithmeticError):
+        likelihood.effect_poisson(one, "u", "k", ["x"], most=1)
+    with pytest.raises(ArithmeticError):
+        likelihood.binomial_mixture(spark.createDataFrame([(10, i % 11) for i in range(60)], "n long, k long"), "n", "k", 2, rounds=2)
+    with pytest.raises(ArithmeticError):
+        likelihood.conditional_logit(one.withColumn("y", (F.col("k") > 2.5).cast("double")), "u", "y", ["x"], most=1)
+    with pytest.raises(ArithmeticError):
+        likelihood.calibrate(one.withColumn("y", F.lit(1.0)), "u", "x", "y", most=1)
+    got = {r.u: (r.n, r.intercept) for r in likelihood.calibrate(one.withColumn("y", (F.col("k") > 2.5).cast("double")), "u", "x", "y").collect()}
+    for u, xs, k in ((1, (0.5, 1.5), 1), (2, (0.2, 1.1), 1)):
+        p = [1 / (1 + math.exp(-(x + got[u][1]))) for x in (*xs, 0.0, 0.0)]
+        assert got[u][0] == 2 and math.isclose(sum(p), k + 1, abs_tol=1e-8)
+    a, b = {"rate": np.array([0.1, 0.6]), "share": np.array([0.7, 0.3])}, {"rate": np.array([0.62, 0.12]), "share": np.array([0.3, 0.7])}
+    assert likelihood.aligned(a, b) == [1, 0]
+
+
+def test_clustered_errors_of_matching_and_surfaces(spark):
+    r = random.Random(11)
+    rows = [(u, r.random() < 0.5, r.choice("ab"), r.gauss(0, 1), r.random()) for u in range(30) for _ in range(r.choice([1, 4]))]
+    df = spark.createDataFrame(rows, "u long, t boolean, s string, z double, y double")
+    mean = {(s, t): np.mean([y for _, t2, s2, _, y in rows if (s2, t2) == (s, t)]) for s in "ab" for t in (True, False)}
+    size = {k: sum((s2, t2) == k for _, t2, s2, *_ in rows) for k in mean}
+    out = scores.matched_effect(df, "t", ["s"], "y", "u").first()
+    treated = size["a", True] + size["b", True]
+    part = {u: sum((y - mean[s, True]) if t else -size[s, True] / size[s, False] * (y - mean[s, False]) for v, t, s, _, y in rows if v == u) for u in range(30)}
+    assert math.isclose(out.se, math.sqrt(sum(x * x for x in part.values())) / treated, rel_tol=1e-9)
+    fits = {x.s: x for x in scores.surface_fits(df.withColumn("q", F.col("z") ** 2), ["s"], ["z", "q"], "y").collect()}
+    at = np.array([1, np.mean([z for *_, z, _ in rows]), np.mean([z * z for *_, z, _ in rows])])
+    for s in "ab":
+        z, y = (np.array([x[i] for x in rows if x[2] == s]) for i in (3, 4))
+        beta = np.linalg.lstsq(np.stack([np.ones(len(z)), z, z * z], 1), y, rcond=None)[0]
+        assert np.allclose(fits[s].coefficients, beta) and math.isclose(fits[s].standardized, beta @ at, rel_tol=1e-7)
+    flat = scores.surface_fits(df.withColumn("z", F.lit(1.0)), ["s"], ["z"], "y").collect()
+    assert all(x.coefficients is None and x.standardized is None for x in flat)
+
+
 def test_grouped_sums_cross_batches(spark):
     df = spark.range(5000).select((F.col("id") % 7).alias("g"), "id", F.lit(1.0).alias("x"))
     rows = likelihood.Grouped(df, "g", ["id"], ["x"])
@@ -265,6 +306,14 @@ def test_scores(spark):
     assert sorted((x.c, x.v_filled, x.v_missing) for x in filled.where("v_filled is not null").collect()) == [("a", 1.0, False), ("a", 2.0, True), ("a", 3.0, False)]
 
 
+def number(unit, draw):
+    """The draw number by its definition."""
+    digest = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:15], 16) % (2**31 - 1)
+    a, b, c, d = (digest(f"1|{draw}|{j}") for j in range(4))
+    x = digest(str(unit))
+    return (a * x**3 + b * x**2 + c * x + d) % (2**31 - 1)
+
+
 def test_rematch_in_order_of_hash(spark):
     r = random.Random(7)
     rows = [(r.choice("abc"), i, r.random() < 0.4, r.random()) for i in range(120)]
@@ -275,7 +324,7 @@ def test_rematch_in_order_of_hash(spark):
         for draw in got:
             gaps = []
             for cell in "abc":
-                own = sorted((hashlib.md5(f"1|{draw}|{i}".encode()).hexdigest(), t, y) for c, i, t, y in rows if c == cell)
+                own = sorted((number(i, draw), t, y) for c, i, t, y in rows if c == cell)
                 case, control = ([y for _, t, y in own if t == side] for side in (True, False))
                 gaps += [a - sum(b) / len(b) for a, b in zip(case, (control[j : j + k] for j in range(0, len(control), k)), strict=False)]
             assert got[draw][0] == len(gaps) and math.isclose(got[draw][1], sum(gaps) / len(gaps), rel_tol=1e-9)
@@ -285,12 +334,11 @@ def test_randomized_in_order_of_hash(spark):
     r = random.Random(8)
     rows = [(u, i, r.random() < 0.3, r.random()) for u in range(9) for i in range(r.choice([1, 4, 30, 300]))]
     df = spark.createDataFrame(rows, "u long, i long, y boolean, x double").repartition(3)
-    got = {x.draw: x.statistic for x in scores.randomized(df, "u", "y", "x", 12).collect()}
-    hashes = df.select("u", "y", "x", F.xxhash64("u", "i", "y", "x").alias("id")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("h", F.xxhash64(F.lit(1), "draw", "id")).collect()
+    got = {x.draw: x.statistic for x in scores.randomized(df, "u", "y", "x", "i", 12).collect()}
     want = {0: sum(x for _, _, y, x in rows if y)}
     for d in range(1, 13):
-        own = [sorted((z.h, z.x) for z in hashes if (z.draw, z.u) == (d, u))[: sum(y for v, _, y, _ in rows if v == u)] for u in range(9)]
-        want[d] = sum(x for o in own for _, x in o)
+        own = [sorted((number(i, d), str(i), x) for v, i, _, x in rows if v == u)[: sum(y for v, _, y, _ in rows if v == u)] for u in range(9)]
+        want[d] = sum(x for o in own for *_, x in o)
     assert sorted(got) == sorted(want) and all(math.isclose(got[d], want[d], rel_tol=1e-9) for d in want)
 
 
