@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerwake.operators.skew import running_labels
+from ledgerwake.session import materialize, release
 
 
 def _none() -> Column:
@@ -270,6 +271,99 @@ def after_game(rating: float, rd: float, sigma: float, other: float, other_rd: f
     return rating + GLICKO_SCALE * new * new * g * (score - expected), min(law.most_rd, max(law.least_rd, GLICKO_SCALE * new)), s
 
 
+def _last_n(df: DataFrame, w: int) -> DataFrame:
+    """Adds the features of the first ``w`` of the structs (no, t, v) of ``xs``, which run backward in time.
+
+    Sums come from one walk over the values, taken from the first of them against cancellation.
+    """
+    at = lambda i: F.get("xs", F.lit(i))["t"]
+    base = F.get("xs", F.lit(0))["v"]
+    df = df.withColumn("z", F.transform(F.slice("xs", 1, w), lambda x: x["v"] - base)).withColumn("miss", F.size(F.filter("z", lambda x: x.isNull())))
+    none = F.struct(*[F.lit(0.0).alias(c) for c in ("i", "s", "ss", "si")])
+    step = lambda a, x: F.struct((a["i"] + 1).alias("i"), (a["s"] + x).alias("s"), (a["ss"] + x * x).alias("ss"), (a["si"] + x * (a["i"] - (w - 1) / 2)).alias("si"))
+    tie = F.coalesce(at(w - 1) == at(w), F.lit(False))
+    good = (F.size("xs") >= w) & F.get("xs", F.lit(0))["v"].isNotNull() & (F.col("miss") == 0) & ~tie
+    df = df.withColumn("ok", good).withColumns({"a": F.when(F.col("ok"), F.aggregate("z", none, step)), "sorted": F.when(F.col("ok"), F.array_sort("z"))})
+    syy = F.greatest(F.col("a.ss") - F.pow(F.col("a.s"), 2) / w, F.lit(0.0))
+
+    def quantile(p: float) -> Column:
+        low = int(p * (w - 1))
+        a, b = F.get("sorted", F.lit(low)), F.get("sorted", F.lit(min(low + 1, w - 1)))
+        return a + (b - a) * (p * (w - 1) - low)
+
+    numbers = {
+        "sd": F.sqrt(syy / (w - 1)),
+        "iqr": quantile(0.75) - quantile(0.25),
+        "detrended": F.sqrt(F.greatest(syy - F.pow(F.col("a.si"), 2) / (w * (w * w - 1) / 12), F.lit(0.0)) / (w - 2)),
+        "span": (at(0) - at(w - 1)) / 86_400_000,
+    }
+    missing = F.when(F.size("xs") >= w, F.size(F.filter(F.slice("xs", 1, w), lambda x: x["v"].isNull())))
+    df = df.withColumns({**{f"{name}{w}": F.when(F.col("ok"), c) for name, c in numbers.items()}, f"missing{w}": missing, f"tie{w}": tie})
+    return df.drop("z", "miss", "ok", "a", "sorted")
+
+
+def last_n_features(history: DataFrame, targets: DataFrame, by: str, at: str, value: str, ties: Sequence[str], row: Sequence[str], target_at: str, widths: Sequence[int] = (50, 100), target_rows: int = 100_000) -> DataFrame:
+    """(row, n_prior, age_days and, for each width W, sdW, iqrW, detrendedW, spanW, missingW, tieW) of each target row.
+
+    They describe the last W rows of ``history`` strictly before the target's time, in the order of
+    (``at``, ``ties``): standard deviation, interquartile range, standard deviation about a straight line over
+    the position, days from the first to the last, and how many have no value. tieW says that the W-th row
+    shares its time with the one before it, so that the cut is arbitrary. With a tie, a missing value or fewer than W rows the
+    numbers are null. n_prior counts up to max(widths) + 1, age_days is the time since the last row.
+
+    Rows are numbered per entity (see running_labels) and kept in blocks of max(widths) + 1; a target
+    meets its own block and the one before, so its cost does not depend on the entity's rows. ``row`` tells
+    targets apart; repeated ones give one row. Null keys and times match nothing; repeated history rows count once.
+    """
+    size = max(widths) + 1
+    h = history.select(F.col(by).alias("b"), F.col(at).cast("long").alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(ties)], F.col(value).cast("double").alias("v")).where("b is not null and t is not null").distinct()
+    keys = [f"k{i}" for i in range(len(ties))]
+    asked = targets.select(*row, F.col(by).alias("__b"), F.col(target_at).cast("long").alias("__t")).distinct()
+    q = asked.where("__b is not null and __t is not null").select(F.col("__b").alias("b"), F.col("__t").alias("t"), F.struct(*row).alias("ask"))
+    rows = h.withColumns({"kind": F.lit(1), "ask": _none().cast(q.schema["ask"].dataType)}).unionByName(q.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    runs = running_labels(rows, "b", "t", "t", lambda _: F.col("kind") == 1, ["kind", *keys, "v"], target_rows, "__prior", "no")
+    block = F.floor((F.col("no") - 1) / size)
+    blocks = runs.where("kind = 1").select("b", F.explode(F.array(block, block + 1)).alias("block"), F.struct(F.col("no").alias("no"), "t", "v").alias("x")).groupBy("b", "block").agg(F.collect_list("x").alias("xs"))  # at most two blocks of rows
+    wanted = runs.where("kind = 0").select("b", "t", "ask", F.col("no").alias("n"), block.alias("block"))
+    near = wanted.join(blocks, ["b", "block"], "left")
+    last = F.reverse(F.array_sort(F.filter("xs", lambda x: (x["no"] <= F.col("n")) & (x["no"] > F.col("n") - size))))
+    near = near.select("ask", "t", F.coalesce(last, F.array().cast(near.schema["xs"].dataType)).alias("xs"))
+    near = near.withColumns({"n_prior": F.size("xs"), "age_days": (F.col("t") - F.get("xs", F.lit(0))["t"]) / 86_400_000})
+    for w in widths:
+        near = _last_n(near, w)
+    found = near.select(*[F.col("ask")[c].alias(c) for c in row], *[c for c in near.columns if c not in ("ask", "t", "xs")])
+    return found.unionByName(asked.where("__b is null or __t is null").select(*row, F.lit(0).alias("n_prior")), allowMissingColumns=True)
+
+
+def spaced(df: DataFrame, by: str, at: str, horizon: int) -> DataFrame:
+    """(by, at): times taken greedily from the first on, each more than ``horizon`` after the last one taken.
+
+    Every time knows its successor, the first time more than the horizon later; the
+    taken ones are the chain of successors of the entity's first. The chain is
+    followed by doubling: rounds grow with the logarithm of its length, and no task gets a whole
+    entity. Rows with a null in by or at are left out; repeated ones count once.
+    """
+    times = df.select(F.col(by).alias("b"), F.col(at).cast("long").alias("t")).na.drop().distinct()
+    asked = times.withColumn("from", F.col("t") + horizon)
+    to = asof_join(asked, times.select("b", F.col("t").alias("u")).withColumn("one", F.lit(1)), ["b"], "from", "u", ["one"], direction="forward")
+    jumps = materialize(to.select("b", "t", F.col("asof_u").alias("to")), "jumps")
+    taken = materialize(jumps.groupBy("b").agg(F.min("t").alias("t")), "taken")
+    while True:
+        # what is taken grows by the ends of jumps of 1, 2, 4, ... steps
+        more = taken.join(jumps, ["b", "t"]).where("to is not null").select("b", F.col("to").alias("t"))
+        grown_by = materialize(taken.unionByName(more).distinct(), "taken")
+        same = grown_by.count() == taken.count()
+        release(taken)
+        taken = grown_by
+        if same:
+            release(jumps)
+            return taken.select(F.col("b").alias(by), F.col("t").alias(at))
+        ends = jumps.select("b", F.col("t").alias("to"), F.col("to").alias("further"))
+        doubled = materialize(jumps.join(ends, ["b", "to"], "left").select("b", "t", F.col("further").alias("to")), "jumps")
+        release(jumps)
+        jumps = doubled
+
+
 def rating_replay(games: DataFrame, pool: str, at: str, game: str, players: tuple[str, str], ratings: tuple[str, str], score: str, observed: str, law: ReplayLaw | None = None) -> DataFrame:
     """Two-party states of each pool's games, replayed strictly in the order of (``at``, ``game``).
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerwake.operators import temporal as op
+from ledgerwake.operators.anomaly import Baseline, observed_grid, seasonal_scores
 from ledgerwake.operators.contracts import conflicts, nested
 from ledgerwake.functions import columns as cols
 from ledgerwake.operators.skew import exact_quantiles, row_ids, running_labels
@@ -154,14 +155,17 @@ def horizon_counts(spark, sf):
     return op.window_counts(asked, decided, ["chooser"], ["row_id", "anchor_ms"], "anchor_ms", "t", spans).where("n_90d > 0")
 
 
-_EXPERIENCE = "CASE WHEN earlier = 0 THEN 'new' WHEN earlier < 5 THEN 'some' ELSE 'many' END"
+_EXPERIENCE = "CASE WHEN earlier = 0 THEN 'NC' WHEN drawn > 0 THEN 'PG' ELSE 'PC' END"
 
 
-@query(f"""WITH {_DECIDED} SELECT a.gid, a.chooser, a.t, {_EXPERIENCE} AS experience FROM (SELECT gid, chooser, t, count(*) OVER (PARTITION BY chooser ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM decided) a""")
+@query(f"""WITH {_DECIDED} SELECT a.gid, a.chooser, a.t, {_EXPERIENCE} AS experience FROM (SELECT gid, chooser, t, count(*) OVER w AS earlier, coalesce(sum(y::INT) OVER w, 0) AS drawn FROM decided WINDOW w AS (PARTITION BY chooser ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) a""")
 def experience_class(spark, sf):
-    """Strictly earlier decisions of the chooser; peers at the same time do not count."""
-    decided = _decided(spark, sf)
-    counts = op.window_counts(decided, decided, ["chooser"], ["gid", "chooser", "t", "ord"], "t", "t", {"earlier": (-(10**13), 0)})
+    """What the chooser did strictly before: gave a draw (PG), only claimed wins (PC) or never chose (NC); peers at the same time do not count."""
+    decided, row, ever = _decided(spark, sf), ["gid", "chooser", "t", "ord", "start_ms", "counterparty", "fair", "y"], (-(10**13), 0)
+    every = op.window_counts(decided, decided, ["chooser"], row, "t", "t", {"earlier": ever})
+    drawn = op.window_counts(decided, decided.where("y"), ["chooser"], row, "t", "t", {"drawn": ever})
+    on = [every[c].eqNullSafe(drawn[c]) for c in row]
+    counts = every.join(drawn, on).select(*[every[c] for c in ("gid", "chooser", "t")], "earlier", "drawn")
     return counts.select("gid", "chooser", "t", F.expr(_EXPERIENCE).alias("experience"))
 
 
@@ -174,6 +178,12 @@ def at_risk_cooldown(spark, sf):
     return out.select("recipient_id", "anchor_ms", F.coalesce(F.col("anchor_ms") > F.col("asof_before") + _HORIZON, F.lit(True)).alias("at_risk"))
 
 
+@query(f"""WITH RECURSIVE {_ASKED}, a AS (SELECT DISTINCT recipient_id AS r, anchor_ms AS t FROM asked), k(r, t) AS (SELECT r, min(t) FROM a GROUP BY r UNION ALL SELECT r, n FROM (SELECT k.r, min(a.t) AS n FROM k JOIN a ON a.r = k.r AND a.t > k.t + {_HORIZON} GROUP BY k.r, k.t) z) SELECT r AS recipient_id, t AS anchor_ms FROM k""")
+def spaced_anchors(spark, sf):
+    """Anchors taken one after another, each more than the horizon after the last one taken."""
+    return op.spaced(_asked(spark, sf), "recipient_id", "anchor_ms", _HORIZON)
+
+
 _GAP = 6 * 3_600_000
 _SESSIONS = f"""{_SIDES}, m AS (SELECT DISTINCT player, game_id, utc_ms FROM sides), f AS (SELECT *, utc_ms - lag(utc_ms) OVER w >= {_GAP} OR lag(utc_ms) OVER w IS NULL AS opens FROM m WINDOW w AS (PARTITION BY player ORDER BY utc_ms, game_id)),
   s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY player ORDER BY utc_ms, game_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session_no FROM f)"""
@@ -241,23 +251,38 @@ def overlap_guard(spark, sf):
     return near.select("player", "game_id", "utc_ms", (F.col("n") > 1).alias("crowded"))
 
 
-@query("""WITH h AS (SELECT (epoch_ms(ts) // 3600000) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2), span AS (SELECT min(hour) AS lo, max(hour) AS hi FROM h),
-  grid AS (SELECT hour, event_type FROM (SELECT unnest(range(lo, hi + 1)) AS hour FROM span), (SELECT DISTINCT event_type FROM h)), full_grid AS (SELECT hour, event_type, coalesce(n, 0) AS n FROM grid LEFT JOIN h USING (hour, event_type)),
-  refs AS (SELECT a.hour, a.event_type, a.n, b.n AS r FROM full_grid a JOIN full_grid b ON a.event_type = b.event_type AND b.hour - a.hour IN (-48, -24, 24, 48)),
-  med AS (SELECT hour, event_type, n, median(r) AS m, list(r) AS rs FROM refs GROUP BY ALL HAVING count(*) >= 3)
-  SELECT hour, event_type, n, m AS centre, list_median(list_transform(rs, lambda x: abs(x - m))) AS mad FROM med""".replace("list_median(", "list_aggregate(").replace("abs(x - m)))", "abs(x - m)), 'median')"))
+#: Hours of the events' 30 days: three days to either side, traffic of five hours before.
+_HOURLY = Baseline(offsets=tuple(24 * d for d in (-3, -2, -1, 1, 2, 3)), traffic=(6, 1), least_traffic=20.0)
+
+
+def _seasonal_sql(counts: str) -> str:
+    """Text of the seasonal scores of ``counts`` (series, hour, n) over covered hours, named scored."""
+    return f"""h AS ({counts}), covered AS (SELECT epoch_ms(ts) // 3600000 AS hour, count(*) AS n FROM events GROUP BY 1),
+  grid AS (SELECT s.series, c.hour, coalesce(h.n, 0) AS n FROM covered c CROSS JOIN (SELECT DISTINCT series FROM h) s LEFT JOIN h ON h.series = s.series AND h.hour = c.hour),
+  traffic AS (SELECT c.hour + k.k AS hour, sum(c.n) AS t FROM covered c, range(2, 7) k(k) GROUP BY 1 HAVING count(*) = 5),
+  g AS (SELECT grid.*, t FROM grid LEFT JOIN traffic USING (hour)),
+  refs AS (SELECT a.series, a.hour, a.n, list(CASE WHEN a.t >= 20 AND b.t >= 20 AND a.t / b.t BETWEEN 0.25 AND 4 THEN b.n * (a.t / b.t) END) FILTER (WHERE a.t >= 20 AND b.t >= 20 AND a.t / b.t BETWEEN 0.25 AND 4) AS r
+    FROM g a LEFT JOIN g b ON a.series = b.series AND b.hour - a.hour IN (-72, -48, -24, 24, 48, 72) GROUP BY 1, 2, 3),
+  m AS (SELECT *, coalesce(len(r), 0) AS refs, list_aggregate(r, 'median') AS expected FROM refs), d AS (SELECT *, list_aggregate(list_transform(r, lambda x: abs(x - expected)), 'median') AS mad FROM m),
+  scored AS (SELECT series, hour, n, refs, expected, mad, CASE WHEN refs >= 4 THEN (n - expected) / greatest(sqrt(greatest(expected, 0) + 1), 1.4826 * mad) END AS score, CASE WHEN refs >= 4 THEN n / greatest(expected, 5) END AS ratio, n - expected AS excess FROM d)"""
+
+
+def _hourly(spark: SparkSession, sf: str, *by: str | F.Column) -> DataFrame:
+    e = table(spark, sf, "events").withColumn("hour", F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 3_600_000))
+    return e.groupBy(*by, "hour").agg(F.count("*").alias("n"))
+
+
+def _seasonal(spark: SparkSession, sf: str, counts: DataFrame) -> DataFrame:
+    covered = _hourly(spark, sf)
+    return seasonal_scores(observed_grid(counts, covered, "series", "hour"), "series", "hour", _HOURLY, covered)
+
+
+@query(f"""WITH {_seasonal_sql("SELECT event_type AS series, epoch_ms(ts) // 3600000 AS hour, count(*) AS n FROM events GROUP BY 1, 2")}
+  SELECT series, hour, n, refs, {", ".join(f"round({c}, 6) AS {c}" for c in ("expected", "mad", "score", "ratio", "excess"))} FROM scored""")
 def hourly_anomaly(spark, sf):
-    """Each hour against the same hour of nearby days: centre and median absolute deviation; unobserved hours in the span count 0."""
-    e = table(spark, sf, "events").withColumn("hour", F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 3_600_000)).groupBy("hour", "event_type").agg(F.count("*").alias("n"))
-    ends = e.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
-    grid = e.select("event_type").distinct().crossJoin(F.broadcast(ends)).select("event_type", F.explode(F.sequence("lo", "hi")).alias("hour"))  # one row of ends
-    full = grid.join(e, ["hour", "event_type"], "left").na.fill(0, ["n"])
-    shifted = full.select("event_type", "hour", "n", F.explode(F.array(*map(F.lit, (-48, -24, 24, 48)))).alias("off")).select("event_type", (F.col("hour") + F.col("off")).alias("hour"), F.col("n").alias("r"))
-    refs = full.join(shifted, ["hour", "event_type"]).groupBy("hour", "event_type", "n").agg(F.median("r").alias("centre"), F.collect_list("r").alias("rs")).where("size(rs) >= 3")  # at most 4 references
-    near = F.sort_array(F.transform("rs", lambda x: F.abs(x - F.col("centre"))))
-    half = F.size("rs")
-    mid = (F.element_at(near, F.floor((half + 1) / 2).cast("int")) + F.element_at(near, F.floor(half / 2).cast("int") + 1)) / 2
-    return refs.select("hour", "event_type", "n", "centre", mid.alias("mad"))
+    """Each hour against the same hour of nearby days, adjusted for traffic; hours without any event are missing, not 0."""
+    out = _seasonal(spark, sf, _hourly(spark, sf, F.col("event_type").alias("series")))
+    return out.withColumns({c: F.round(c, 6) for c in ("expected", "mad", "score", "ratio", "excess")})
 
 
 @query(f"""WITH {_SIDES}, d AS (SELECT player, utc_ms // {DAY} AS day, count(DISTINCT game_id) AS n FROM sides GROUP BY 1, 2)
@@ -285,30 +310,68 @@ def roster_four_weeks(spark, sf):
     return w.groupBy("player").agg(*[F.bool_or(F.col("week") == k).alias(f"w{k}") for k in range(4)])
 
 
-@query(f"""WITH {_DECIDED}, d AS (SELECT chooser, t, avg(CASE WHEN y THEN 1.0 ELSE 0.0 END) AS y FROM decided GROUP BY 1, 2)
-  SELECT chooser, t, count(*) OVER w AS n, round(avg(y) OVER w, 6) AS mean, t - min(t) OVER w AS span FROM d WINDOW w AS (PARTITION BY chooser ORDER BY t ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""")
+_WIDTHS = (10, 50, 100)
+
+
+def _last_n_sql(w: int) -> str:
+    own = f"FILTER (WHERE k <= {w})"
+    tie = f"coalesce(max(t) FILTER (WHERE k = {w}) = max(t) FILTER (WHERE k = {w + 1}), false)"
+    good = f"c >= {w} AND count(r) {own} = {w} AND NOT {tie}"
+    when = lambda x, name: f"CASE WHEN {good} THEN round({x}, 5) END AS {name}{w}"
+    det = f"sqrt(greatest(regr_syy(r, k) {own} - pow(regr_sxy(r, k) {own}, 2) / (regr_sxx(r, k) {own}), 0) / {w - 2})"
+    return ", ".join([
+        when(f"stddev_samp(r) {own}", "sd"), when(f"(quantile_cont(r, 0.75) {own}) - (quantile_cont(r, 0.25) {own})", "iqr"), when(det, "detrended"),
+        when(f"(max(t) {own} - min(t) {own}) / {DAY}::DOUBLE", "span"), f"CASE WHEN c >= {w} THEN (count(*) {own} - count(r) {own})::INT END AS missing{w}", f"{tie} AS tie{w}",
+    ])
+
+
+@query(f"""WITH {_ASKED}, {_SIDES}, h AS (SELECT DISTINCT player, utc_ms AS t, archive_ordinal, game_id, CASE WHEN elo BETWEEN 400 AND 4000 THEN elo::DOUBLE END AS r FROM sides),
+  n AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY t, archive_ordinal, game_id, r NULLS FIRST) AS i FROM h), a AS (SELECT DISTINCT row_id, recipient_id, anchor_ms FROM asked),
+  q AS (SELECT a.row_id, a.recipient_id, a.anchor_ms, count(h.t) AS c FROM a LEFT JOIN h ON h.player = a.recipient_id AND h.t < a.anchor_ms GROUP BY ALL),
+  l AS (SELECT q.*, n.t, n.r, c - n.i + 1 AS k FROM q LEFT JOIN n ON n.player = q.recipient_id AND n.i <= c AND n.i > c - 101)
+  SELECT row_id, anchor_ms, least(c, 101)::INT AS n_prior, round((anchor_ms - max(t)) / {DAY}::DOUBLE, 5) AS age_days, {", ".join(_last_n_sql(w) for w in _WIDTHS)} FROM l GROUP BY row_id, recipient_id, anchor_ms, c""")
 def last_n_features(spark, sf):
-    """Mean and age of the last five earlier decision times; ties are collapsed first."""
-    d = _decided(spark, sf).groupBy("chooser", "t").agg(F.avg(F.when(F.col("y"), 1.0).otherwise(0.0)).alias("y"))
-    w = Window.partitionBy("chooser").orderBy("t").rowsBetween(-5, -1)
-    return d.select("chooser", "t", F.count("*").over(w).alias("n"), F.round(F.avg("y").over(w), 6).alias("mean"), (F.col("t") - F.min("t").over(w)).alias("span"))
+    """Spread, trend and span of the recipient's last 10, 50 and 100 ratings before the anchor."""
+    h = _sides(spark, sf).withColumn("r", F.when(F.col("elo").between(400, 4000), F.col("elo").cast("double")))
+    asked = _asked(spark, sf).select("row_id", F.col("recipient_id").alias("player"), "anchor_ms")
+    out = op.last_n_features(h, asked, "player", "utc_ms", "r", ["archive_ordinal", "game_id"], ["row_id", "player", "anchor_ms"], "anchor_ms", _WIDTHS).drop("player")
+    return out.withColumns({c: F.round(c, 5) for c in out.columns if c.startswith(("age", "sd", "iqr", "detrended", "span"))})
 
 
 _ANGLE = f"2 * pi() * (utc_ms % {DAY}) / {DAY}e0"
+_YEAR = f"CASE WHEN utc_ms >= {1_704_067_200_000} THEN 2 ELSE 1 END"
 
 
-@query(f"""WITH {_SIDES}, m AS (SELECT player, count(*) AS n, sum(cos({_ANGLE})) AS c, sum(sin({_ANGLE})) AS s FROM sides GROUP BY player)
-  SELECT player, n, round(sqrt(c * c + s * s) / n, 6) AS concentration, round((atan2(s, c) / (2 * pi()) * 24 + 24) % 24, 4) AS phase FROM m WHERE n >= 10""")
+@query(f"""WITH {_SIDES}, m AS (SELECT player, {_YEAR} AS half, count(*) AS n, count(DISTINCT utc_ms // {DAY}) AS days, sum(cos({_ANGLE})) AS c, sum(sin({_ANGLE})) AS s FROM sides GROUP BY 1, 2),
+  p AS (SELECT player, half, n, days, sqrt(c * c + s * s) / n AS concentration, (atan2(s, c) / (2 * pi()) * 24 + 24) % 24 AS phase FROM m WHERE n >= 5 AND days >= 3)
+  SELECT a.player, a.n, b.n AS n_later, round(a.concentration, 6) AS concentration, round(a.phase, 4) AS phase, CASE WHEN a.concentration >= 0.2 AND b.concentration >= 0.2 THEN round(least(abs(a.phase - b.phase), 24 - abs(a.phase - b.phase)), 4) END AS distance
+  FROM p a LEFT JOIN p b ON b.player = a.player AND b.half = 2 WHERE a.half = 1""")
 def circular_phase(spark, sf):
-    m = _sides(spark, sf).groupBy("player").agg(F.count("*").alias("n"), F.expr(f"sum(cos({_ANGLE}))").alias("c"), F.expr(f"sum(sin({_ANGLE}))").alias("s")).where("n >= 10")
-    return m.select("player", "n", F.round(F.hypot("c", "s") / F.col("n"), 6).alias("concentration"), F.round(F.expr("pmod(atan2(s, c) / (2 * pi()) * 24 + 24, 24)"), 4).alias("phase"))
-
-
-@query("SELECT game_id, chooser_elo, (chooser_elo + 50) // 100 * 100 AS mark, chooser_elo - (chooser_elo + 50) // 100 * 100 AS off, sign(chooser_elo - (chooser_elo + 50) // 100 * 100)::INT AS side FROM (SELECT DISTINCT game_id, chooser_elo FROM analysis_panel WHERE chooser_elo > 0)")
+    """Time of day that a player's games centre on, and how far it moved from one year to the next.
+
+    A year counts with at least 5 games on 3 days, a distance only where both years are concentrated.
+    """
+    m = _sides(spark, sf).groupBy("player", F.expr(_YEAR).alias("half")).agg(F.count("*").alias("n"), F.count_distinct(F.floor(F.col("utc_ms") / DAY)).alias("days"), F.expr(f"sum(cos({_ANGLE}))").alias("c"), F.expr(f"sum(sin({_ANGLE}))").alias("s"))
+    p = m.where("n >= 5 and days >= 3").select("player", "half", "n", (F.hypot("c", "s") / F.col("n")).alias("concentration"), F.expr("pmod(atan2(s, c) / (2 * pi()) * 24 + 24, 24)").alias("phase"))
+    year = lambda k: F.max(F.when(F.col("half") == k, F.struct("n", "concentration", "phase"))).alias(f"y{k}")
+    both = p.groupBy("player").agg(year(1), year(2)).where("y1 is not null")
+    apart = F.abs(F.col("y1.phase") - F.col("y2.phase"))
+    distance = F.when((F.col("y1.concentration") >= 0.2) & (F.col("y2.concentration") >= 0.2), F.round(F.least(apart, 24 - apart), 4))
+    return both.select("player", F.col("y1.n").alias("n"), F.col("y2.n").alias("n_later"), F.round("y1.concentration", 6).alias("concentration"), F.round("y1.phase", 4).alias("phase"), distance.alias("distance"))
+
+
+@query("""WITH e AS (SELECT quantile_cont(chooser_elo::DOUBLE, 0.5) AS q50, quantile_cont(chooser_elo::DOUBLE, 0.9) AS q90 FROM analysis_panel WHERE chooser_elo > 0), p AS (SELECT DISTINCT game_id, chooser_elo FROM analysis_panel WHERE chooser_elo > 0)
+  SELECT game_id, chooser_elo, (chooser_elo + 50) // 100 * 100 AS mark, chooser_elo - (chooser_elo + 50) // 100 * 100 AS off, sign(chooser_elo - (chooser_elo + 50) // 100 * 100)::INT AS side,
+    (chooser_elo + 8) // 100 > (chooser_elo - 8) // 100 AS crosses_100, chooser_elo + 8 >= q50 AND chooser_elo - 8 < q50 AS crosses_p50, chooser_elo + 8 >= q90 AND chooser_elo - 8 < q90 AS crosses_p90 FROM p, e""")
 def nearest_threshold(spark, sf):
+    """The nearest round rating, and whether a win (8 points up) lies beyond a round or quantile boundary that a loss (8 down) does not."""
     mark = F.expr("(chooser_elo + 50) div 100 * 100")
-    p = table(spark, sf, "analysis_panel").where("chooser_elo > 0").select("game_id", "chooser_elo").distinct().withColumn("mark", mark)
-    return p.withColumn("off", F.col("chooser_elo") - F.col("mark")).withColumn("side", F.signum("off").cast("int"))
+    rated = table(spark, sf, "analysis_panel").where("chooser_elo > 0")
+    edges = exact_quantiles(rated.withColumn("one", F.lit(1)), "one", "chooser_elo", {"q50": 0.5, "q90": 0.9}).select("q50", "q90")
+    p = rated.select("game_id", "chooser_elo").distinct().withColumn("mark", mark).crossJoin(F.broadcast(edges))  # one row of edges
+    p = p.withColumn("off", F.col("chooser_elo") - F.col("mark")).withColumn("side", F.signum("off").cast("int"))
+    beyond = [((F.col("chooser_elo") + 8 >= F.col(q)) & (F.col("chooser_elo") - 8 < F.col(q))).alias(f"crosses_{q.replace('q', 'p')}") for q in ("q50", "q90")]
+    return p.select("game_id", "chooser_elo", "mark", "off", "side", F.expr("(chooser_elo + 8) div 100 > (chooser_elo - 8) div 100").alias("crosses_100"), *beyond)
 
 
 @query("""WITH h AS (SELECT n_all_time AS v, count(*) AS n FROM scores_main WHERE n_all_time IS NOT NULL GROUP BY 1), c AS (SELECT v, (sum(n) OVER (ORDER BY v))::DOUBLE / (SELECT sum(n) FROM h) AS p FROM h)
@@ -357,18 +420,21 @@ def rolling_grid(spark, sf):
     return g.select("event_type", "hour", "n", total(-5, 0).alias("trailing"), total(-3, 3).alias("centred"), total(-8, -3).alias("earlier"))
 
 
-@query(f"""WITH e AS (SELECT event_type, epoch_ms(ts) // {DAY} AS day, ('0x' || substr(md5(user_id::VARCHAR), 1, 8))::BIGINT % 2 AS fold, count(*) AS n FROM events GROUP BY ALL),
-  z AS (SELECT event_type, day, fold, n, n - median(n) OVER (PARTITION BY event_type, fold) AS off FROM e), s AS (SELECT * FROM z WHERE fold = 0 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY off DESC, day) <= 5)
-  SELECT s.event_type, s.day, s.off AS found_off, coalesce(z.off > 0, false) AS replicated FROM s LEFT JOIN z ON z.event_type = s.event_type AND z.day = s.day AND z.fold = 1""")
+_HALF = "(('0x' || substr(md5(user_id::VARCHAR), 1, 8))::BIGINT % 2)"
+
+
+@query(f"""WITH {_seasonal_sql(f"SELECT event_type || {_HALF} AS series, epoch_ms(ts) // 3600000 AS hour, count(*) AS n FROM events GROUP BY 1, 2")},
+  z AS (SELECT left(series, length(series) - 1) AS event_type, right(series, 1) AS fold, * FROM scored), s AS (SELECT * FROM z WHERE fold = '0' AND score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY round(score, 9) DESC, hour) <= 5)
+  SELECT s.event_type, s.hour, round(s.score, 6) AS found_score, round(z.score, 6) AS other_score, coalesce(z.score >= 1 AND z.ratio >= 0.2 AND z.excess >= 1, false) AS replicated FROM s LEFT JOIN z ON z.event_type = s.event_type AND z.hour = s.hour AND z.fold = '1'""")
 def fold_replication(spark, sf):
-    """Busy days found in one half of the users, looked up in the other half."""
-    fold = F.conv(F.substring(F.md5(F.col("user_id").cast("string")), 1, 8), 16, 10).cast("long") % 2
-    e = table(spark, sf, "events").groupBy("event_type", F.unix_date(F.to_date("ts")).cast("long").alias("day"), fold.alias("fold")).agg(F.count("*").alias("n"))
-    mid = e.groupBy("event_type", "fold").agg(F.median("n").alias("m"))
-    z = e.join(mid, ["event_type", "fold"]).select("event_type", "day", "fold", (F.col("n") - F.col("m")).alias("off"))
-    w = Window.partitionBy("event_type").orderBy(F.desc("off"), "day")
-    seeds = z.where("fold = 0").withColumn("k", F.row_number().over(w)).where("k <= 5").select("event_type", "day", F.col("off").alias("found_off"))
-    return seeds.join(z.where("fold = 1").select("event_type", "day", "off"), ["event_type", "day"], "left").select("event_type", "day", "found_off", F.coalesce(F.col("off") > 0, F.lit(False)).alias("replicated"))
+    """The most unusual hours of one half of the users, judged again in the other half."""
+    half = F.conv(F.substring(F.md5(F.col("user_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 2
+    z = _seasonal(spark, sf, _hourly(spark, sf, F.concat("event_type", half.cast("string")).alias("series")))
+    z = z.withColumns({"event_type": F.expr("left(series, length(series) - 1)"), "fold": F.expr("right(series, 1)")})
+    w = Window.partitionBy("event_type").orderBy(F.desc(F.round("score", 9)), "hour")
+    seeds = z.where("fold = '0' and score is not null").withColumn("k", F.row_number().over(w)).where("k <= 5").select("event_type", "hour", F.round("score", 6).alias("found_score"))
+    other = z.where("fold = '1'").select("event_type", "hour", F.round("score", 6).alias("other_score"), ((F.col("score") >= 1) & (F.col("ratio") >= 0.2) & (F.col("excess") >= 1)).alias("ok"))
+    return seeds.join(other, ["event_type", "hour"], "left").select("event_type", "hour", "found_score", "other_score", F.coalesce("ok", F.lit(False)).alias("replicated"))
 
 
 @query(f"""WITH {_ASKED}, {_DECIDED}, h AS (SELECT a.row_id, a.anchor_ms, d.gid, d.ord FROM asked a JOIN decided d ON d.chooser = a.opponent_id AND d.t > a.anchor_ms AND d.t <= a.anchor_ms + {_HORIZON} AND d.start_ms > a.anchor_ms AND d.counterparty <> a.recipient_id AND d.fair

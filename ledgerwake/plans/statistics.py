@@ -104,11 +104,33 @@ def leave_pair_out(spark, sf):
     return scores.pair_excluded_score(_panel(spark, sf), "u", "v", "y").withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {_PANEL}, b AS (SELECT speed, month, count(*) AS n, sum(y) AS s FROM p GROUP BY 1, 2), w AS (SELECT month, sum(n) AS n, sum(s) AS s FROM b GROUP BY 1),
-  q AS (SELECT month, (coalesce(sum(s) OVER k, 0) + 0.5::DOUBLE) / (coalesce(sum(n) OVER k, 0) + 1) AS p FROM w WINDOW k AS (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-  SELECT speed, month, round((coalesce(sum(s) OVER k, 0) + 50 * p) / (coalesce(sum(n) OVER k, 0) + 50), 6) AS reference FROM b JOIN q USING (month) WINDOW k AS (PARTITION BY speed ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+_FOLD = lambda c: f"(('0x' || substr(md5({c}::VARCHAR), 1, 8))::BIGINT % 4)::INT"
+_FOLDS = "folds AS (SELECT a.f::INT AS jf, b.f::INT AS rf FROM range(4) a(f), range(4) b(f))"
+
+
+@query(f"""WITH {_PANEL}, {_FOLDS}, b AS (SELECT speed, month, {_FOLD("u")} AS f1, {_FOLD("v")} AS f2, count(*) AS n, sum(y) AS s FROM p GROUP BY ALL),
+  o AS (SELECT b.speed, t.month, jf, rf, sum(n) AS n, sum(s) AS s FROM (SELECT DISTINCT month FROM b) t, folds, b WHERE b.month < t.month AND f1 NOT IN (jf, rf) AND f2 NOT IN (jf, rf) GROUP BY ALL),
+  w AS (SELECT month, jf, rf, (sum(s) + 0.5) / (sum(n) + 1) AS p FROM o GROUP BY ALL)
+  SELECT c.speed, w.month, w.jf, w.rf, round((coalesce(o.s, 0) + 50 * w.p) / (coalesce(o.n, 0) + 50), 6) AS reference FROM w CROSS JOIN (SELECT DISTINCT speed FROM b) c LEFT JOIN o ON o.speed = c.speed AND o.month = w.month AND o.jf = w.jf AND o.rf = w.rf""")
 def expanding_reference(spark, sf):
-    return scores.expanding_reference(_panel(spark, sf), ["speed"], "month", "y").withColumn("reference", F.round("reference", 6))
+    return scores.expanding_reference(_panel(spark, sf), "u", "v", "speed", "month", "y").withColumn("reference", F.round("reference", 6))
+
+
+_CUTOFF = 1_717_200_000_000  # June 2024
+
+
+@query(f"""WITH {_PANEL}, {_FOLDS}, h AS (SELECT u, v, speed || fair::INT::VARCHAR AS c, y, {_FOLD("u")} AS f1, {_FOLD("v")} AS f2 FROM p WHERE utc_ms < {_CUTOFF}),
+  o AS (SELECT c, jf, rf, count(*) AS n, sum(y) AS s FROM h, folds WHERE f1 NOT IN (jf, rf) AND f2 NOT IN (jf, rf) GROUP BY ALL), w AS (SELECT jf, rf, (sum(s) + 0.5) / (sum(n) + 1) AS p FROM o GROUP BY ALL),
+  m AS (SELECT c.c, w.jf, w.rf, (coalesce(o.s, 0) + 50 * w.p) / (coalesce(o.n, 0) + 50) AS m FROM w CROSS JOIN (SELECT DISTINCT c FROM h) c LEFT JOIN o ON o.c = c.c AND o.jf = w.jf AND o.rf = w.rf),
+  q AS (SELECT DISTINCT u, v, {_FOLD("v")} AS rf FROM p WHERE utc_ms >= {_CUTOFF}),
+  r AS (SELECT q.u, q.v, count(h.y) FILTER (WHERE h.v <> q.v) AS n, avg(h.y) FILTER (WHERE h.v <> q.v) AS raw, avg(m.m) FILTER (WHERE h.v <> q.v) AS expected, count(DISTINCT h.v) FILTER (WHERE h.v <> q.v) AS counterparts, count(h.y) FILTER (WHERE h.v = q.v) AS pair_removed
+    FROM q LEFT JOIN h ON h.u = q.u LEFT JOIN m ON m.c = h.c AND m.jf = h.f1 AND m.rf = q.rf GROUP BY q.u, q.v)
+  SELECT u, v, n, round(raw, 6) AS raw, round(expected, 6) AS expected, round(raw - expected, 6) AS adjusted, counterparts, pair_removed FROM r""")
+def crossfit_scores(spark, sf):
+    """Later pairs scored by what came before the cutoff."""
+    p = _panel(spark, sf).withColumn("c", F.concat("speed", F.col("fair").cast("int").cast("string")))
+    out = scores.crossfit_scores(p, p.where(F.col("utc_ms") >= _CUTOFF), "u", "v", "utc_ms", "c", "y", _CUTOFF)
+    return out.withColumns({c: F.round(c, 6) for c in ("raw", "expected", "adjusted")})
 
 
 @query(f"""WITH {_PANEL}, c AS (SELECT fair, speed, month, count(*) AS n, avg(y) AS m FROM p GROUP BY ALL), k AS (SELECT speed, month, sum(n) AS w FROM c GROUP BY 1, 2 HAVING min(n) >= 5 AND count(*) = 2),

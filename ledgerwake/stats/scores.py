@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerwake.operators.skew import exact_quantiles
 from ledgerwake.session import materialize
 
 
@@ -24,17 +25,74 @@ def pair_excluded_score(df: DataFrame, entity: str, other: str, y: str) -> DataF
     return pair.join(whole, entity).select(entity, other, (F.col("n") - F.col("np")).alias("n"), ((F.col("s") - F.col("sp")) / F.expr("nullif(n - np, 0)")).alias("score"))
 
 
-def expanding_reference(df: DataFrame, cell: Sequence[str], at: str, y: str, strength: float = 50.0) -> DataFrame:
-    """(cell, at, reference): the cell's rate over strictly earlier times, shrunk to the overall earlier rate.
+def fold_of(user: Column, folds: int) -> Column:
+    """A user's fold, by md5."""
+    return (F.conv(F.substring(F.md5(user.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % folds).cast("int")
 
-    Totals per cell and time come first, so windows run over distinct times only.
+
+def _without_folds(base: DataFrame, keys: Sequence[str], folds: int) -> DataFrame:
+    """(keys, jf, rf, n, s): sums of ``base`` (keys, own_fold, other_fold, n, s) over the rows of neither fold jf nor rf.
+
+    Every row of sums goes to at most ``folds`` squared fold pairs.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(j).alias("jf"), F.lit(r).alias("rf")) for j in range(folds) for r in range(folds)])).alias("x")
+    out = base.select("*", pairs).where("x.jf != own_fold and x.rf != own_fold and x.jf != other_fold and x.rf != other_fold")
+    return out.groupBy(*keys, F.col("x.jf").alias("jf"), F.col("x.rf").alias("rf")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
+def expanding_reference(df: DataFrame, entity: str, other: str, cell: str, at: str, y: str, strength: float = 50.0, folds: int = 4) -> DataFrame:
+    """(cell, at, jf, rf, reference): for every time and pair of folds, the cell's rate over strictly earlier times, shrunk to the overall one.
+
+    Rows whose entity or other party lies in either fold take no part, so a row may be
+    judged by a reference that neither of its parties has shaped. The overall rate has half a success added to one trial.
+    A (time, fold pair) with nothing before it has no reference. Sums by cell, time and folds come
+    first; what follows grows with the numbers of cells, times and fold pairs only.
+    """
+    base = df.where(F.col(y).isNotNull()).groupBy(F.col(cell).alias("cell"), F.col(at).alias("at"), fold_of(F.col(entity), folds).alias("own_fold"), fold_of(F.col(other), folds).alias("other_fold")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("s"))
+    sums = materialize(_without_folds(base, ["cell", "at"], folds), "fold-sums")
+    times = materialize(base.select("at").distinct(), "fold-times")
+    cells = base.select("cell").distinct()
+    later = times.select(F.col("at").alias("now"))
+    before = sums.join(F.broadcast(later), F.col("at") < F.col("now"))  # the few times of a panel
+    own = before.groupBy("cell", "now", "jf", "rf").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    whole = own.groupBy("now", "jf", "rf").agg(((F.sum("s") + 0.5) / (F.sum("n") + 1)).alias("p"))
+    grid = whole.crossJoin(F.broadcast(cells))  # times, fold pairs and cells are the result's size
+    out = grid.join(own, ["cell", "now", "jf", "rf"], "left").na.fill(0, ["n", "s"])
+    return out.select(F.col("cell").alias(cell), F.col("now").alias(at), "jf", "rf", ((F.col("s") + strength * F.col("p")) / (F.col("n") + strength)).alias("reference"))
+
+
+def crossfit_scores(history: DataFrame, queries: DataFrame, entity: str, other: str, at: str, cell: str, y: str, cutoff: int, strength: float = 50.0, folds: int = 4) -> DataFrame:
+    """Leave-pair-out means of each (entity, other) of ``queries`` at one time cutoff, raw and adjusted.
+
+    Only rows strictly before ``cutoff`` count, and none of the pair's own. Columns: entity, other, n, raw,
+    expected, adjusted (raw less expected), counterparts, pair_removed. expected is the mean reference of
+    the same rows: for each the rate of its cell over the rows before the cutoff in which neither party lies in
+    the fold of ``entity`` or ``other``, shrunk as in expanding_reference. Nothing left gives nulls, an
+    empty reference a null expected.
+
+    All sums are taken by pair and cell first; entity sums less pair sums give the rest, so no pairs of rows are formed.
     """
-    base = df.where(F.col(y).isNotNull()).groupBy(*cell, at).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("s"))
-    whole = base.groupBy(at).agg(F.sum("n").alias("tn"), F.sum("s").alias("ts")).withColumn("__one", F.lit(1))
-    before = lambda *by: Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    prior = whole.select(at, ((F.coalesce(F.sum("ts").over(before("__one")), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("tn").over(before("__one")), F.lit(0)) + 1)).alias("p"))
-    own = base.select(*cell, at, F.coalesce(F.sum("n").over(before(*cell)), F.lit(0)).alias("n"), F.coalesce(F.sum("s").over(before(*cell)), F.lit(0.0)).alias("s"))
-    return own.join(prior, at).select(*cell, at, ((F.col("s") + strength * F.col("p")) / (F.col("n") + strength)).alias("reference"))
+    h = history.where((F.col(at) < cutoff) & F.col(y).isNotNull()).na.drop(subset=[entity, other, cell])
+    base = materialize(h.groupBy(F.col(entity).alias("j"), F.col(other).alias("i"), F.col(cell).alias("c")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("s")), "pair-cells")
+    by_fold = base.groupBy("c", fold_of(F.col("j"), folds).alias("own_fold"), fold_of(F.col("i"), folds).alias("other_fold")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    sums = materialize(_without_folds(by_fold, ["c"], folds), "fold-sums")
+    whole = sums.groupBy("jf", "rf").agg(((F.sum("s") + 0.5) / (F.sum("n") + 1)).alias("p"))
+    model = whole.crossJoin(F.broadcast(base.select("c").distinct())).join(sums, ["c", "jf", "rf"], "left").na.fill(0, ["n", "s"])  # cells by fold pairs
+    model = model.groupBy("c", "jf").agg(F.map_from_entries(F.collect_list(F.struct("rf", ((F.col("s") + strength * F.col("p")) / (F.col("n") + strength)).alias("p")))).alias("by_rf"))
+    rated = base.withColumn("jf", fold_of(F.col("j"), folds)).join(F.broadcast(model), ["c", "jf"], "left")
+    weights = [(F.col("n") * F.col("by_rf")[r]).alias(f"m{r}") for r in range(folds)]
+    names = [f"m{r}" for r in range(folds)]
+    pair = materialize(rated.select("j", "i", "n", "s", *weights).groupBy("j", "i").agg(*[F.sum(c).alias(c) for c in ("n", "s", *names)]), "pair-sums")
+    mine = pair.groupBy("j").agg(F.count("*").alias("__k"), *[F.sum(c).alias(f"__{c}") for c in ("n", "s", *names)])
+    q = queries.select(F.col(entity).alias("j"), F.col(other).alias("i")).na.drop().distinct()
+    out = q.join(mine, "j", "left").join(pair, ["j", "i"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    n = zero("__n") - zero("n")
+    rf = fold_of(F.col("i"), folds)
+    expected = F.coalesce(*[F.when(rf == r, (F.col(f"__m{r}") - zero(f"m{r}")) / n) for r in range(folds)])
+    raw = (F.col("__s") - zero("s")) / n
+    out = out.select("j", "i", n.alias("n"), F.when(n > 0, raw).alias("raw"), F.when(n > 0, expected).alias("expected"), (zero("__k") - F.col("n").isNotNull().cast("int")).alias("counterparts"), zero("n").alias("pair_removed"))
+    return out.select(F.col("j").alias(entity), F.col("i").alias(other), "n", "raw", "expected", (F.col("raw") - F.col("expected")).alias("adjusted"), "counterparts", "pair_removed")
 
 
 def standardize(df: DataFrame, group: str, strata: Sequence[str], y: str, cluster: str, least: int = 5) -> DataFrame:
@@ -94,9 +152,11 @@ def cumulative(df: DataFrame, by: Sequence[str], value: str, n: str, target_rows
 def imputed(df: DataFrame, cell: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Adds <c>_filled (the cell's exact median where null or NaN) and <c>_missing."""
     value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
-    medians = df.groupBy(*[F.col(c).alias(f"__{c}") for c in cell]).agg(*[F.median(value[c]).alias(f"__m_{c}") for c in columns])
-    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in cell]
-    out = df.join(medians, on, "left")
+    key = F.to_json(F.struct(*cell), {"ignoreNullFields": "false"})  # null is a cell of its own
+    out = df.withColumn("__cell", key)
+    for c in columns:
+        medians = exact_quantiles(out.select("__cell", c), "__cell", c, {f"__m_{c}": 0.5}).drop("n")
+        out = out.join(medians, "__cell", "left")
     return out.select(*df.columns, *[F.coalesce(value[c], F.col(f"__m_{c}")).alias(f"{c}_filled") for c in columns], *[value[c].isNull().alias(f"{c}_missing") for c in columns])
 
 

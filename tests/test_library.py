@@ -96,6 +96,74 @@ def test_adjacency_states(spark, target):
     assert got["lost"] == "unmapped" and "null" not in got and len(got) == 13
 
 
+def test_last_n_in_blocks(spark):
+    r = random.Random(5)
+    h = [(k, r.choice([None, *range(60)]), i, r.choice([None, 1.0, 2.5, 7.0, 7.5])) for i, k in enumerate([1] * 40 + [2] * 3 + [None])]
+    q = [(i, r.choice([1, 1, 2, 3, None]), r.choice([None, *range(-1, 62)])) for i in range(60)]
+    df, ask = spark.createDataFrame(h + h[:6], "k long, t long, o long, v double"), spark.createDataFrame(q + q[:3], "id long, who long, at long")
+    for target in (10, 10**6):
+        got = temporal.last_n_features(df, ask.withColumnRenamed("who", "k"), "k", "t", "v", ["o"], ["id"], "at", [3, 5], target).collect()
+        assert len(got) == len(q)
+        for x in got:
+            _, who, at = q[x.id]
+            own = sorted((t, o, v) for k, t, o, v in h if None not in (who, at, t, k) and k == who and t < at)[::-1][:6]
+            assert x.n_prior == len(own)
+            for w in (3, 5):
+                tie = len(own) > w and own[w - 1][0] == own[w][0]
+                z = [v for *_, v in own[:w]]
+                assert bool(x[f"tie{w}"]) == tie
+                if len(own) < w or tie or None in z:
+                    assert x[f"sd{w}"] is None and x[f"span{w}"] is None
+                    continue
+                line = np.polyfit(np.arange(w), z, 1)
+                assert math.isclose(x[f"sd{w}"], np.std(z, ddof=1), abs_tol=1e-9) and math.isclose(x[f"iqr{w}"], np.subtract(*np.quantile(z, [0.75, 0.25])), abs_tol=1e-9)
+                assert math.isclose(x[f"detrended{w}"], math.sqrt(((np.array(z) - np.polyval(line, np.arange(w))) ** 2).sum() / (w - 2)), abs_tol=1e-6)
+
+
+@pytest.mark.parametrize("target", [1])
+def test_spaced_times(spark, target):
+    r = random.Random(2)
+    rows = [(r.choice([1, 2, None]), r.choice([None, *range(300)])) for _ in range(200)] + [(9, 5)]
+    got = sorted(map(tuple, temporal.spaced(spark.createDataFrame(rows, "k long, t long"), "k", "t", 20).collect()))
+    want = []
+    for k in (1, 2, 9):
+        last = None
+        for t in sorted({t for a, t in rows if a == k and t is not None}):
+            if last is None or t > last + 20:
+                want.append((k, t))
+                last = t
+    assert got == want and len(got) > 20
+
+
+def test_seasonal_scores_of_observed_slots(spark):
+    from ledgerwake.operators.anomaly import Baseline, observed_grid, seasonal_scores
+
+    r = random.Random(3)
+    covered = [s for s in range(200) if s not in (50, 51, 120)]
+    counts = [("a", s, 10 + r.randrange(5) + (300 if s == 100 else 0)) for s in covered if s % 9] + [("b", 70, 3), ("a", 50, 99)]
+    traffic = [(s, 100 + r.randrange(20) if s != 90 else 10_000) for s in covered]
+    grid = observed_grid(spark.createDataFrame(counts, "k string, s long, n long"), spark.createDataFrame(traffic, "s long, n long"), "k", "s")
+    at = {(x.k, x.s): x.n for x in grid.collect()}
+    assert len(at) == 2 * len(covered) and at["a", 9] == 0 and ("a", 50) not in at and at["b", 70] == 3
+    law = Baseline(offsets=(-20, -10, 10, 20), traffic=(5, 2), least_traffic=50.0, least_references=3)
+    before = {s: sum(dict(traffic)[u] for u in range(s - 5, s - 2)) for s in range(205) if all(u in dict(traffic) for u in range(s - 5, s - 2))}
+    got = {(x.k, x.s): x for x in seasonal_scores(grid, "k", "s", law, spark.createDataFrame(traffic, "s long, n long")).collect()}
+    assert set(got) == set(at)
+    for (k, s), x in got.items():
+        refs = []
+        for o in law.offsets:
+            if (k, s + o) in at and s in before and s + o in before and 0.25 <= before[s] / before[s + o] <= 4:
+                refs.append(at[k, s + o] * before[s] / before[s + o])
+        assert x.refs == len(refs)
+        if len(refs) < 3:
+            assert x.score is None
+            continue
+        mid = np.median(refs)
+        mad = np.median(np.abs(np.array(refs) - mid))
+        assert math.isclose(x.expected, mid) and math.isclose(x.score, (at[k, s] - mid) / max(math.sqrt(mid + 1), 1.4826 * mad), rel_tol=1e-9, abs_tol=1e-9)
+    assert got["a", 100].score > 20
+
+
 def test_replay_of_two_party_states(spark):
     day = 86_400_000
     g = spark.createDataFrame([("p", i * day, f"g{i}", i % 3, 3 + i % 2, 1500 + i, 1500.0, [0.0, 0.5, 1.0][i % 3], i != 3) for i in range(20)] + [("p", None, "x", 1, 2, 1, 1.0, 1.0, True), ("p", 1, "y", 1, 1, 1, 1.0, 1.0, True)], "pool string, t long, g string, a long, b long, ra long, rb double, s double, seen boolean")
@@ -314,6 +382,27 @@ def number(unit, draw):
     return (a * x**3 + b * x**2 + c * x + d) % (2**31 - 1)
 
 
+def test_crossfit_scores_equal_rows_one_by_one(spark):
+    r = random.Random(12)
+    fold = lambda x: int(hashlib.md5(str(x).encode()).hexdigest()[:8], 16) % 4
+    h = [(r.choice([*range(12), None]), r.choice([*range(20, 32), None]), r.randrange(40), r.choice("xy"), r.choice([0.0, 1.0, None])) for _ in range(300)]
+    q = [(j, i) for j in range(14) for i in range(20, 33)] + [(None, 20), (1, 20)]
+    got = scores.crossfit_scores(spark.createDataFrame(h, "j long, i long, t long, c string, y double"), spark.createDataFrame(q, "j long, i long"), "j", "i", "t", "c", "y", 30).collect()
+    past = [x for x in h if x[2] < 30 and None not in x]
+    assert len(got) == len({x for x in q if None not in x})
+    for x in got:
+        own = [z for z in past if z[0] == x.j and z[1] != x.i]
+        assert (x.n, x.pair_removed, x.counterparts) == (len(own), sum(z[0] == x.j and z[1] == x.i for z in past), len({z[1] for z in own}))
+        if not own:
+            assert x.raw is None and x.adjusted is None
+            continue
+        out = {fold(x.j), fold(x.i)}
+        clean = [z for z in past if fold(z[0]) not in out and fold(z[1]) not in out]
+        p = (sum(z[4] for z in clean) + 0.5) / (len(clean) + 1)
+        rate = {c: (sum(z[4] for z in clean if z[3] == c) + 50 * p) / (sum(z[3] == c for z in clean) + 50) for c in "xy"}
+        assert math.isclose(x.raw, np.mean([z[4] for z in own])) and math.isclose(x.expected, np.mean([rate[z[3]] for z in own]), rel_tol=1e-9)
+
+
 def test_rematch_in_order_of_hash(spark):
     r = random.Random(7)
     rows = [(r.choice("abc"), i, r.random() < 0.4, r.random()) for i in range(120)]
