@@ -155,14 +155,14 @@ def horizon_counts(spark, sf):
     return op.window_counts(asked, decided, ["chooser"], ["row_id", "anchor_ms"], "anchor_ms", "t", spans).where("n_90d > 0")
 
 
-_EXPERIENCE = "CASE WHEN earlier = 0 THEN 'NC' WHEN drawn > 0 THEN 'PG' ELSE 'PC' END"
+_EXPERIENCE = "CASE WHEN drawn > 0 THEN 'PG' WHEN earlier > 0 THEN 'PC' ELSE 'NC' END"
 
 
-@query(f"""WITH {_DECIDED} SELECT a.gid, a.chooser, a.t, {_EXPERIENCE} AS experience FROM (SELECT gid, chooser, t, count(*) OVER w AS earlier, coalesce(sum(y::INT) OVER w, 0) AS drawn FROM decided WINDOW w AS (PARTITION BY chooser ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) a""")
+@query(f"""WITH {_DECIDED} SELECT a.gid, a.chooser, a.t, {_EXPERIENCE} AS experience FROM (SELECT gid, chooser, t, count(*) FILTER (WHERE fair) OVER w AS earlier, coalesce(sum(y::INT) OVER w, 0) AS drawn FROM decided WINDOW w AS (PARTITION BY chooser ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) a""")
 def experience_class(spark, sf):
-    """What the chooser did strictly before: gave a draw (PG), only claimed wins (PC) or never chose (NC); peers at the same time do not count."""
+    """What the chooser did strictly before: gave a draw (PG), else chose in a fair position (PC), else neither (NC); peers at the same time do not count."""
     decided, row, ever = _decided(spark, sf), ["gid", "chooser", "t", "ord", "start_ms", "counterparty", "fair", "y"], (-(10**13), 0)
-    every = op.window_counts(decided, decided, ["chooser"], row, "t", "t", {"earlier": ever})
+    every = op.window_counts(decided, decided.where("fair"), ["chooser"], row, "t", "t", {"earlier": ever})
     drawn = op.window_counts(decided, decided.where("y"), ["chooser"], row, "t", "t", {"drawn": ever})
     on = [every[c].eqNullSafe(drawn[c]) for c in row]
     counts = every.join(drawn, on).select(*[every[c] for c in ("gid", "chooser", "t")], "earlier", "drawn")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwake.operators import contracts
+from ledgerwake.operators.temporal import window_counts
 from ledgerwake.session import table
 from ledgerwake.stats import effects, likelihood, moments, scores
 
@@ -367,6 +368,43 @@ def spline_basis(spark, sf):
     return _panel(spark, sf).select("game_id", "utc_ms", F.round(b[0], 6).alias("b0"), (F.round(b[1], 4) + 0.0).alias("b1"))
 
 
+@query(f"""WITH {_PANEL}, d AS (SELECT u, game_id, y - avg(y) OVER g AS y, cp - avg(cp) OVER g AS x FROM p WINDOW g AS (PARTITION BY u)), b AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS xx FROM d)
+  SELECT u, round(1e6 * sum(x * (y - b * x)) / any_value(xx), 3) AS influence FROM d, b GROUP BY u""")
+def influence_frame(spark, sf):
+    """What each chooser adds to the slope, in millionths."""
+    rows = moments.influence(_panel(spark, sf), "y", "cp", "u")
+    return rows.groupBy("u").agg((F.round(F.sum("influence") * 1e6, 3) + 0.0).alias("influence"))
+
+
+@query(f"""WITH {_PANEL}, s AS (SELECT regr_slope(y, gap) AS sy, regr_slope(cp, gap) AS sc, avg(gap) AS mg, avg(y) AS my, avg(cp) AS mc FROM p)
+  SELECT game_id, utc_ms, round(y - my - sy * (gap - mg), 6) AS r_y, round(cp - mc - sc * (gap - mg), 6) AS r_cp FROM p, s""")
+def partialled(spark, sf):
+    """Outcome and evaluation less what the rating gap explains."""
+    out = moments.partial_out(_panel(spark, sf), ["y", "cp"], ["gap"])
+    return out.select("game_id", "utc_ms", F.round("r_y", 6).alias("r_y"), F.round("r_cp", 6).alias("r_cp"))
+
+
+_MEET = f"""m AS (SELECT a.game_id, a.utc_ms, a.u, a.v, a.y, abs(a.gap) AS cp, (SELECT count(*) FROM p b WHERE b.u = a.u AND b.v = a.v AND b.utc_ms < a.utc_ms AND b.utc_ms >= a.utc_ms - {90 * 86_400_000}) AS k FROM p a), f AS (SELECT y, cp, ln(1 + k) AS gap FROM m)"""
+
+
+@query(f"""WITH RECURSIVE {_PANEL}, {_MEET}, c AS (SELECT cp, gap, count(*) AS n, sum(y) AS k FROM f GROUP BY 1, 2),
+  it(i, b0, b1, b2) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE UNION ALL
+    SELECT i + 1, b0 + (c00 * g0 + c01 * g1 + c02 * g2) / det, b1 + (c01 * g0 + c11 * g1 + c12 * g2) / det, b2 + (c02 * g0 + c12 * g1 + c22 * g2) / det FROM (
+      SELECT *, h00 * c00 + h01 * c01 + h02 * c02 AS det FROM (
+        SELECT *, h11 * h22 - h12 * h12 AS c00, h02 * h12 - h01 * h22 AS c01, h01 * h12 - h02 * h11 AS c02, h00 * h22 - h02 * h02 AS c11, h01 * h02 - h00 * h12 AS c12, h00 * h11 - h01 * h01 AS c22 FROM (
+          SELECT any_value(i) AS i, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, sum(k - n * q) AS g0, sum(cp * (k - n * q)) AS g1, sum(gap * (k - n * q)) AS g2,
+            sum(n * q * (1 - q)) AS h00, sum(n * q * (1 - q) * cp) AS h01, sum(n * q * (1 - q) * gap) AS h02, sum(n * q * (1 - q) * cp * cp) AS h11, sum(n * q * (1 - q) * cp * gap) AS h12, sum(n * q * (1 - q) * gap * gap) AS h22
+          FROM (SELECT *, {_GROW} AS q FROM it, c WHERE i < 30) x) y) z) w WHERE i IS NOT NULL)
+  SELECT unnest(['intercept', 'absolute_gap', 'log_prior_meetings']) AS term, unnest([round(b0, 5), round(b1, 5), round(b2, 5)]) AS value FROM it WHERE i = 30""")
+def prediction_fit(spark, sf):
+    """Logit of the outcome on the size of the gap and the pair's meetings of the last 90 days."""
+    p = _panel(spark, sf).select("game_id", "utc_ms", "u", "v", "y", "gap", "cp")
+    met = window_counts(p, p, ["u", "v"], ["game_id", "utc_ms", "u", "v", "y", "gap", "cp"], "utc_ms", "utc_ms", {"k": (-90 * 86_400_000, 0)})
+    cells = met.groupBy(F.abs("gap").alias("absolute_gap"), F.log1p("k").alias("log_prior")).agg(F.count("*").alias("n"), F.sum("y").alias("s"))
+    fit = likelihood.logit(cells, "n", "s", ["absolute_gap", "log_prior"])
+    return _rounded(spark, list(zip(("intercept", "absolute_gap", "log_prior_meetings"), fit["coef"], strict=True)))
+
+
 # Contracts ------------------------------------------------------------------------
 
 

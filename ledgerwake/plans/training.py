@@ -66,12 +66,20 @@ def score_fields() -> list[Field]:
     ]
 
 
-def p5_differences(spark: SparkSession, sf: str) -> DataFrame:
+def _differences(spark: SparkSession, sf: str) -> DataFrame:
     return compare_copies(table(spark, sf, "scores_main"), table(spark, sf, "scores_copy"), ["row_id"], score_fields(), "rev")
 
 
+def p5_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """Every difference with both values: numbers rounded to 9 digits, and as texts where they are not numbers."""
+    d = _differences(spark, sf)
+    number = lambda c: F.round(F.nullif(F.expr(f"try_cast({c} AS DOUBLE)"), F.lit(float("nan"))), 9)
+    text = lambda c: F.when(F.expr(f"try_cast({c} AS DOUBLE)").isNull() | F.isnan(F.expr(f"try_cast({c} AS DOUBLE)")), F.col(c))
+    return d.select("row_id", "diff", *[f(f"{side}_value").alias(f"{side}_{n}") for side in ("main", "copy") for n, f in (("number", number), ("text", text))])
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p5_differences(spark, sf).select("row_id", "diff")
+    return _differences(spark, sf).select("row_id", "diff")
 
 
 def _sides(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,6 +164,24 @@ _P5 = f"""
   UNION ALL SELECT row_id, 'only_copy' FROM c ANTI JOIN m USING (row_id)
   {"".join(f" UNION ALL SELECT m.row_id, '{k}' FROM m JOIN c USING (row_id) WHERE {v}" for k, v in _FIELDS_SQL.items())}"""
 
+_NEWEST = """
+  WITH a AS (SELECT DISTINCT * FROM scores_main WHERE row_id IS NOT NULL), b AS (SELECT DISTINCT * FROM scores_copy WHERE row_id IS NOT NULL),
+  m AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY rev DESC NULLS LAST) = 1),
+  c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY rev DESC NULLS LAST) = 1)"""
+
+
+def _values_sql(k: str) -> str:
+    a, b = f"m.{k}", "epoch_ms(c.anchor_at)" if k == "anchor_ms" else f"c.{k}"
+    if k == "speed":
+        own = f"NULL::DOUBLE, {a}, NULL::DOUBLE, {b}"
+    else:
+        own = ", ".join(f"CASE WHEN NOT isnan({x}::DOUBLE) THEN round({x}::DOUBLE, 9) END, CASE WHEN isnan({x}::DOUBLE) THEN 'NaN' END" for x in (a, b))
+    return f" UNION ALL SELECT m.row_id, '{k}', {own} FROM m JOIN c USING (row_id) WHERE {_FIELDS_SQL[k]}"
+
+
+_P5_VALUES = f"""{_NEWEST} SELECT row_id, 'only_main' AS diff, NULL::DOUBLE AS main_number, NULL::VARCHAR AS main_text, NULL::DOUBLE AS copy_number, NULL::VARCHAR AS copy_text FROM m ANTI JOIN c USING (row_id)
+  UNION ALL SELECT row_id, 'only_copy', NULL, NULL, NULL, NULL FROM c ANTI JOIN m USING (row_id){"".join(map(_values_sql, _FIELDS_SQL))}"""
+
 _SIDES = """sides AS (
     SELECT game_id, utc_ms, archive_ordinal, recorded_ms, white_id AS recipient_id, white_elo AS elo, 'white' AS side FROM chronology
     UNION SELECT game_id, utc_ms, archive_ordinal, recorded_ms, black_id, black_elo, 'black' FROM chronology)"""
@@ -197,6 +223,7 @@ SQL = {
     "p3_choosers": _profile_sql("analysis_panel", "chooser_user_id", "game_id", "engine_eval_cp_disconnected"),
     "p3_opponents": _profile_sql("exposures", "opponent_id", "row_id", "pre_games_30d"),
     "p5_found": _P5,
+    "p5_differences": _P5_VALUES,
     "p6_found": f"SELECT DISTINCT row_id, archive_ordinal FROM ({_P6})",
     "p6_ratings": _P6,
     "p7_found": _P7,

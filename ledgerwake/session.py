@@ -93,6 +93,17 @@ def release(*frames: DataFrame | None) -> None:
             hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def clear_intermediate(spark: SparkSession) -> None:
+    """Delete all tables that operators of this application have written to the shared folder.
+
+    For use between queries of a long application, when no result of an earlier one will
+    be read again: results are lazy and may rest on such tables. Otherwise they go at exit.
+    """
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/ledgerwake/{sc.applicationId}")
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     """Give CPU-heavy row work enough partitions.
 

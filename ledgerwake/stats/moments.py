@@ -73,6 +73,38 @@ def within_ols(df: DataFrame, y: str, x: Sequence[str], group: str) -> dict:
     return {"coef": beta, "se": np.sqrt(np.maximum(np.diag(cov), 0)), "cov": cov, "n": total, "groups": g}
 
 
+def influence(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
+    """``df`` (complete rows) with ``influence``: what each row adds to the slope of a regression with one fixed effect.
+
+    The influences sum to 0; summed by cluster and squared they give the slope's clustered variance (without
+    small-sample factors). Group means are joined to the rows, which AQE splits for a hot group.
+    """
+    rows = complete(df, [x, y]).where(F.col(group).isNotNull())
+    fit = within_ols(rows, y, [x], group)
+    means = rows.groupBy(group).agg(F.avg(F.col(x).cast("double")).alias("__mx"), F.avg(F.col(y).cast("double")).alias("__my"))
+    joined = rows.join(means, group).withColumns({"__dx": F.col(x) - F.col("__mx"), "__dy": F.col(y) - F.col("__my")})
+    size = joined.agg(F.sum(F.col("__dx") ** 2)).first()[0] or math.nan
+    return joined.withColumn("influence", F.col("__dx") * (F.col("__dy") - float(fit["coef"][0]) * F.col("__dx")) / size).drop("__mx", "__my", "__dx", "__dy")
+
+
+def partial_out(df: DataFrame, columns: Sequence[str], controls: Sequence[str], cut: float = 1e-11) -> DataFrame:
+    """Complete rows with r_<c>: each of ``columns`` less what a constant and the ``controls`` explain.
+
+    One aggregation of cross products; directions of the controls that vary less than ``cut`` of the strongest are left out.
+    """
+    names = [*controls, *columns]
+    rows = complete(df, names)
+    n, sums, m = gram(rows, names)
+    mean = sums / max(n, 1.0)
+    m = m - n * np.outer(mean, mean)
+    k = len(controls)
+    size, turn = np.linalg.eigh(m[:k, :k]) if k else (np.zeros(0), np.zeros((0, 0)))
+    kept = size > max(size.max(initial=0.0), 1.0) * cut
+    slopes = (turn[:, kept] / size[kept]) @ turn[:, kept].T @ m[:k, k:]
+    off = [F.col(c).cast("double") - float(v) for c, v in zip(names, mean, strict=True)]
+    return rows.withColumns({f"r_{c}": off[k + j] - sum((off[i] * float(slopes[i, j]) for i in range(k)), F.lit(0.0)) for j, c in enumerate(columns)})
+
+
 def cluster_meat(scores: DataFrame, columns: Sequence[str], *keys: str) -> np.ndarray:
     """Sum of outer products of cluster sums; several keys by inclusion and exclusion."""
     k = len(columns)
