@@ -10,7 +10,7 @@ from ledgerwake.llm.langid import document_languages, sample, segment_languages,
 from ledgerwake.llm.leakage import leaks, without_leaks
 from ledgerwake.llm.sampling import frozen_sample, sampled_rows
 from ledgerwake.llm.splits import grouped_splits, linked
-from ledgerwake.session import table
+from ledgerwake.session import materialize, table
 
 RATE = 0.2
 SPLITS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
@@ -57,7 +57,7 @@ def p4_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_balance(spark: SparkSession, sf: str) -> DataFrame:
     """Of each split its rows, their share, and how far the rates of its labels are off those of all rows."""
-    rows = p4_splits(spark, sf)
+    rows = materialize(p4_splits(spark, sf).select("y", "fair", "split"), "split-rows")
     by = rows.groupBy("split").agg(F.count("*").alias("n"), F.avg(F.coalesce("y", F.lit(False)).cast("double")).alias("y"), F.avg(F.coalesce("fair", F.lit(False)).cast("double")).alias("fair"))
     whole = by.agg(F.sum("n").alias("total"), (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("all_y"), (F.sum(F.col("fair") * F.col("n")) / F.sum("n")).alias("all_fair"))
     joined = by.crossJoin(F.broadcast(whole))  # one row of totals, three of splits
@@ -66,7 +66,7 @@ def p4_balance(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_integrity(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the splits, choosers and cohorts that lie in several splits, and whether each share is within a hundredth."""
-    rows = p4_splits(spark, sf).select("chooser", "cohort", "split")
+    rows = materialize(p4_splits(spark, sf).select("chooser", "cohort", "split"), "split-rows")
     torn = [rows.where(F.col(c).isNotNull()).groupBy(c).agg((F.min("split") != F.max("split")).alias("torn")).agg(F.count_if("torn").alias(f"torn_{c}s")) for c in ("chooser", "cohort")]
     counts = rows.groupBy("split").count()
     wanted = spark.createDataFrame(list(SPLITS), "split string, wanted double")
@@ -82,6 +82,11 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_texts(table(spark, sf, "documents"), "doc_id", "text")
 
 
+def p8_shape(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each document whether it has no ids, which holds for null and empty texts only."""
+    return p8_ids(spark, sf).select("doc_id", (F.size("ids") == 0).alias("empty"))
+
+
 def _texts(spark: SparkSession, sf: str) -> tuple:
     return table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text"
 
@@ -120,7 +125,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.where("lang is not null").join(labels, "doc_id").where("code is null or code != lang").select("doc_id", "seg_no", "lang").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_sample, p2_rows, p4_found, p4_splits, p4_balance, p4_integrity, p8_ids, p9_found, p9_items, p9_clean, p10_found, p10_segments, p10_documents)}
+QUERIES = {f.__name__: f for f in (p2_sample, p2_rows, p4_found, p4_splits, p4_balance, p4_integrity, p8_ids, p8_shape, p9_found, p9_items, p9_clean, p10_found, p10_segments, p10_documents)}
 
 _P2 = f"""
   WITH f AS (SELECT chooser, min(load_no) AS load_no FROM decisions WHERE chooser >= 0 AND load_no IS NOT NULL GROUP BY 1),
@@ -140,6 +145,7 @@ _P4 = """
 SQL = {
     "p2_sample": _P2,
     "p4_found": _P4,
+    "p8_shape": "SELECT doc_id, coalesce(text, '') = '' AS empty FROM documents",
     "p4_integrity": "SELECT count(*) AS n, 3 AS splits, true AS shares_hold, 0 AS torn_choosers, 0 AS torn_cohorts FROM decisions",
     "p2_rows": f"SELECT gid, chooser, start_ms, t, ord, load_no FROM decisions SEMI JOIN ({_P2}) USING (chooser)",
 }
