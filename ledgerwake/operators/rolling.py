@@ -76,23 +76,32 @@ def trailing_totals(
     """
     totals = daily_totals(activity, entity, record, day, windows, record_days_vary)
     fixes = [f"f{i}" for i in range(len(windows))]
+    frame = Window.partitionBy("__entity").orderBy("__day")
+    until_now = frame.rangeBetween(Window.unboundedPreceding, 0)
     if calendar is None:
-        own = F.struct("__day", "n", *fixes, F.lit(0).alias("__asked"))
-        active = F.when(F.col("n") > 0, F.col("__day"))
-        lists = totals.groupBy("__entity").agg(F.collect_list(own).alias("own"), F.min(active).alias("lo"), F.max(active).alias("hi"))  # at most one a calendar day, and the steps
+        # A day's n enters every window at the next day and leaves that of W days at day + W + 1: sums of such
+        # steps cost the same for every dense row, however long the window.
         zero = F.lit(0).cast("long")
-        dense = F.transform(F.sequence("lo", F.col("hi") + tail), lambda x: F.struct(x.alias("__day"), zero.alias("n"), *[zero.alias(f) for f in fixes], F.lit(1).alias("__asked")))
-        rows = lists.select("__entity", F.inline(F.concat("own", dense)))
+
+        def steps(x: Column) -> Column:
+            leave = [F.struct((x["__day"] + w + 1).alias("__day"), *[(-x["n"] if g == f else zero).alias(g) for g in fixes], F.lit(0).alias("__asked")) for w, f in zip(windows, fixes, strict=True)]
+            return F.array(F.struct((x["__day"] + 1).alias("__day"), *[x["n"].alias(f) for f in fixes], F.lit(0).alias("__asked")), F.struct(x["__day"].alias("__day"), *[(-x[f]).alias(f) for f in fixes], F.lit(0).alias("__asked")), *leave)
+
+        active = F.when(F.col("n") > 0, F.col("__day"))
+        lists = totals.groupBy("__entity").agg(F.collect_list(F.struct("__day", "n", *fixes)).alias("own"), F.min(active).alias("lo"), F.max(active).alias("hi"))  # at most one a calendar day, and the steps
+        moved = F.filter(F.flatten(F.transform("own", steps)), lambda x: sum((F.abs(x[f]) for f in fixes), zero) > 0)
+        dense = F.transform(F.sequence("lo", F.col("hi") + tail), lambda x: F.struct(x.alias("__day"), *[zero.alias(f) for f in fixes], F.lit(1).alias("__asked")))
+        rows = lists.select("__entity", F.inline(F.concat(moved, dense)))
+        counts = [(w, F.sum(f).over(until_now)) for w, f in zip(windows, fixes, strict=True)]
     else:
         asked = calendar.select(F.col(entity).alias("__entity"), F.col(day).alias("__day")).where("__entity is not null and __day is not null")
         none = [F.lit(0).cast("long").alias(c) for c in ("n", *fixes)]
         rows = totals.select("*", F.lit(0).alias("__asked")).unionByName(asked.select("__entity", "__day", *none, F.lit(1).alias("__asked")))
         rows = rows.groupBy("__entity", "__day").agg(*[F.sum(c).alias(c) for c in ("n", *fixes)], F.max("__asked").alias("__asked"))
-    frame = Window.partitionBy("__entity").orderBy("__day")
-    counts = []
-    for w, f in zip(windows, fixes, strict=True):
-        n = F.coalesce(F.sum("n").over(frame.rangeBetween(-w, -1)), F.lit(0))
-        counts.append((w, n - F.sum(f).over(frame.rangeBetween(Window.unboundedPreceding, 0)) if record_days_vary else n))
+        counts = []
+        for w, f in zip(windows, fixes, strict=True):
+            n = F.coalesce(F.sum("n").over(frame.rangeBetween(-w, -1)), F.lit(0))
+            counts.append((w, n - F.sum(f).over(until_now) if record_days_vary else n))
     rows = rows.select("__entity", "__day", "__asked", *[n.alias(f"n_{w}d") for w, n in counts]).where("__asked = 1")
     out = [F.col("__entity").alias(entity), F.col("__day").alias(day)]
     for w in windows:

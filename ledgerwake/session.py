@@ -26,6 +26,7 @@ def session(app: str = "ledgerwake", cores: int | str = "*", shuffle_partitions:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.ui.retainedStages", "20000")
         .getOrCreate()
     )
 
