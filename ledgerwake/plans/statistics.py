@@ -176,10 +176,10 @@ def balance_smd(spark, sf):
     return scores.balance(_panel(spark, sf), "fair", ["gap", "cp"]).withColumns({c: F.round(c, 5) for c in ("mean_1", "mean_0", "smd")})
 
 
-@query(f"""WITH {_PANEL} SELECT speed, fair, count(*) AS n, round(sum(gap), 4) AS s_gap, round(sum(y), 4) AS s_y, round(sum(gap * gap), 3) AS s_gap_gap, round(sum(gap * y), 4) AS s_gap_y, round(sum(y * y), 4) AS s_y_y FROM p GROUP BY 1, 2""")
+@query(f"""WITH {_PANEL} SELECT speed, fair, count(*) AS n, round(sum(gap), 4) AS s_gap, round(sum(y), 4) AS s_y, round(sum(gap * gap), 4) AS s_gap_gap, round(sum(gap * y), 4) AS s_gap_y, round(sum(y * y), 4) AS s_y_y FROM p GROUP BY 1, 2""")
 def surface_moments(spark, sf):
     out = scores.surface(_panel(spark, sf), ["speed", "fair"], ["gap"], "y")
-    return out.withColumns({c: F.round(c, 3 if c == "s_gap_gap" else 4) for c in out.columns if c.startswith("s_")})
+    return out.withColumns({c: F.round(c, 4) for c in out.columns if c.startswith("s_")})
 
 
 @query(f"""WITH {_PANEL}, t AS (SELECT month, 2 * exp(-abs(avg(y) - 0.23::DOUBLE) / sqrt(0.25::DOUBLE / count(*))) AS p FROM p GROUP BY 1), r AS (SELECT month, p, least(1, (count(*) OVER () - row_number() OVER (ORDER BY p, month) + 1) * p) AS q FROM t)
