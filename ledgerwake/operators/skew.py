@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ledgerwake.session import materialize, release
 
 #: Key lists, chunk summaries and intervals of up to so many rows are broadcast; more are joined.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 #: One row of so many is counted to find the hot keys.
 SAMPLED = 16
 #: Hot keys of up to this number pass through the driver.
